@@ -49,7 +49,7 @@ def op6_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = segment.with_segmentations(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     docs = docs.withColumn("decoded", segment.decoded(F.col("segmentations"), path))
     s = F.col("segmentations")
-    each = F.transform(s, lambda x: F.struct(F.size(x["ids"]).alias("n_pieces"), F.xxhash64(x["ids"]).alias("ids_hash"), F.round(x["log_p"], 6).alias("log_p"), F.round(x["perturbed"], 6).alias("perturbed"), F.round(x["inclusion"], 6).alias("inclusion")))
+    each = F.transform(s, lambda x: F.struct(F.size(x["ids"]).alias("n_pieces"), F.xxhash64(x["ids"]).alias("ids_hash"), F.round(x["log_p"], 6).alias("log_p"), F.round(x["perturbed"], 6).alias("perturbed"), x["inclusion"].alias("inclusion")))
     return docs.select("doc_id", F.size(s).alias("n_samples"), each.alias("samples"), F.forall("decoded", lambda t: t == F.col("text")).alias("round_trip"))
 
 
@@ -100,8 +100,8 @@ WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
 b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
-at AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, sizes WHERE len(w) >= n)),
-hit AS (SELECT doc_id, at.n, i, item_id FROM at JOIN win USING (n, s)),
+spot AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, sizes WHERE len(w) >= n)),
+hit AS (SELECT doc_id, spot.n, i, item_id FROM spot JOIN win USING (n, s)),
 words AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM hit) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
@@ -114,10 +114,10 @@ WITH p AS (SELECT page_id, url, DATE '2023-01-01' + CAST(CAST('0x' || substr(md5
   list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1), '/'), lambda x: x <> '') AS segs FROM pages),
 l0 AS (SELECT DISTINCT 'hosts' AS list, 'domain' AS kind, host AS key, 'block' AS verdict, 8 AS o, 3 AS k FROM p UNION SELECT DISTINCT 'paths', 'prefix', host || '/' || seg, 'allow', 4, 1 FROM p),
 l AS (SELECT * FROM (SELECT *, CAST('0x' || substr(md5(key), 1, 7) AS BIGINT) AS n FROM l0) WHERE n % o < k),
-c AS (SELECT list, kind, key, verdict, 'add' AS action, (n // 8) % 300 AS at FROM l UNION SELECT list, kind, key, verdict, 'remove', (n // 8) % 300 + 30 + (n // 64) % 200 FROM l UNION SELECT list, kind, key, verdict, 'add', (n // 8) % 300 + 300 + (n // 512) % 300 FROM l),
-d AS (SELECT list, kind, key, verdict, at, max(action) AS action FROM c GROUP BY ALL),
-i AS (SELECT *, lead(at) OVER (PARTITION BY list, kind, key, verdict ORDER BY at) AS until FROM d),
-v AS (SELECT list, kind, key, verdict, DATE '2023-01-01' + CAST(at AS INT) AS since, DATE '2023-01-01' + CAST(until AS INT) AS until FROM i WHERE action = 'add'),
+c AS (SELECT list, kind, key, verdict, 'add' AS action, (n // 8) % 300 AS day FROM l UNION SELECT list, kind, key, verdict, 'remove', (n // 8) % 300 + 30 + (n // 64) % 200 FROM l UNION SELECT list, kind, key, verdict, 'add', (n // 8) % 300 + 300 + (n // 512) % 300 FROM l),
+d AS (SELECT list, kind, key, verdict, day, max(action) AS action FROM c GROUP BY ALL),
+i AS (SELECT *, lead(day) OVER (PARTITION BY list, kind, key, verdict ORDER BY day) AS until FROM d),
+v AS (SELECT list, kind, key, verdict, DATE '2023-01-01' + CAST(day AS INT) AS since, DATE '2023-01-01' + CAST(until AS INT) AS until FROM i WHERE action = 'add'),
 k AS (SELECT DISTINCT page_id, url, fetched, 'domain' AS kind, array_to_string(string_split(host, '.')[j:], '.') AS key FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS j FROM p)
   UNION SELECT DISTINCT page_id, url, fetched, 'prefix', host || '/' || array_to_string(segs[1:j], '/') FROM (SELECT *, unnest(range(0, len(segs) + 1)) AS j FROM p)),
 h AS (SELECT k.page_id, k.url, k.fetched, v.*, row_number() OVER (PARTITION BY page_id, k.url, fetched ORDER BY length(v.key) DESC, v.kind DESC, (verdict = 'block') DESC, since DESC, list DESC) AS r FROM k JOIN v ON k.kind = v.kind AND k.key = v.key AND since <= fetched AND (until IS NULL OR fetched < until))
