@@ -76,7 +76,9 @@ def features(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, Co
         "n_distinct": "size(array_distinct(@hashes))",
         "n_upper": "length(regexp_replace(@text, '[^A-Z]+', ''))",
     }
-    then(**{k: f"cast({e} as bigint)" for k, e in counts.items()})
+    # a generator of one row: the optimizer moves no filter on the counts below it, where it would write all of the above into the filter
+    fields = ", ".join(f"'{prefix}{k}', cast({e.replace('@', prefix)} as bigint)" for k, e in counts.items())
+    df = df.selectExpr(*own, f"inline(array(named_struct({fields})))")
     ratios = {k: f"coalesce(try_divide({', '.join('@' + x for x in e.split(' / '))}), 0D)" if " / " in e else f"cast(@{e} as double)" for k, e in RATIOS.items()}
     then(*counts, **ratios)
     return df, {k: F.col(prefix + k) for k in (*counts, *RATIOS)}
