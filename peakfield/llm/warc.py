@@ -127,5 +127,6 @@ def captures(found: DataFrame) -> DataFrame:
     own = assemble(lean)
     row = own.select("record_id", F.col("metadata.page_id").alias("page_id"), *[F.col(f"response.{c}") for c in ("type", "refers_to", "payload_bytes", "payload_sha1")], F.col("request.record_id").alias("request_id"))
     target = row.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("target"), F.col("payload_bytes").alias("b"), F.col("payload_sha1").alias("d"))
-    joined = row.join(target, "refers_to", "left")
-    return joined.select("page_id", F.coalesce("b", "payload_bytes").alias("payload_bytes"), F.coalesce("d", "payload_sha1").alias("payload_digest"), F.col("type").alias("record_type"), F.col("target").alias("refers_to"), F.col("request_id").isNotNull().alias("has_request"))
+    # a response refers to itself here, so that no null key sends all responses to one task
+    joined = row.withColumn("refers_to", F.coalesce("refers_to", "record_id")).join(target, "refers_to", "left")
+    return joined.select("page_id", F.coalesce("b", "payload_bytes").alias("payload_bytes"), F.coalesce("d", "payload_sha1").alias("payload_digest"), F.col("type").alias("record_type"), F.when(F.col("type") == "revisit", F.col("target")).alias("refers_to"), F.col("request_id").isNotNull().alias("has_request"))
