@@ -69,7 +69,7 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
         record(F.col("kind"), F.col("own"), F.concat(http, F.when(revisit, "").otherwise(F.col("payload"))), digest, F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), F.col("target")))),
         record(F.lit("metadata"), record_id("metadata", "id", "url", "digest"), F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\r\n")), beside),
     )
-    rows.select(F.explode(three).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    rows.select(F.explode(three).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def records(data: bytes) -> Iterator[dict]:
