@@ -68,3 +68,27 @@ def scatter(atoms: DataFrame, half: int, size: int) -> DataFrame:
     rows = atoms.where(ok).select("x", "y", "w", F.explode(span("x")).alias("vx")).select("*", F.explode(span("y")).alias("vy"))
     k = (half + 1 - F.abs(F.col("vx") - F.col("x"))) * (half + 1 - F.abs(F.col("vy") - F.col("y")))
     return rows.groupBy("vx", "vy").agg(F.sum(F.col("w") * k).alias("density"))
+
+
+def whitening(curve: DataFrame) -> DataFrame:
+    """1 / sqrt(power) of each bin of a radial curve, the largest being 1; a curve has as many bins as an image has rings."""
+    w = curve.where("power > 0").select("bin", (1 / F.sqrt("power")).alias("w"))
+    return w.crossJoin(F.broadcast(w.agg(F.max("w").alias("most")))).select("bin", (F.col("w") / F.col("most")).alias("weight"))
+
+
+def centered(images: DataFrame, side: int, size: int, fill: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Images cut or padded about their middle to another size. Each place looks its value up in the image's own array, so nothing is joined."""
+    keep = min(side, size)
+    back = (side - keep) // 2 - (size - keep) // 2
+    at = lambda c: F.col(c) + back
+    rows = images.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("x"))
+    inside = at("y").between(0, side - 1) & at("x").between(0, side - 1)
+    return rows.select(key, "y", "x", F.when(inside, F.get(vector, at("y") * side + at("x")).cast("double")).otherwise(fill).alias("v"))
+
+
+def shifted(px: DataFrame, side: int, down: int, right: int, fill: float, key: str = "vec_id") -> DataFrame:
+    """Images moved without wrapping; places that nothing moves to take the fill. A value that leaves the image gives a filled place at the
+    other end, so the number of rows stays."""
+    y, x = F.col("y") + down, F.col("x") + right
+    gone = ~(y.between(0, side - 1) & x.between(0, side - 1))
+    return px.select(key, F.pmod(y, F.lit(side)).alias("y"), F.pmod(x, F.lit(side)).alias("x"), F.when(gone, fill).otherwise(F.col("v")).alias("v"))

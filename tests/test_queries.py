@@ -3,9 +3,13 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
+from peakfield import domain
 from peakfield import queries as own
+from peakfield.operators import grids
+from peakfield.sources import mrc, star
 
 DATA = "/root/testdata/sf0.001"
 
@@ -22,9 +26,9 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(own.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(own.oracle_sql() | domain.oracle_sql()))
 def test_query_equals_sql(spark, sql, name):
-    df, want = own.queries()[name](spark, DATA), sql.sql(own.oracle_sql()[name])
+    df, want = (own.queries() | domain.queries())[name](spark, DATA), sql.sql((own.oracle_sql() | domain.oracle_sql())[name])
     cols = sorted(df.columns)
     assert cols == sorted(want.columns)
     at = [want.columns.index(c) for c in cols]
@@ -50,3 +54,44 @@ def test_entry_and_names(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_views_of_a_known_grid():
+    assert len(grids.views("C1", 3.0)) == 4606
+    assert len(grids.steps(np.float32(90), np.float32(360), closed=True)) == 5
+    with pytest.raises(ValueError):
+        grids.views("X2", 3.0)
+
+
+def test_winners_have_their_views(spark):
+    views = grids.views("C4", 15.0)
+    for r in domain.queries()["winner_orientations"](spark, DATA).collect():
+        task = r.event_id % (13 * len(views))
+        assert (r.grid_index, r.phi, r.theta, r.psi) == (task // 13, *views[task // 13], 30.0 * (task % 13))
+
+
+def test_noise_threshold_equals_brute_force(spark):
+    from statistics import NormalDist
+
+    rows = [(r.event_id, r.value) for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "value").collect()]
+    v = np.array([r[1] for r in rows])
+    least = NormalDist().inv_cdf(1 - 20 / len(v))
+    want = {r[0] for r, z in zip(rows, (v - v.mean()) / v.std(), strict=True) if z >= least}
+    assert {r.event_id for r in domain.queries()["noise_threshold"](spark, DATA).collect()} == want
+
+
+def test_star_loops():
+    text = "data_Optics\nloop_\n_a\n_b #2\n1 'x y'\n2\n3 # c\n4\n_pair 5\ndata_m\n_key 1\nloop_\n_c\n"
+    with pytest.raises(ValueError):
+        list(star.loops(text))
+    assert list(star.loops(text.replace("3 # c\n4", "3"))) == [("Optics", ["_a", "_b"], ["1", "x y", "2", "3"]), ("m", ["_c"], [])]
+
+
+def test_mrc_round_trip_and_wrong_values():
+    v = np.arange(24, dtype=np.float32).reshape(2, 3, 4)
+    got = list(mrc.sections("a", mrc.encoded(v, 1.5)))
+    assert [g["values"][0].tolist() for g in got] == [x.ravel().tolist() for x in v]
+    assert (got[0]["nx"][0], got[0]["ny"][0], got[0]["nz"][0], got[0]["voxel"][0]) == (4, 3, 2, 1.5)
+    v[1, 1, 1] = np.nan
+    with pytest.raises(ValueError):
+        list(mrc.sections("a", mrc.encoded(v, 1.5)))
