@@ -37,9 +37,9 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Bounds an Arrow batch by bytes, as a few long documents may fill one that is bounded by rows alone."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def slim(df: DataFrame, **cols: str) -> DataFrame:
