@@ -4,17 +4,19 @@ A shingle's weight is 1 + ln(its count in the text). Every shingle is a Poisson
 falls into a random register, and a register keeps the shingle that arrives first. Two texts agree in a register with the
 probability Jaccard similarity of their weighted shingles. Arrivals later than a text's last filled register can change
 nothing, so a process stops there. Bands of registers make buckets; pairs from buckets are verified on the shingles themselves:
-texts are linked if the Jaccard similarity of their shingle sets reaches the threshold. The logarithm keeps both similarities
-close where a line repeats often. Classes are the connected components of the links.
+texts are linked if the Jaccard similarity of their shingle sets reaches the threshold. A text that repeats a shingle also has the
+bands of its shingles at weight 1, which any other text has anyway, so the chance to miss a link depends on the Jaccard similarity
+of the sets alone, whatever the counts. Classes are the connected components of the links.
 
-Copies count once: texts with the same words make one representative before banding. In a bucket, each representative is first
+Copies count once: texts with the same words make one representative, named by a hash of the words, before banding. In a bucket, each representative is first
 compared with one leader, then those that are still in different classes with another of each bucket, so a group of copies
 needs a few comparisons for each member. What still shares a bucket across classes then goes through an exact set-similarity join: two
 texts of that similarity share one of the rarest fifth of their shingles, which in a group of edited copies are the edits.
 
 Cases: words are lower-cased (A-Z) and parted by ASCII white space. A text of one to four words is one shingle. A null text, or
 one without words, is a class of its own. The class id is the smallest id in the class. Repeated rows (same id, same text)
-get the same class; rows with a null id are linked by their text, and are null only where the class has no other id.
+get the same class; rows with a null id are linked by their text, and are null only where the class has no other id. An id that stands
+on several texts has each of them compared, and each row gets its own text's class.
 """
 
 from __future__ import annotations
@@ -84,24 +86,35 @@ def weights(count: np.ndarray) -> np.ndarray:
     return 1 + np.log(count)
 
 
+def banded(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One hash for each band of each text."""
+    sig = sig.reshape(len(sig), bands, rows)
+    band = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None], len(sig), 0)
+    for j in range(rows):
+        band = mix(band + sig[:, :, j])
+    return band.view(np.int64)
+
+
 def signed(df: DataFrame, size: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, key (hash of the words; null without words) and one hash for each band (null without words)."""
+    """id, raw, key (hash of the words; null without words) and hashes of bands (null without words): one for each band, and where shingles
+    repeat one more for each band of the signature at weight 1 that differs."""
 
     def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            ids, all_texts = part["id"].to_numpy(object), ["" if t is None else t for t in part["text"]]
+            ids, raws, all_texts = part["id"].to_numpy(object), part["raw"].to_numpy(), ["" if t is None else t for t in part["text"]]
             for a, b in chunks(all_texts):
                 for c in range(a, b, 4096):
                     texts = [words(t) for t in all_texts[c : min(b, c + 4096)]]
                     of, h, count = shingles(texts, size)
-                    sig = signatures(of, h, weights(count), len(texts), bands * rows).reshape(len(texts), bands, rows)
-                    band = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None], len(texts), 0)
-                    for j in range(rows):
-                        band = mix(band + sig[:, :, j])
-                    band = band.view(np.int64)
-                    yield pd.DataFrame({"id": pd.array(ids[c : c + len(texts)], "Int64"), "key": [hashlib.blake2b(" ".join(t).encode("utf-8", "replace"), digest_size=16).digest() if t else None for t in texts], "bands": [x if t else None for x, t in zip(band, texts, strict=True)]})
+                    band = list(banded(signatures(of, h, weights(count), len(texts), bands * rows), bands, rows))
+                    again = np.unique(of[count > 1])
+                    own = np.isin(of, again)
+                    plain = signatures(np.searchsorted(again, of[own]), h[own], np.ones(own.sum()), len(again), bands * rows)
+                    for i, x in zip(again, banded(plain, bands, rows), strict=True):
+                        band[i] = np.union1d(band[i], x)
+                    yield pd.DataFrame({"id": pd.array(ids[c : c + len(texts)], "Int64"), "raw": raws[c : c + len(texts)], "key": [hashlib.blake2b(" ".join(t).encode("utf-8", "replace"), digest_size=16).digest() if t else None for t in texts], "bands": [x if t else None for x, t in zip(band, texts, strict=True)]})
 
-    return df.mapInPandas(sign, "id long, key binary, bands array<long>")
+    return df.mapInPandas(sign, "id long, raw long, key binary, bands array<long>")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -167,20 +180,21 @@ def rare_pairs(docs: DataFrame, size: int, threshold: float) -> DataFrame:
 
 
 def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, star_rounds: int = 3) -> DataFrame:
-    """One row for each row of df: id, class_id. At similarity s, a pair shares no bucket with probability
-    (1 - s**rows)**bands, which is 0.00003 at 0.8 for the defaults."""
+    """One row for each row of df: id, class_id. At Jaccard similarity s of the shingle sets, a pair shares no bucket with probability
+    (1 - s**rows)**bands at most, which is 0.00003 at 0.8 for the defaults."""
     spark = df.sparkSession
     small_batches(spark)
-    docs = slim(df, id=key, text=text)
+    docs = slim(df, id=key, text=text).select(F.col("id").cast("long").alias("id"), "text", F.xxhash64("text").alias("raw"))
     sig = written(signed(docs, size, bands, rows), "signatures")
-    # copies: one representative for each key, counted inside each partition first
-    reps = written(sig.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "representatives")
+    # copies: one representative for each key, counted inside each partition first; its text is read from the row with the smallest id
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "raw")
+    reps = written(sig.where("key is not null").groupBy("key").agg(F.min(row).alias("row"), F.first("bands").alias("bands")).select("key", F.xxhash64("key").alias("rep"), "row.id", "row.raw", "bands"), "representatives")
     spread = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    # an id may stand on rows of different texts: then all of them are in one class, and one of its texts is compared
     members = written(spread.join(shared, "bucket").distinct(), "buckets")
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    texts = written(docs.where("text is not null").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    wanted = reps.select("rep", F.col("id").alias("first"), F.col("raw").alias("hash")).join(members.select("rep").distinct(), "rep", "left_semi")
+    found = docs.where("text is not null").join(wanted, F.col("id").eqNullSafe(F.col("first")) & (F.col("raw") == F.col("hash")))
+    texts = written(found.groupBy(F.col("rep").alias("id")).agg(F.min("text").alias("text")), "texts")
     labels = members.select(F.col("rep").alias("node")).distinct().select("node", F.col("node").alias("label"))
     tested = None
     for r in range(star_rounds + 1):
@@ -206,7 +220,10 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
         on = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_"))  # noqa: B023, E731
         merged = components(links.join(on("a"), "a").join(on("b"), "b").where("a_ != b_").select(F.col("a_").alias("a"), F.col("b_").alias("b")))
         labels = written(labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "classes")
-    classes = reps.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("label", "rep").alias("class_id"))
+    named = written(reps.select("key", "rep", "id").join(labels, F.col("rep") == F.col("node"), "left").select("key", "id", F.coalesce("label", "rep").alias("label")), "named")
+    # only classes of several representatives need the smallest id of all
+    least = named.groupBy("label").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("label", "least")
+    classes = named.join(least, "label", "left").select("key", F.coalesce("least", "id").alias("class_id"))
     return sig.select("id", "key").join(classes, "key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
 
 

@@ -79,6 +79,26 @@ def test_near_duplicates_find_all_links_of_a_group(spark):
     assert got == components(made)
 
 
+def test_near_duplicates_with_a_repeated_line(spark):
+    """Equal shingle sets but for a line that one text repeats: Jaccard 0.8 and more, however often it repeats."""
+    made = []
+    for i in range(40):
+        base, line = [f"b{i}x{j}" for j in range(150)], [f"l{i}x{j}" for j in range(25)]
+        made += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + line * 200))]
+    got = {r.id: r.class_id for r in neardup.near_duplicate_classes(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    want = components(made)
+    assert len(set(want.values())) == 40 and got == want
+
+
+def test_near_duplicates_of_null_and_shared_ids(spark):
+    a, b = [f"a{j}" for j in range(100)], [f"b{j}" for j in range(100)]
+    made = [(7, " ".join(a)), (7, " ".join(b)), (9, " ".join([*a, "end"])), (8, " ".join([*b, "end"])), (None, " ".join([*b, "other"]))]
+    got = neardup.near_duplicate_classes(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert sorted((r.id or 0, r.class_id) for r in got) == [(0, 7), (7, 7), (7, 7), (8, 7), (9, 7)]
+    lone = spark.createDataFrame([(3, " ".join(a)), (None, " ".join([*a, "end"]))], "doc_id long, text string")
+    assert {r.class_id for r in neardup.near_duplicate_classes(lone).collect()} == {3}
+
+
 def test_signatures_estimate_probability_jaccard():
     a, b = {1: 3.0, 2: 1.0, 3: 1.0}, {1: 1.0, 2: 1.0, 4: 2.0}
     n = 4000
