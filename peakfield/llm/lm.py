@@ -7,8 +7,9 @@ classes, given the state, and in a class a softmax over its words (classes of fr
 more, which stands for those never seen in training, so a class's words have probability 1 together. One more input begins a text.
 
 The network learns by truncated backpropagation through windows of a fixed number of tokens; the state, not its gradient, crosses
-windows. Each round, every partition of the training sample trains a copy from the common weights, and the copies are averaged by an aggregation
-over weights, so what is gathered grows with the corpus while the driver gets one set of weights. The sample is a fixed share of all training documents.
+windows. Each round, every partition of the training documents trains a copy from the common weights on all its texts, block by block, and the copies
+are averaged by an aggregation over weights, so what is gathered grows with the corpus while the driver gets one set of weights. The number of words with
+vectors grows with the square root of the number of distinct words.
 
 Scoring carries the state through all windows of a text, so a text of any length has its whole likelihood. Words outside the frequent table
 need their counts: those tokens alone are joined with the counts, which may be any number.
@@ -20,6 +21,7 @@ alike and counted as often as they stand. Without training documents all words a
 from __future__ import annotations
 
 import io
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +36,14 @@ from .neardup import words
 
 END = "\n"  # no word holds white space, so this stands for the end of a text
 HEAD, PER_CLASS, SPELLINGS = 768, 32, 96
-HIDDEN, WINDOW, SHARE, ROUNDS = 24, 16, 24, 2
+HIDDEN, WINDOW, SHARE, ROUNDS = 24, 16, 1, 2
+#: Tokens that a task holds for training at a time.
+BLOCK = 1 << 18
+
+
+def head_size(distinct: int) -> int:
+    """Words with vectors of their own, for that many distinct words: HEAD at least, and beyond some 37,000 as many classes as an eighth of the root."""
+    return max(HEAD, PER_CLASS * -(-math.isqrt(distinct) // 8))
 
 
 def counts(df: DataFrame) -> DataFrame:
@@ -92,7 +101,7 @@ class Model:
     @classmethod
     def start(cls, table: pd.DataFrame, class_n: np.ndarray, class_v: np.ndarray, total: int, distinct: int, seed: int = 1) -> Model:
         """Weights that give the unigram distribution whatever the state."""
-        head = min(HEAD, len(table))
+        head = min(head_size(distinct), len(table))
         m = cls(table["word"].tolist(), table["n"].to_numpy(np.int64), head, class_n, class_v, total, distinct, {})
         r = np.random.default_rng(seed)
         inputs = m.heads * PER_CLASS + SPELLINGS + 1
@@ -235,15 +244,18 @@ def gradients(m: Model, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[di
     return g, h, float(loss * scale)
 
 
-def train(m: Model, stream: np.ndarray, rate: float = 0.01, batch: int = 32) -> Model:
-    """Adam over windows of a stream of inputs, cut into batch parallel streams."""
+def train(m: Model, stream: np.ndarray, rate: float = 0.01, batch: int = 32, moments: dict | None = None) -> Model:
+    """Adam over windows of a stream of inputs, cut into batch parallel streams, and more of them where the stream is long. moments: Adam's state, carried
+    from one stream to the next."""
+    batch = max(batch, min(8 * batch, len(stream) // 512))
     steps = max(1, (len(stream) - 1) // batch)
     batch = min(batch, max(1, len(stream) - 1))
     x = stream[: batch * steps].reshape(batch, steps)
     y = stream[1 : batch * steps + 1].reshape(batch, steps)
-    first = {k: np.zeros_like(v) for k, v in m.weights.items()}
-    second = {k: np.zeros_like(v) for k, v in m.weights.items()}
-    h, i = np.zeros((batch, HIDDEN), np.float32), 0
+    moments = {} if moments is None else moments
+    first = moments.setdefault("first", {k: np.zeros_like(v) for k, v in m.weights.items()})
+    second = moments.setdefault("second", {k: np.zeros_like(v) for k, v in m.weights.items()})
+    h, i = np.zeros((batch, HIDDEN), np.float32), moments.get("i", 0)
     for a in range(0, steps, WINDOW):
         g, h, _ = gradients(m, x[:, a : a + WINDOW], y[:, a : a + WINDOW], h)
         i += 1
@@ -252,6 +264,7 @@ def train(m: Model, stream: np.ndarray, rate: float = 0.01, batch: int = 32) ->
             first[k] = 0.9 * first[k] + 0.1 * d
             second[k] = 0.99 * second[k] + 0.01 * d * d
             m.weights[k] = m.weights[k] - np.float32(rate) * (first[k] / (1 - 0.9**i)) / (np.sqrt(second[k] / (1 - 0.99**i)) + 1e-6)
+    moments["i"] = i
     return m
 
 
@@ -260,18 +273,22 @@ def averaged(spark: SparkSession, m: Model, docs: DataFrame) -> Model:
     shared = spark.sparkContext.broadcast(m)
 
     def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, streams = shared.value, []
+        own, streams, moments = shared.value, [], {}
         unknown = own.heads * PER_CLASS + SPELLINGS
-        size = 0
+        copy = Model(own.words, own.n, own.head, own.class_n, own.class_v, own.total, own.distinct, dict(own.weights))
+        size = held = 0
         for part in parts:
             for t in part["text"]:
                 tokens = [*words(t or ""), END]
                 net = own.network(own.codes(tokens))
                 streams.append(np.concatenate([[unknown], net]))
-                size += len(net)
-        if size > 1:
-            copy = Model(own.words, own.n, own.head, own.class_n, own.class_v, own.total, own.distinct, dict(own.weights))
-            copy = train(copy, np.concatenate(streams))
+                size, held = size + len(net), held + len(net)
+                if held >= BLOCK:
+                    train(copy, np.concatenate(streams), moments=moments)
+                    streams, held = [], 0
+        if streams:
+            train(copy, np.concatenate(streams), moments=moments)
+        if size:
             for name, v in copy.weights.items():
                 yield pd.DataFrame({"name": name, "at": np.arange(v.size), "v": v.ravel().astype(np.float64) * size, "size": float(size)})
 
@@ -284,7 +301,7 @@ def averaged(spark: SparkSession, m: Model, docs: DataFrame) -> Model:
 
 
 def fit(train_docs: DataFrame, frequent: int = 65_536, share: int = SHARE, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model, and the table of all counts (word, n). One of share training documents, by hash of the text, trains the network."""
+    """The model, and the table of all counts (word, n). All training documents train the network; a share above 1 takes one of so many ids, for trials."""
     spark = train_docs.sparkSession
     small_batches(spark)
     all_counts = written(counts(train_docs), "counts")
@@ -295,15 +312,15 @@ def fit(train_docs: DataFrame, frequent: int = 65_536, share: int = SHARE, round
     def spelled(names: pd.Series) -> pd.Series:
         return pd.Series(spelling(names.tolist()), dtype="int32")
 
-    head = spark.createDataFrame([(w,) for w in table["word"][:HEAD]], "word string")
+    head = spark.createDataFrame([(w,) for w in table["word"][: head_size(sums.v)]], "word string")
     per = all_counts.join(F.broadcast(head), "word", "left_anti").groupBy(spelled("word").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     class_n, class_v = np.zeros(SPELLINGS), np.zeros(SPELLINGS)
     for r in per:
         class_n[r.c], class_v[r.c] = r.n, r.v
     m = Model.start(table, class_n, class_v, sums.n, sums.v)
-    sample = written(train_docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text"), "lm-sample")
+    taught = train_docs.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0) if share > 1 else train_docs
     for _ in range(rounds):
-        m = averaged(spark, m, sample)
+        m = averaged(spark, m, taught)
     return m, all_counts
 
 

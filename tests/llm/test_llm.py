@@ -275,6 +275,22 @@ def test_lm_scores(spark, none):
     assert lm.scored(none, train).count() == 0
 
 
+def test_lm_trains_on_every_document(spark):
+    rows = [(i, f"v{i} one two three four five") for i in range(30)]
+    docs = spark.createDataFrame(rows, "id long, text string").where(F.pmod(F.xxhash64("text"), F.lit(24)) != 0)
+    for one in docs.limit(3).collect():
+        m, _ = lm.fit(spark.createDataFrame([one], "id long, text string"))
+        assert np.abs(m.weights["c"]).max() > 0
+
+
+def test_lm_head_grows_with_the_counts():
+    import pandas as pd
+
+    table = pd.DataFrame({"word": [f"w{i}" for i in range(5000)], "n": range(5000, 0, -1)})
+    m = lm.Model.start(table, np.ones(lm.SPELLINGS), np.ones(lm.SPELLINGS), 10**8, 10**6)
+    assert m.head == 4000 and m.weights["x"].shape[0] == 4000 + lm.SPELLINGS + 1
+
+
 def brute_counts(t):
     import re
 
