@@ -346,6 +346,16 @@ def test_language(spark, docs, none):
     assert language.with_language(none, model).count() == 0
 
 
+def test_language_of_one_training_row(spark):
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    held = is_held(F.col("doc_id"), 4, 2)
+    for name in [r.lang for r in real.select("lang").distinct().orderBy("lang").collect()]:
+        few = real.where(~held & (F.col("lang") == name) & (F.length("text") > 200)).orderBy("doc_id").limit(1)
+        model = language.LanguageFilters.fit(real.where(~held & (F.col("lang") != name)).union(few))
+        found = language.with_language(real.where(held & (F.length("text") > 200)), model).withColumn("good", F.col("lang") == F.col("language.lang_pred")).select("lang", "good", "language.coverage").toPandas()
+        assert found.groupby("lang")["good"].mean().min() > 0.9 and found["coverage"].min() > 0.1
+
+
 def test_language_filters_hold_all_their_grams():
     g, _ = language.grams(["hello wonderful world"])
     slots = np.zeros((1, 64 * 64), np.uint64)
