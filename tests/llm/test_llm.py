@@ -236,6 +236,31 @@ def test_segmentations_are_a_sample_without_replacement():
     assert abs(np.mean([sum(np.exp(s[1]) / s[3] for s in x) for x in drawn]) - 1) < 0.05
 
 
+def test_segmentations_use_pieces_of_several_spaces():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own = pb.ModelProto()
+    with open(path, "rb") as f:
+        own.ParseFromString(f.read())
+    model = segment.pieces(path, 1.5)
+    normal = {p.piece: i for i, p in enumerate(own.pieces) if p.type == 1}
+    assert all(any(u == p for u in segment.UNITS.findall(p)) for p in normal if "\n" not in p)
+    runs = {i: p for p, i in normal.items() if segment.MARK in p[1:]}
+    assert len(runs) > 10
+    text = "if a:\n        b  =   1" + " " * 40 + "\n  c" + " " * 16
+    drawn = segment.sample([text] * 400, np.arange(400, dtype=np.uint64), model, 2)
+    assert {int(i) for x in drawn for s in x for i in s[0]} & runs.keys()
+    spelled = segment.spellings(path)
+    assert all(b"".join(spelled[i] for i in s[0])[1:].decode() == text for x in drawn for s in x)
+    # all ways through two marks and a letter, weighed by hand
+    w = {p: (10 - own.pieces[i].score) ** -1.5 for p, i in normal.items()}
+    ways = [[x for x in way] for way in (["▁", "▁", "a"], ["▁▁", "a"], ["▁", "▁a"], ["▁▁a"]) if all(x in w for x in way)]
+    want = {tuple(normal[x] for x in way): np.prod([w[x] for x in way]) for way in ways}
+    got = {tuple(s[0].tolist()): np.exp(s[1]) for s in segment.sample([" a"], np.zeros(1, np.uint64), model, 9)[0]}
+    assert got.keys() == want.keys() and all(abs(got[k] - v / sum(want.values())) < 1e-9 for k, v in want.items())
+
+
 def test_lm_gradients_are_those_of_the_loss():
     import pandas as pd
 
