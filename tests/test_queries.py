@@ -49,6 +49,27 @@ def test_greedy_peaks_equal_brute_force(spark):
     assert sorted(tuple(r) for r in own.queries()["greedy_nms"](spark, DATA).collect()) == sorted(want)
 
 
+def test_greedy_peaks_of_one_large_grid_spread(spark):
+    from peakfield.operators import peaks
+
+    r = np.random.default_rng(5)
+    rows = [(None if i % 2 else 1, int(x), int(y), float(v)) for i, (x, y, v) in enumerate(zip(r.integers(-40, 40, 1500), r.integers(-40, 40, 1500), r.integers(0, 30, 1500), strict=True))]
+    df = spark.createDataFrame(rows, "grid long, x long, y long, score double")
+    for radius, most in ((3.5, 1000), (0.0, 50)):
+        want = []
+        for g in (None, 1):
+            left, rank = [x for x in rows if x[0] == g and x[3] >= 2], 0
+            while left and rank < most:
+                best = min(left, key=lambda p: (-p[3], p[2], p[1]))
+                rank += 1
+                want.append((g, rank, *best[1:]))
+                left = [p for p in left if (p[1] - best[1]) ** 2 + (p[2] - best[2]) ** 2 > radius**2]
+        got = peaks.greedy(df, 2.0, radius, most)
+        # no grid goes to one group
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as e
 
