@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranks import indexed
 
 
 def last_of(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -19,9 +20,8 @@ def first_present(*cols):
 
 
 def ranked_range(df: DataFrame, order: str, first: int, last: int) -> DataFrame:
-    """Rows first to last, both included, from 0 in the given order. The rank runs over the key alone in one window; only the key column goes there."""
-    rank = F.row_number().over(Window.orderBy(order)) - 1
-    return df.withColumn("row_index", rank).where(F.col("row_index").between(first, last))
+    """Rows first to last, both included, from 0 in the given order."""
+    return indexed(df, order).where(F.col("row_index").between(first, last)).withColumn("row_index", F.col("row_index").cast("int"))
 
 
 def compared(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

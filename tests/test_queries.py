@@ -70,6 +70,15 @@ def test_greedy_peaks_of_one_large_grid_spread(spark):
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+def test_range_of_ranks_has_no_global_window(spark):
+    from peakfield.operators import catalog
+
+    keys = [None, *np.random.default_rng(2).permutation(5000).tolist(), None]
+    got = catalog.ranked_range(spark.createDataFrame([(k,) for k in keys], "k int").repartition(7), "k", 1, 3000)
+    assert "windowspecdefinition(k" not in got._jdf.queryExecution().toString()
+    assert sorted((r.row_index, r.k) for r in got.collect() if r.k is not None) == [(k + 2, k) for k in range(2999)]
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as e
 
