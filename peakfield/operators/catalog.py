@@ -52,3 +52,19 @@ def error_metrics(df: DataFrame, reference: str, candidate: str, rtol: float = 1
 
 def percentiles(df: DataFrame, value: str, group: str) -> DataFrame:
     return df.groupBy(group).agg(*[F.percentile(value, q).alias(f"p{round(100 * q)}") for q in (0.5, 0.9, 0.95, 0.99)], F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.count("*").alias("n"))
+
+
+def fixed_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row for each line of each text that is not null: key, line (from 1), record, chain, element, x, y, z. The element is that of columns 77 and 78, or else the first
+    letter of the name; a coordinate that is no decimal number is null. Lines end with a line feed, alone or after a carriage return."""
+    line = df.select(key, F.posexplode(F.split(text, "\r?\n")).alias("at", "row"))
+    number = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+    def place(at: int):
+        t = F.trim(F.substring("row", at, 8))
+        return F.when(t.rlike(number), t.try_cast("double"))
+
+    stated = F.trim(F.substring("row", 77, 2))
+    element = F.when(stated != "", stated).otherwise(F.regexp_extract(F.substring("row", 13, 4), "[A-Za-z]", 0))
+    fields = [F.substring("row", 1, 6).alias("record"), F.substring("row", 22, 1).alias("chain"), element.alias("element"), place(31).alias("x"), place(39).alias("y"), place(47).alias("z")]
+    return line.select(key, (F.col("at") + 1).cast("long").alias("line"), *fields)

@@ -79,6 +79,16 @@ def test_range_of_ranks_has_no_global_window(spark):
     assert sorted((r.row_index, r.k) for r in got.collect() if r.k is not None) == [(k + 2, k) for k in range(2999)]
 
 
+def test_every_line_is_parsed(spark):
+    from peakfield.operators import catalog
+
+    atom = "ATOM      2  CA  ALA B   1      11.500  -2.250 1.0e+02  1.00  0.00          FE"
+    text = "HEADER\r\n" + atom + "\n" + atom[:54] + "\n"
+    got = catalog.fixed_lines(spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string"), "id", "text").collect()
+    want = [(1, 1, "HEADER", "", "", None, None, None), (1, 2, "ATOM  ", "B", "FE", 11.5, -2.25, 100.0), (1, 3, "ATOM  ", "B", "C", 11.5, -2.25, 100.0), (1, 4, "", "", "", None, None, None), (3, 1, "", "", "", None, None, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as e
 
