@@ -3,13 +3,14 @@
 Documents are range-partitioned by id and sorted, so files in order hold them in ascending id order. Every task encodes its
 documents and writes one file of ids; prefix sums of the tasks' totals give each file's base, and a second, small job writes
 every file's global offsets. Files are written under another name and then renamed, so that a task that runs again after a lost
-executor leaves one whole file. Readers map files of a local or shared file system into memory.
+executor leaves one whole file. A part has a bounded number of bytes of text, and its ids go to the file as they are made. Readers map files of a local or shared file system into memory.
 
 Files of part p: ids-p.bin (uint16 if the vocabulary allows, else uint32; little-endian), docs-p.bin (int64 document ids),
 offsets-p.bin (uint64, one more than documents: the place of each document's first id among all ids, and of the end).
 
 Cases: a null or empty text is the end id alone. A null document id is stored as the lowest int64, sorts first and is read back as
-null. Repeated ids stay, ordered by text. An empty table gives no parts. Special tokens' strings in a text are ordinary text.
+null. Repeated ids stay, ordered by text. An empty table gives no parts. Special tokens' strings in a text are ordinary text. A text
+of any length is encoded whole; a task holds one text or a few million characters at a time. Other columns of the table are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,21 +34,34 @@ from ._common import chunks, slim, small_batches
 NO_ID = np.iinfo(np.int64).min
 #: A text may be cut before a space with a visible character after it: the pre-tokenizer of byte-level BPE always ends a piece there.
 CUT = re.compile(r"(?= \S)")
-PLAIN = re.compile(r" ?\S+")
+#: Marks a piece that has no space before it.
+BARE = "\x00"
+#: Between a letter or digit and these the pre-tokenizer always ends a piece.
+TAIL = ".,;:!?"
+VISIBLE = re.compile(r" ?\S+")
 KEEP = 1_000_000
+#: Bytes of text in one part, which is one task's work and one file of ids.
+PART_BYTES = 256 << 20
 
 
-def put(uri: str, data: bytes) -> None:
+@contextmanager
+def placed(uri: str) -> Iterator:
+    """A stream to a file that gets its name when it is whole."""
     from pyarrow.fs import FileSystem
 
     fs, path = FileSystem.from_uri(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as f:
-        f.write(data)
+        yield f
     fs.move(part, path)
 
 
+def put(uri: str, data: np.ndarray) -> None:
+    with placed(uri) as f:
+        f.write(data.tobytes())
+
+
 def mapped(uri: str, dtype: str) -> np.ndarray:
     """The file as an array: a memory map where the file system is local or mounted, else its bytes."""
     from pyarrow.fs import FileSystem, LocalFileSystem
@@ -82,44 +98,70 @@ class Encoder:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces: those without inner white space as lines of one text, parted again at the line ends."""
-        plain = [p for p in pieces if PLAIN.fullmatch(p)]
-        other = [p for p in pieces if not PLAIN.fullmatch(p)]
-        found: list[np.ndarray] = []
-        counts: list[int] = []
-        for a in range(0, len(plain), 20_000):
-            part = plain[a : a + 20_000]
-            ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(ids == self.line[0])
-            if len(self.line) == 1 and len(ends) == len(part) - 1:
-                found.append(np.delete(ids, ends))
-                counts += np.diff(np.concatenate([[-1], ends, [len(ids)]])).__sub__(1).tolist()
+    def learn(self, keys: list[str]) -> None:
+        """Encodes new pieces. What stands before the punctuation at a word's end is encoded once for all words that differ in that alone."""
+        whole, parted = [], []
+        for k in keys:
+            core = k.rstrip(TAIL)
+            if len(core) < len(k) and core and core[-1].isalnum():
+                parted.append((k, core, BARE + k[len(core) :]))
             else:
-                other = part + other
-                plain[a : a + 20_000] = [""] * len(part)
-        plain = [p for p in plain if p]
-        for p in other:
-            ids = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32)
-            found.append(ids)
-            counts.append(len(ids))
-        for p in plain + other:
-            self.known[p] = len(self.known)
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts, dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, *found])
+                whole.append(k)
+        more = {x for _, *two in parted for x in two} - self.known.keys() - set(whole)
+        self.add([*whole, *more], *self.apart([*whole, *more]))
+        if parted:
+            two = np.fromiter((self.known[x] for _, *own in parted for x in own), np.int64, 2 * len(parted))
+            n = self.start[two + 1] - self.start[two]
+            self.add([k for k, *_ in parted], self.gathered(two, n), n.reshape(-1, 2).sum(1))
+
+    def apart(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces, one after another, and how many each has: visible ones as lines of one text, parted again at the line ends."""
+        pieces = [k[1:] if k[0] == BARE else k if k == "\n" else " " + k for k in keys]
+        ids, counts = [], []
+        for a in range(0, len(pieces), 20_000):
+            part = pieces[a : a + 20_000]
+            own = np.array(self.ids_of(["\n".join(part)])[0], np.uint32) if all(map(VISIBLE.fullmatch, part)) else np.zeros(0, np.uint32)
+            ends = np.flatnonzero(own == self.line[0])
+            if len(self.line) == 1 and len(ends) == len(part) - 1 and len(own):
+                ids.append(np.delete(own, ends))
+                counts.append(np.diff(np.concatenate([[-1], ends, [len(own)]])) - 1)
+            else:
+                each = self.ids_of(part)
+                ids += [np.array(x, np.uint32) for x in each]
+                counts.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *counts])
+
+    def add(self, keys: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def gathered(self, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Ids of known pieces, one after another; n: how many each has."""
+        return self.ids[np.arange(n.sum()) + np.repeat(self.start[code] - np.cumsum(n) + n, n)]
+
+    def ids_of(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def keys(text: str) -> list[str]:
+        """The pieces of a text: words with a space before them, line ends, and marked ones that have no space."""
+        if BARE in text or text.replace("\n", " ").split(" ") != text.split():  # white space other than single spaces and line ends
+            return [p[1:] if p[0] == " " and p[1:] and p[1] != BARE and p != " \n" else BARE + p for p in CUT.split(text) if p]
+        out = f"{BARE}{text}".replace("\n", " \n \x00").split(" ")
+        return out if out[0] != BARE else out[1:]
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by the end id, and how many each has."""
-        pieces = [CUT.split(t) if t else [] for t in texts]
+        pieces = [self.keys(t) for t in texts]
+        flat = list(chain.from_iterable(pieces))
         if len(self.known) > KEEP:
             self.forget()
-        new = [p for p in dict.fromkeys(x for own in pieces for x in own) if p not in self.known]
-        if new:
-            self.learn(new)
-        code = np.fromiter((self.known[x] for own in pieces for x in own), np.int64)
+        if new := dict.fromkeys(flat).keys() - self.known.keys():
+            self.learn(list(new))
+        code = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         n = self.start[code + 1] - self.start[code]
-        total = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.arange(total[-1]) - np.repeat(total[:-1], n) + np.repeat(self.start[code], n)]
+        total, ids = np.concatenate([[0], np.cumsum(n)]), self.gathered(code, n)
         ends = total[np.cumsum([len(p) for p in pieces])] if texts else np.zeros(0, np.int64)
         return np.insert(ids, ends, np.uint32(end)), np.diff(np.concatenate([[0], ends])) + 1
 
@@ -129,27 +171,30 @@ def write_tokens(df: DataFrame, uri: str, tokenizer: str, key: str = "doc_id", t
     spark = df.sparkSession
     small_batches(spark)
     own = slim(df, id=key, text=text)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     # the hash parts an id that stands on very many rows; equal ids stay in order of hash, then text
     ordered = own.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p, encoder = TaskContext.get().partitionId(), Encoder.of(tokenizer)
         kind = "<u2" if encoder.vocabulary <= 1 << 16 else "<u4"
-        ids, docs, lens = [], [], []
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            docs.append(batch["id"].fillna(NO_ID).to_numpy(np.int64) if batch["id"].dtype != object else np.array([NO_ID if x is None else x for x in batch["id"]], np.int64))
-            for a, b in chunks(texts, 4 << 20):
-                found, n = encoder.encode(texts[a:b], end)
-                ids.append(found.astype(kind))
-                lens.append(n)
-        if docs:
-            lens = np.concatenate(lens)
-            put(f"{uri}/ids-{p:06d}.bin", np.concatenate(ids).tobytes())
-            put(f"{uri}/docs-{p:06d}.bin", np.concatenate(docs).tobytes())
-            put(f"{uri}/lens-{p:06d}.bin", lens.astype(np.int64).tobytes())
-            yield pd.DataFrame({"part": [p], "tokens": [int(lens.sum())], "width": [int(kind[2])]})
+        docs, lens = [], []
+        first = next(batches, None)
+        if first is None:
+            return
+        with placed(f"{uri}/ids-{p:06d}.bin") as out:
+            for batch in chain([first], batches):
+                texts = [t or "" for t in batch["text"]]
+                docs.append(batch["id"].fillna(NO_ID).to_numpy(np.int64) if batch["id"].dtype != object else np.array([NO_ID if x is None else x for x in batch["id"]], np.int64))
+                for a, b in chunks(texts, 4 << 20):
+                    found, n = encoder.encode(texts[a:b], end)
+                    out.write(found.astype(kind).tobytes())
+                    lens.append(n)
+        lens = np.concatenate(lens).astype(np.int64) if lens else np.zeros(0, np.int64)
+        put(f"{uri}/docs-{p:06d}.bin", np.concatenate(docs))
+        put(f"{uri}/lens-{p:06d}.bin", lens)
+        yield pd.DataFrame({"part": [p], "tokens": [int(lens.sum())], "width": [int(kind[2])]})
 
     # one row for each part reaches the driver, whatever the number of documents
     rows = sorted(ordered.mapInPandas(encode, "part int, tokens long, width int").collect())
@@ -159,7 +204,7 @@ def write_tokens(df: DataFrame, uri: str, tokenizer: str, key: str = "doc_id", t
         for batch in batches:
             for r in batch.itertuples():
                 lens = mapped(f"{uri}/lens-{r.part:06d}.bin", "<i8")
-                put(f"{uri}/offsets-{r.part:06d}.bin", (r.base + np.concatenate([[0], np.cumsum(lens)])).astype("<u8").tobytes())
+                put(f"{uri}/offsets-{r.part:06d}.bin", (r.base + np.concatenate([[0], np.cumsum(lens)])).astype("<u8"))
             yield batch
 
     table = spark.createDataFrame([(r.part, b, r.width) for r, b in zip(rows, bases, strict=False)], "part int, base long, width int")
