@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -37,9 +37,10 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
-    """Bounds an Arrow batch by bytes, as a few long documents may fill one that is bounded by rows alone."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds an Arrow batch by bytes, as a few long documents may fill one that is bounded by rows alone. All operators take the same bound, so
+    a query built later changes nothing for one that has not run yet."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def slim(df: DataFrame, **cols: str) -> DataFrame:
