@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -76,3 +80,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 def is_held(id_col, modulus: int, rest: int):
     """Whether crc32 of the id as text has that remainder; a null id counts as remainder 0."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus, F.lit(0)) == rest
+
+
+@lru_cache(1)
+def one_thread() -> None:
+    """Keeps numpy's matrix products in the calling thread: Spark runs a task on each core already, and threads that wait for each other burn the
+    time of other tasks. Where numpy has another library than the one of its wheels, nothing is changed."""
+    for lib in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        if limit := getattr(ctypes.CDLL(lib), "scipy_openblas_set_num_threads64_", None):
+            limit(1)

@@ -1,49 +1,62 @@
-"""Language-model scores: a gated recurrent network over word classes, in numpy inside Spark tasks.
+"""Language-model scores: a gated recurrent network with a class-factored softmax, in numpy inside Spark tasks.
 
-Counts come from all training documents: every partition counts its own, and one shuffle adds them up. The most frequent words, a bounded
-number, have vectors of their own; other words are known to the network by their spelling class. The output is factored: a softmax over
-classes, given the state, and in a class a softmax over its words (classes of frequent words) or their share of the class's count
-(spelling classes, where the state decides on the class alone). In a spelling class half a count is added to each word and to one
-more, which stands for those never seen in training, so a class's words have probability 1 together. One more input begins a text.
+Counts come from all training documents: every partition counts its own, and one shuffle adds them up. The most frequent words (the
+head; 4096 at least, and more as the root of the number of distinct words grows) have vectors of their own, and classes of 128 by rank. Other words
+are known to the network by their spelling class. The output is factored: a softmax over classes, given the state, and in a class a softmax over
+its words, given the state too (the head), or their share of the class's count (spelling classes, where the state decides on the class alone). In a
+spelling class half a count is added to each word and to one more, which stands for those never seen in training, so a class's words have
+probability 1 together. One more input begins a text, and there the state is zero.
 
-The network learns by truncated backpropagation through windows of a fixed number of tokens; the state, not its gradient, crosses
-windows. Each round, every partition of the training documents trains a copy from the common weights on all its texts, block by block, and the copies
-are averaged by an aggregation over weights, so what is gathered grows with the corpus while the driver gets one set of weights. The number of words with
-vectors grows with the square root of the number of distinct words.
+The network learns by truncated backpropagation through windows of a fixed number of tokens; the state, not its gradient, crosses windows. Each
+training document is learned from once: a hash of its id puts it into one of two slices, and in a round every partition trains a copy of the common
+weights on all its texts of that slice, block by block. The copies are summed up by tokens in Spark, so what is gathered grows with the corpus while
+the driver gets one set of weights.
 
 Scoring carries the state through all windows of a text, so a text of any length has its whole likelihood. Words outside the frequent table
 need their counts: those tokens alone are joined with the counts, which may be any number.
 
 Cases: a null or empty text is the end token alone. Rows with a null id are training rows and are scored like others; repeated rows are scored
-alike and counted as often as they stand. Without training documents all words are unknown, and the base's V and N are 0 (N counts end tokens).
+alike and counted as often as they stand. Without training documents all words are unknown, and the base's V and N are 0 (N counts end tokens). Of
+the table only the id and the text are read, so no other column can clash. A very long text is scored in windows of all texts of its batch.
 """
 
 from __future__ import annotations
 
-import io
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import slim, small_batches, written
-from .neardup import words
+from ._common import one_thread, slim, small_batches, written
 
-END = "\n"  # no word holds white space, so this stands for the end of a text
-HEAD, PER_CLASS, SPELLINGS = 768, 32, 96
-HIDDEN, WINDOW, SHARE, ROUNDS = 24, 16, 1, 2
-#: Tokens that a task holds for training at a time.
-BLOCK = 1 << 18
+END = b"\n"  # no word holds white space, so this stands for the end of a text
+HEAD_CLASSES, PER_CLASS, SPELLINGS = 32, 128, 32
+HIDDEN, WINDOW, ROUNDS = 16, 16, 2
+RATE, STREAMS, LEAST_STREAM = 0.02, 512, 512
+#: Tokens that a task holds for training at a time; numbers in one row of summed weights.
+BLOCK, PIECE = 1 << 18, 1 << 12
+#: Tokens of texts that are scored together.
+TOGETHER = 1 << 21
+#: States are within 1, so output weights within this keep all exponents below 80.
+BOUND = 80 / HIDDEN
 
 
-def head_size(distinct: int) -> int:
-    """Words with vectors of their own, for that many distinct words: HEAD at least, and beyond some 37,000 as many classes as an eighth of the root."""
-    return max(HEAD, PER_CLASS * -(-math.isqrt(distinct) // 8))
+def words(text: str | None) -> list[bytes]:
+    """Words between ASCII white space, A-Z in lower case, in UTF-8, and the end."""
+    return [*(text or "").encode("utf-8", "replace").lower().split(), END]
+
+
+def head_classes(distinct: int) -> int:
+    """Classes of words with vectors of their own, for that many distinct words."""
+    return max(HEAD_CLASSES, math.isqrt(distinct) // 64)
 
 
 def counts(df: DataFrame) -> DataFrame:
@@ -51,276 +64,309 @@ def counts(df: DataFrame) -> DataFrame:
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
-
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"word": list(held), "n": list(held.values())})
-
         for part in parts:
-            for t in part["text"]:
-                held.update(words(t or ""))
-            held[END] += len(part)
+            held.update(chain.from_iterable(map(words, part["text"])))
             if len(held) > 500_000:
-                yield out()
+                yield pd.DataFrame({"word": list(held), "n": list(held.values())})
                 held.clear()
         if held:
-            yield out()
+            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+
+    return df.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-    return df.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def spelling(names: list[bytes]) -> np.ndarray:
+    """Spelling class of words: a hash of the last two bytes."""
+    return np.fromiter((zlib.crc32(w[-2:]) % SPELLINGS for w in names), np.int64, len(names))
 
-def spelling(names: list[str]) -> np.ndarray:
-    """Spelling class of words: a hash of the last two letters and of whether anything but ASCII letters is in the word."""
-    keys = np.array([w[-2:] + ("." if w.isascii() and w.isalpha() else "+") for w in names], object)
-    code, of = pd.factorize(keys)
-    h = pd.util.hash_array(np.asarray(of, object), categorize=False) if len(of) else np.zeros(0, np.uint64)
-    return (h % np.uint64(SPELLINGS)).astype(np.int64)[code]
+
+def spelled(word: str) -> Column:
+    """Spelling class of a column of words."""
+
+    @F.pandas_udf("int")
+    def own(names: pd.Series) -> pd.Series:
+        return pd.Series(spelling(names.tolist()), dtype="int32")
+
+    return own(word)
 
 
 @dataclass
 class Model:
-    """words: the frequent ones by falling count; n: their counts. Class c < heads has words c * per_class and on; then come the spelling
-    classes, then the input that begins a text. weights: the network's arrays."""
+    """words: the frequent ones by falling count; n: their counts. Class c < heads has words c * PER_CLASS and on; then come the spelling
+    classes. Inputs are the head, the spelling classes and the begin of a text. weights: the network's arrays."""
 
-    words: list[str]
+    words: list[bytes]
     n: np.ndarray
-    head: int
+    heads: int
     class_n: np.ndarray  # tokens of each spelling class outside the head
     class_v: np.ndarray  # and its distinct words
     total: int
     distinct: int
-    weights: dict[str, np.ndarray]
+    weights: dict[str, np.ndarray] = field(default_factory=dict)
+
+    @property
+    def base(self) -> int:
+        """The input of the first spelling class."""
+        return self.heads * PER_CLASS
 
     @property
-    def heads(self) -> int:
-        return -(-self.head // PER_CLASS)
+    def begin(self) -> int:
+        return self.base + SPELLINGS
 
     @property
-    def classes(self) -> int:
-        return self.heads + SPELLINGS + 1
+    def head(self) -> int:
+        return min(self.base, len(self.words))
 
     @classmethod
     def start(cls, table: pd.DataFrame, class_n: np.ndarray, class_v: np.ndarray, total: int, distinct: int, seed: int = 1) -> Model:
         """Weights that give the unigram distribution whatever the state."""
-        head = min(head_size(distinct), len(table))
-        m = cls(table["word"].tolist(), table["n"].to_numpy(np.int64), head, class_n, class_v, total, distinct, {})
+        m = cls(table["word"].tolist(), table["n"].to_numpy(np.int64), head_classes(distinct), class_n, class_v, total, distinct)
         r = np.random.default_rng(seed)
-        inputs = m.heads * PER_CLASS + SPELLINGS + 1
-        own = np.full(m.heads * PER_CLASS, 1e-4)
-        own[:head] = m.n[:head]
-        mass = np.concatenate([own.reshape(-1, PER_CLASS).sum(1), class_n + 0.5, [0.5]])
+        own = np.full(m.base, 1e-4)
+        own[: m.head] = m.n[: m.head]
+        own = own.reshape(-1, PER_CLASS)
+        mass = np.concatenate([own.sum(1), class_n + 0.5])
         m.weights = {
-            "x": r.normal(0, 0.3, (inputs, 3 * HIDDEN)).astype(np.float32),
+            "x": r.normal(0, 0.3, (m.begin + 1, 3 * HIDDEN)).astype(np.float32),
             "h": (r.normal(0, 0.5, (HIDDEN, 3 * HIDDEN)) / np.sqrt(HIDDEN)).astype(np.float32),
-            "c": np.zeros((HIDDEN, m.classes), np.float32), "cb": np.log(mass / mass.sum()).astype(np.float32),
-            "w": np.zeros((m.heads, HIDDEN, PER_CLASS), np.float32), "wb": np.log(own.reshape(-1, PER_CLASS)).astype(np.float32),
+            "c": np.zeros((HIDDEN, len(mass)), np.float32), "cb": np.log(mass / mass.sum()).astype(np.float32),
+            "w": np.zeros((m.heads, HIDDEN, PER_CLASS), np.float32), "wb": np.log(own).astype(np.float32),
         }
         return m
 
-    def codes(self, tokens: list[str]) -> np.ndarray:
-        """Place in the table of frequent words, or -1 - spelling class."""
+    def codes(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the table of frequent words, or -1, and the input of the network: head words have their own, others their spelling class."""
         if not hasattr(self, "at"):
             self.at = {w: i for i, w in enumerate(self.words)}
-        out = np.fromiter(map(self.at.get, tokens, (-1,) * len(tokens)), np.int64, len(tokens))
-        rare = np.flatnonzero(out < 0)
-        out[rare] = -1 - spelling([tokens[i] for i in rare])
-        return out
-
-    def network(self, code: np.ndarray) -> np.ndarray:
-        """Inputs of the network: head words have their own, other words their spelling class."""
-        base = self.heads * PER_CLASS
-        if not hasattr(self, "own"):
-            self.own = np.concatenate([np.arange(self.head), base + spelling(self.words[self.head :])]).astype(np.int64)
-        return np.where(code >= 0, self.own[np.maximum(code, 0)] if len(self.own) else 0, base - 1 - code)
+            self.own = np.concatenate([np.arange(self.head), self.base + spelling(self.words[self.head :]), [0]])
+        code = np.fromiter(map(self.at.get, tokens, (-1,) * len(tokens)), np.int64, len(tokens))
+        net, rare = self.own[code], np.flatnonzero(code < 0)
+        net[rare] = self.base + spelling([tokens[i] for i in rare.tolist()])
+        return code, net
 
     def classes_of(self, net: np.ndarray) -> np.ndarray:
-        base = self.heads * PER_CLASS
-        return np.where(net < base, net // PER_CLASS, self.heads + net - base)
+        return np.where(net < self.base, net // PER_CLASS, self.heads + net - self.base)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def step(w: dict, x: np.ndarray, h: np.ndarray):
-    """One gated step: update z, reset r, candidate n."""
-    a, b = w["x"][x], h @ w["h"]
+def step(w: dict, a: np.ndarray, h: np.ndarray):
+    """One gated step from the input's part a and the state: update z, reset r, candidate n."""
+    b = h @ w["h"]
     zr = sigmoid(a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN])
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    n = np.tanh(a[:, 2 * HIDDEN :] + r * b[:, 2 * HIDDEN :])
-    return n + z * (h - n), z, r, n, b[:, 2 * HIDDEN :]
+    z, r, own = zr[:, :HIDDEN], zr[:, HIDDEN:], b[:, 2 * HIDDEN :]
+    n = np.tanh(a[:, 2 * HIDDEN :] + r * own)
+    return n + z * (h - n), z, r, n, own
+
 
+def softmax(v: np.ndarray) -> np.ndarray:
+    """Of values below 88, which BOUND keeps them to."""
+    e = np.exp(v, out=v)
+    e /= e.sum(1, keepdims=True)
+    return e
 
-def softmax_parts(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    e = np.exp(v - v.max(1, keepdims=True))
-    return e, e.sum(1)
+
+def members(m: Model, c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The head classes that occur, each with its places in c."""
+    order = np.argsort(c.astype(np.int16), kind="stable")
+    ends = np.searchsorted(c[order], np.arange(m.heads + 1))
+    for k in np.flatnonzero(np.diff(ends)).tolist():
+        yield k, order[ends[k] : ends[k + 1]]
 
 
 def log_output(m: Model, h: np.ndarray, net: np.ndarray) -> np.ndarray:
     """Log-probability of each target's class, and of the word in it where that has a softmax (spelling classes: 0)."""
     w, c = m.weights, m.classes_of(net)
-    e, total = softmax_parts(h @ w["c"] + w["cb"])
-    out = np.log(e[np.arange(len(c)), c] / total + 1e-30)
-    order = np.argsort(c, kind="stable")
-    ends = np.searchsorted(c[order], np.arange(m.heads + 1))
-    for k in range(m.heads):
-        at = order[ends[k] : ends[k + 1]]
-        if len(at):
-            e, total = softmax_parts(h[at] @ w["w"][k] + w["wb"][k])
-            out[at] += np.log(e[np.arange(len(at)), net[at] - k * PER_CLASS] / total + 1e-30)
-    return out
+    p = softmax(h @ w["c"] + w["cb"])[np.arange(len(c)), c]
+    for k, at in members(m, c):
+        p[at] *= softmax(h[at] @ w["w"][k] + w["wb"][k])[np.arange(len(at)), net[at] - k * PER_CLASS]
+    return np.log(p.astype(np.float64) + 1e-30)
 
 
-def likelihood(m: Model, nets: list[np.ndarray], span: int = 64) -> np.ndarray:
+def likelihood(m: Model, nets: list[np.ndarray], held: int = 8192) -> np.ndarray:
     """Natural log-likelihood of each token sequence's classes and head words. All texts of a batch go forward together, longest first; the
-    state goes on from window to window, and the output layer sees one window of all texts at once."""
+    state goes on from window to window, and the output layer sees what has gathered of all texts at once."""
     order = np.argsort([-len(s) for s in nets], kind="stable")
-    lens = np.array([len(nets[i]) for i in order])
-    flat = np.concatenate([nets[i] for i in order])
-    base = np.concatenate([[0], np.cumsum(lens)])[:-1]
-    h = np.zeros((len(nets), HIDDEN), np.float32)
-    last = np.full(len(nets), m.heads * PER_CLASS + SPELLINGS)  # the last input begins every text
-    out, states, targets, of = np.zeros(len(nets)), [], [], []
-    held = 0
-    for t in range(lens[0] if len(lens) else 0):
-        live = int(np.searchsorted(-lens, -t, "left"))
-        h = step(m.weights, last[:live], h[:live])[0]
-        last = flat[base[:live] + t]
+    lens = np.array([len(nets[i]) for i in order], np.int64)
+    out = np.zeros(len(nets))
+    if not len(nets):
+        return out
+    flat, base = np.concatenate([nets[i] for i in order]), np.cumsum(lens) - lens
+    h, last = np.zeros((len(nets), HIDDEN), np.float32), np.full(len(nets), m.begin)
+    live = np.searchsorted(-lens, -np.arange(lens[0]), "left")
+    states, targets, size, first = [], [], 0, 0
+    for t in range(lens[0]):
+        h = step(m.weights, m.weights["x"][last[: live[t]]], h[: live[t]])[0]
+        last = flat[base[: live[t]] + t]
         states.append(h)
         targets.append(last)
-        of.append(live)
-        held += live
-        if held > 60_000 or t == lens[0] - 1 or (t + 1) % span == 0 and held > 20_000:
+        size += live[t]
+        if size > held or t == lens[0] - 1:
             lp = log_output(m, np.concatenate(states), np.concatenate(targets))
-            out += np.bincount(np.concatenate([np.arange(k) for k in of]), lp, len(nets))
-            states, targets, of, held = [], [], [], 0
+            out += np.bincount(np.concatenate([np.arange(k) for k in live[first : t + 1]]), lp, len(nets))
+            states, targets, size, first = [], [], 0, t + 1
     back = np.empty(len(nets))
     back[order] = out
     return back
 
 
 def gradients(m: Model, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """One window, batch by time: gradients of the mean loss, the state after it, the loss."""
-    w, (size, steps) = m.weights, x.shape
-    g = {k: np.zeros_like(v) for k, v in w.items()}
-    kept, hs = [], []
+    """One window, time by stream: gradients of the mean loss, the state after it, the loss. Of the inputs only the rows that occur have a gradient:
+    x is (rows, gradient). A state before the begin of a text is zero, and the begin of a text is no target."""
+    w, (steps, size) = m.weights, x.shape
+    parts, kept, hs = w["x"][x], [], []
+    fresh = (x == m.begin)[:, :, None]
     for t in range(steps):
-        new, z, r, n, b = step(w, x[:, t], h)
-        kept.append((h, z, r, n, b))
+        h = np.where(fresh[t], np.float32(0), h)
+        new, z, r, n, own = step(w, parts[t], h)
+        kept.append((h, z, r, n, own))
         h = new
         hs.append(h)
-    state, target = np.stack(hs, 1).reshape(-1, HIDDEN), y.reshape(-1)
-    scale, c = np.float32(1 / len(target)), m.classes_of(target)
-    e, total = softmax_parts(state @ w["c"] + w["cb"])
-    p = e / total[:, None]
-    loss = -np.log(p[np.arange(len(c)), c] + 1e-30).sum()
-    p[np.arange(len(c)), c] -= 1
+    told = np.flatnonzero(y.reshape(-1) != m.begin)
+    state, target = np.concatenate(hs)[told], y.reshape(-1)[told]
+    scale, c = np.float32(1 / max(1, len(target))), m.classes_of(target)
+    p = softmax(state @ w["c"] + w["cb"])
+    at = np.arange(len(c))
+    chosen = p[at, c].copy()
+    p[at, c] -= 1
     p *= scale
-    g["c"], g["cb"] = state.T @ p, p.sum(0)
+    g = {"c": state.T @ p, "cb": p.sum(0), "w": np.zeros_like(w["w"]), "wb": np.zeros_like(w["wb"])}
     back = p @ w["c"].T
-    order = np.argsort(c, kind="stable")
-    ends = np.searchsorted(c[order], np.arange(m.heads + 1))
-    for k in range(m.heads):
-        at = order[ends[k] : ends[k + 1]]
-        if len(at):
-            e, total = softmax_parts(state[at] @ w["w"][k] + w["wb"][k])
-            q, j = e / total[:, None], target[at] - k * PER_CLASS
-            loss -= np.log(q[np.arange(len(at)), j] + 1e-30).sum()
-            q[np.arange(len(at)), j] -= 1
-            q *= scale
-            g["w"][k], g["wb"][k] = state[at].T @ q, q.sum(0)
-            back[at] += q @ w["w"][k].T
-    back = back.reshape(size, steps, HIDDEN)
-    dh = np.zeros_like(h)
+    for k, at in members(m, c):
+        own, own_w = state[at], w["w"][k]
+        q, j = softmax(own @ own_w + w["wb"][k]), target[at] - k * PER_CLASS
+        some = np.arange(len(at))
+        chosen[at] *= q[some, j]
+        q[some, j] -= 1
+        q *= scale
+        g["w"][k], g["wb"][k] = own.T @ q, q.sum(0)
+        back[at] += q @ own_w.T
+    every = np.zeros((steps * size, HIDDEN), back.dtype)
+    every[told] = back
+    every = every.reshape(steps, size, HIDDEN)
+    dh, inner, outer = np.zeros_like(h), np.empty((steps, size, 3 * HIDDEN), h.dtype), np.empty((steps, size, 3 * HIDDEN), h.dtype)
     for t in reversed(range(steps)):
-        before, z, r, n, b = kept[t]
-        dh = dh + back[:, t]
+        before, z, r, n, own = kept[t]
+        dh = dh + every[t]
         dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * b * r * (1 - r)
-        inner = np.concatenate([dz, dr, dn * r], 1)
-        g["h"] += before.T @ inner
-        np.add.at(g["x"], x[:, t], np.concatenate([dz, dr, dn], 1))
-        dh = dh * z + inner @ w["h"].T
-    return g, h, float(loss * scale)
-
-
-def train(m: Model, stream: np.ndarray, rate: float = 0.01, batch: int = 32, moments: dict | None = None) -> Model:
-    """Adam over windows of a stream of inputs, cut into batch parallel streams, and more of them where the stream is long. moments: Adam's state, carried
-    from one stream to the next."""
-    batch = max(batch, min(8 * batch, len(stream) // 512))
-    steps = max(1, (len(stream) - 1) // batch)
-    batch = min(batch, max(1, len(stream) - 1))
-    x = stream[: batch * steps].reshape(batch, steps)
-    y = stream[1 : batch * steps + 1].reshape(batch, steps)
-    moments = {} if moments is None else moments
-    first = moments.setdefault("first", {k: np.zeros_like(v) for k, v in m.weights.items()})
-    second = moments.setdefault("second", {k: np.zeros_like(v) for k, v in m.weights.items()})
-    h, i = np.zeros((batch, HIDDEN), np.float32), moments.get("i", 0)
+        outer[t, :, :HIDDEN] = dh * (before - n) * z * (1 - z)
+        outer[t, :, HIDDEN : 2 * HIDDEN] = dn * own * r * (1 - r)
+        outer[t, :, 2 * HIDDEN :] = dn
+        inner[t] = outer[t]
+        inner[t, :, 2 * HIDDEN :] *= r
+        dh = np.where(fresh[t], np.float32(0), dh * z + inner[t] @ w["h"].T)
+    g["h"] = np.concatenate([k[0] for k in kept]).T @ inner.reshape(-1, 3 * HIDDEN)
+    rows, at = np.unique(x.reshape(-1), return_inverse=True)
+    sums = [np.bincount(at, v, len(rows)) for v in np.ascontiguousarray(outer.reshape(-1, 3 * HIDDEN).T)]
+    g["x"] = rows, np.stack(sums, 1).astype(h.dtype)
+    return g, h, float(-np.log(chosen + 1e-30).sum() * scale)
+
+
+def train(m: Model, stream: np.ndarray, moments: dict, rate: float = RATE) -> Model:
+    """Adam over windows of a stream of inputs, cut into parallel streams of LEAST_STREAM tokens or more. moments: Adam's state, carried from one stream
+    to the next; rows of inputs that don't occur keep theirs."""
+    batch = max(1, min(STREAMS, len(stream) // LEAST_STREAM))
+    steps = (len(stream) - 1) // batch
+    x = stream[: batch * steps].reshape(batch, steps).T
+    y = stream[1 : batch * steps + 1].reshape(batch, steps).T
+    h = np.zeros((batch, HIDDEN), np.float32)
+    if not moments:
+        moments |= {"i": 0, "first": {k: np.zeros_like(v) for k, v in m.weights.items()}, "second": {k: np.zeros_like(v) for k, v in m.weights.items()}}
     for a in range(0, steps, WINDOW):
-        g, h, _ = gradients(m, x[:, a : a + WINDOW], y[:, a : a + WINDOW], h)
-        i += 1
+        g, h, _ = gradients(m, x[a : a + WINDOW], y[a : a + WINDOW], h)
+        moments["i"] += 1
+        i = moments["i"]
         for k, d in g.items():
-            d = np.clip(d, -1, 1)
-            first[k] = 0.9 * first[k] + 0.1 * d
-            second[k] = 0.99 * second[k] + 0.01 * d * d
-            m.weights[k] = m.weights[k] - np.float32(rate) * (first[k] / (1 - 0.9**i)) / (np.sqrt(second[k] / (1 - 0.99**i)) + 1e-6)
-    moments["i"] = i
+            at, d = d if k == "x" else (slice(None), d)
+            first = moments["first"][k][at] * np.float32(0.9) + np.float32(0.1) * d
+            second = moments["second"][k][at] * np.float32(0.99) + np.float32(0.01) * d * d
+            moments["first"][k][at], moments["second"][k][at] = first, second
+            m.weights[k][at] -= np.float32(rate / (1 - 0.9**i)) * first / (np.sqrt(second / np.float32(1 - 0.99**i)) + np.float32(1e-6))
+        for k in ("c", "w"):
+            np.clip(m.weights[k], -BOUND, BOUND, out=m.weights[k])
     return m
 
 
+def summed(learned: DataFrame, parts: int) -> DataFrame:
+    """slot, size, data: the sums of all rows of a slot, first of those of some partitions (salt), then of all. A task holds one sum for each slot."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size: dict[int, float] = {}
+        data: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slot, own, more in zip(batch["slot"], batch["size"], batch["data"], strict=True):
+                size[slot] = size.get(slot, 0.0) + own
+                data[slot] = data[slot] + np.frombuffer(more) if slot in data else np.frombuffer(more)
+        for slot in data:
+            yield pd.DataFrame({"slot": [slot], "salt": 0, "size": size[slot], "data": [data[slot].tobytes()]})
+
+    for by in (("slot", "salt"), ("slot",)):
+        learned = learned.repartition(parts, *by).mapInPandas(add, "slot int, salt int, size double, data binary")
+    return learned
+
+
 def averaged(spark: SparkSession, m: Model, docs: DataFrame) -> Model:
-    """One round: each partition trains a copy on its texts, and an aggregation by weight averages the copies, by their tokens."""
+    """One round: each partition trains a copy on its texts, and the copies are averaged by their tokens."""
     shared = spark.sparkContext.broadcast(m)
 
-    def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, streams, moments = shared.value, [], {}
-        unknown = own.heads * PER_CLASS + SPELLINGS
-        copy = Model(own.words, own.n, own.head, own.class_n, own.class_v, own.total, own.distinct, dict(own.weights))
-        size = held = 0
-        for part in parts:
-            for t in part["text"]:
-                tokens = [*words(t or ""), END]
-                net = own.network(own.codes(tokens))
-                streams.append(np.concatenate([[unknown], net]))
-                size, held = size + len(net), held + len(net)
-                if held >= BLOCK:
-                    train(copy, np.concatenate(streams), moments=moments)
-                    streams, held = [], 0
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one_thread()
+        own, streams, moments, size, held = shared.value, [], {}, 0, 0
+        copy = Model(own.words, own.n, own.heads, own.class_n, own.class_v, own.total, own.distinct, {k: v.copy() for k, v in own.weights.items()})
+        for batch in batches:
+            texts = [words(t) for t in batch["text"]]
+            net = copy.codes(list(chain.from_iterable(texts)))[1]
+            ends = np.cumsum([len(t) for t in texts])
+            streams.append(np.insert(net, np.concatenate([[0], ends[:-1]]), copy.begin))
+            size, held = size + len(net), held + len(net)
+            if held >= BLOCK:
+                whole = np.concatenate(streams)
+                for a in range(0, len(whole), BLOCK):
+                    train(copy, whole[a : a + BLOCK + 1], moments)
+                streams, held = [], 0
         if streams:
-            train(copy, np.concatenate(streams), moments=moments)
+            train(copy, np.concatenate(streams), moments)
         if size:
-            for name, v in copy.weights.items():
-                yield pd.DataFrame({"name": name, "at": np.arange(v.size), "v": v.ravel().astype(np.float64) * size, "size": float(size)})
-
-    rows = docs.select("text").mapInPandas(learn, "name string, at int, v double, size double").groupBy("name", "at").agg((F.sum("v") / F.sum("size")).alias("v")).toPandas()
-    for name, part in rows.groupby("name"):
-        v = np.empty(m.weights[name].size, np.float32)
-        v[part["at"].to_numpy()] = part["v"].to_numpy()
-        m.weights[name] = v.reshape(m.weights[name].shape)
+            flat = np.concatenate([copy.weights[k].ravel() for k in sorted(copy.weights)]).astype(np.float64) * size
+            for slot in range(-(-len(flat) // PIECE)):
+                yield pd.DataFrame({"slot": [slot], "salt": TaskContext.get().partitionId() % 64, "size": float(size), "data": [flat[slot * PIECE : (slot + 1) * PIECE].tobytes()]})
+
+    rows = summed(docs.select("text").mapInPandas(learn, "slot int, salt int, size double, data binary"), int(spark.conf.get("spark.sql.shuffle.partitions"))).collect()
+    if rows:
+        flat, at = np.concatenate([np.frombuffer(r.data) / r.size for r in sorted(rows, key=lambda r: r.slot)]), 0
+        for k in sorted(m.weights):
+            m.weights[k] = flat[at : at + m.weights[k].size].reshape(m.weights[k].shape).astype(np.float32)
+            at += m.weights[k].size
     return m
 
 
-def fit(train_docs: DataFrame, frequent: int = 65_536, share: int = SHARE, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model, and the table of all counts (word, n). All training documents train the network; a share above 1 takes one of so many ids, for trials."""
+def fit(train_docs: DataFrame, frequent: int = 262_144, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """The model, and the table of all counts (word, n). A round learns from one slice of the training documents; all slices together are all of them.
+    The frequent words are those from the least count on that at most so many words have, so their number is bounded before they are collected."""
     spark = train_docs.sparkSession
     small_batches(spark)
     all_counts = written(counts(train_docs), "counts")
     sums = all_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    table = all_counts.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
-
-    @F.pandas_udf("int")
-    def spelled(names: pd.Series) -> pd.Series:
-        return pd.Series(spelling(names.tolist()), dtype="int32")
-
-    head = spark.createDataFrame([(w,) for w in table["word"][: head_size(sums.v)]], "word string")
+    # how many words have a count, by count to three figures and its digits: a few thousand rows at most
+    exact = F.col("n") < 1000
+    rounded = F.when(exact, F.col("n")).otherwise((F.col("n") / F.pow(10, F.length(F.col("n").cast("string")) - 3)).cast("long") * F.pow(10, F.length(F.col("n").cast("string")) - 3).cast("long"))
+    least, held = None, 0
+    for r in all_counts.groupBy(rounded.alias("least")).agg(F.count("*").alias("words")).orderBy(F.desc("least")).collect():
+        held += r.words
+        if held > frequent:
+            break
+        least = r.least
+    table = all_counts.where(F.col("n") >= least if least is not None else F.lit(False)).toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
+    head = spark.createDataFrame([(w,) for w in table["word"][: head_classes(sums.v) * PER_CLASS]], "word binary")
     per = all_counts.join(F.broadcast(head), "word", "left_anti").groupBy(spelled("word").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     class_n, class_v = np.zeros(SPELLINGS), np.zeros(SPELLINGS)
     for r in per:
         class_n[r.c], class_v[r.c] = r.n, r.v
     m = Model.start(table, class_n, class_v, sums.n, sums.v)
-    taught = train_docs.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0) if share > 1 else train_docs
-    for _ in range(rounds):
-        m = averaged(spark, m, taught)
+    for r in range(rounds):
+        m = averaged(spark, m, train_docs.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r))
     return m, all_counts
 
 
@@ -333,43 +379,49 @@ def score(docs: DataFrame, m: Model, all_counts: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        base = own.heads * PER_CLASS
         logs = np.log10((own.n + 0.5) / norm)
         # a frequent word outside the head: its share of its spelling class
-        spelled = spelling(own.words[own.head :])
         inside = np.zeros(len(own.words))
-        inside[own.head :] = np.log10((own.n[own.head :] + 0.5) / (own.class_n + 0.5 * (own.class_v + 1))[spelled]) if len(own.words) > own.head else 0
+        if len(own.words) > own.head:
+            inside[own.head :] = np.log10((own.n[own.head :] + 0.5) / (own.class_n + 0.5 * (own.class_v + 1))[spelling(own.words[own.head :])])
+        logs, inside = np.append(logs, 0.0), np.append(inside, 0.0)  # the last for words outside the table
+
+        def out(held: list[tuple]) -> pd.DataFrame:
+            """The rows of some batches, whose texts go through the network together."""
+            neural = likelihood(own, [x for _, nets in held for x in nets]) / np.log(10)
+            rows = pd.concat([rows for rows, _ in held], ignore_index=True)
+            return rows.assign(neural=rows["neural"] + neural)
+
+        held, size = [], 0
+        one_thread()
         for part in parts:
-            texts = [[*words(t or ""), END] for t in part["text"]]
-            flat = [w for t in texts for w in t]
+            texts = [words(t) for t in part["text"]]
+            flat = list(chain.from_iterable(texts))
             lens = np.array([len(t) for t in texts])
-            code = own.codes(flat)
-            of = np.repeat(np.arange(len(texts)), lens)
-            found = code >= 0
-            net = own.network(code)
-            cuts = np.cumsum(lens)[:-1]
-            neural = likelihood(own, np.split(net, cuts)) / np.log(10)
-            fixed = np.bincount(of[found], logs[code[found]], len(texts))
-            shares = np.bincount(of[found], inside[code[found]], len(texts))
-            known = np.bincount(of[found], minlength=len(texts))
-            rare: list[list] = [[] for _ in texts]
-            for i in np.flatnonzero(~found).tolist():
-                rare[of[i]].append(flat[i])
-            yield pd.DataFrame({"row": part["row"], "id": part["id"], "n_tokens": lens, "known": known, "fixed": fixed, "neural": neural + shares, "rare": rare})
-
-    first = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInPandas(run, "row long, id long, n_tokens long, known long, fixed double, neural double, rare array<string>")
+            code, net = own.codes(flat)
+            begin = np.cumsum(lens) - lens
+            total = lambda v: np.add.reduceat(v, begin)  # noqa: B023, E731
+            at = np.flatnonzero(code < 0)
+            cuts = np.searchsorted(at, begin)
+            names = [flat[i] for i in at.tolist()]
+            rare = [names[a:b] for a, b in zip(cuts, [*cuts[1:], len(names)], strict=True)]
+            rows = pd.DataFrame({"row": part["row"].to_numpy(), "id": part["id"].to_numpy(), "n_tokens": lens, "known": total((code >= 0).astype(np.int64)), "fixed": total(logs[code]), "neural": total(inside[code]), "rare": rare})
+            held.append((rows, np.split(net.astype(np.int32), begin[1:])))
+            size += len(net)
+            if size > TOGETHER:
+                yield out(held)
+                held, size = [], 0
+        if held:
+            yield out(held)
+
+    first = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInPandas(run, "row long, id long, n_tokens long, known long, fixed double, neural double, rare array<binary>")
     first = written(first, "lm-scores")
-    word = F.explode("rare").alias("word")
-    each = first.select("row", word).groupBy("row", "word").agg(F.count("*").alias("times")).join(all_counts, "word", "left")
+    each = first.select("row", F.explode("rare").alias("word")).join(all_counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
     sizes = F.array(*[F.lit(float(x)) for x in m.class_n + 0.5 * (m.class_v + 1)])
 
-    @F.pandas_udf("int")
-    def spelled(names: pd.Series) -> pd.Series:
-        return pd.Series(spelling(names.tolist()), dtype="int32")
-
     share = F.log10((c + F.lit(0.5)) / F.element_at(sizes, F.col("s") + 1))
-    each = each.withColumn("s", spelled("word")).groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("seen"), F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(norm))).alias("b"), F.sum(F.col("times") * share).alias("s"))
+    each = each.withColumn("s", spelled("word")).groupBy("row").agg(F.count_if(c > 0).alias("seen"), F.sum(F.log10((c + 0.5) / F.lit(norm))).alias("b"), F.sum(share).alias("s"))
     out = first.drop("rare").join(each, "row", "left")
     zero = lambda x: F.coalesce(x, F.lit(0))
     return out.select("id", "n_tokens", (F.col("known") + zero("seen")).alias("n_known"), (F.col("fixed") + zero("b")).alias("base_score"), (F.col("neural") + zero("s")).alias("score"))

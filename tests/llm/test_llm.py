@@ -264,56 +264,99 @@ def test_segmentations_use_pieces_of_several_spaces():
 def test_lm_gradients_are_those_of_the_loss():
     import pandas as pd
 
-    m = lm.Model.start(pd.DataFrame({"word": [f"w{i}" for i in range(40)], "n": range(80, 40, -1)}), np.ones(lm.SPELLINGS), np.ones(lm.SPELLINGS), 100, 50)
+    m = lm.Model.start(pd.DataFrame({"word": [b"w%d" % i for i in range(40)], "n": range(80, 40, -1)}), np.ones(lm.SPELLINGS), np.ones(lm.SPELLINGS), 100, 50)
     r = np.random.default_rng(0)
     m.weights = {k: (v + r.normal(0, 0.1, v.shape)).astype(np.float64) for k, v in m.weights.items()}
-    x, y, h = r.integers(0, 40, (3, 5)), r.integers(0, 40, (3, 5)), np.zeros((3, lm.HIDDEN))
+    x, y, h = r.integers(0, 40, (5, 3)), r.integers(0, 40, (5, 3)), r.normal(0, 0.3, (3, lm.HIDDEN))
+    x[2, 1] = y[1, 1] = m.begin
+    y[3, 2] = m.base + 3
     g, _, _ = lm.gradients(m, x, y, h)
-    for k, at in (("x", (int(x[0, 0]), 3)), ("h", (2, 5)), ("c", (1, 1)), ("cb", (1,)), ("w", (0, 3, 2)), ("wb", (0, 4))):
-        old = m.weights[k][at]
+    rows = dict(zip(g["x"][0].tolist(), g["x"][1], strict=True))
+    assert set(rows) == set(x.ravel().tolist())
+    for k, at in (("x", (int(x[0, 0]), 3)), ("x", (m.begin, 40)), ("h", (2, 5)), ("c", (1, 1)), ("cb", (1,)), ("w", (0, 3, 2)), ("wb", (0, 4))):
+        old, own = m.weights[k][at], rows[at[0]][at[1]] if k == "x" else g[k][at]
         m.weights[k][at] = old + 1e-4
         hi = lm.gradients(m, x, y, h)[2]
         m.weights[k][at] = old - 1e-4
         lo = lm.gradients(m, x, y, h)[2]
         m.weights[k][at] = old
-        assert abs((hi - lo) / 2e-4 - g[k][at]) < 1e-4
+        assert abs((hi - lo) / 2e-4 - own) < 1e-4
+
+
+def plain_score(m, counts, text):
+    """log10 probability of a text, word by word, from the weights."""
+    h, last, out, w = np.zeros(lm.HIDDEN), m.begin, 0.0, {k: v.astype(float) for k, v in m.weights.items()}
+    place, sig = {x: i for i, x in enumerate(m.words)}, lambda v: 1 / (1 + np.exp(-v))
+    for word in lm.words(text):
+        a, b = w["x"][last], h @ w["h"]
+        z, r = np.split(sig(a[: 2 * lm.HIDDEN] + b[: 2 * lm.HIDDEN]), 2)
+        n = np.tanh(a[2 * lm.HIDDEN :] + r * b[2 * lm.HIDDEN :])
+        h = (1 - z) * n + z * h
+        logits = h @ w["c"] + w["cb"]
+        at = place.get(word, m.head)
+        s = zlib.crc32(word[-2:]) % lm.SPELLINGS
+        last = at if at < m.head else m.base + s
+        c = last // lm.PER_CLASS if last < m.base else m.heads + s
+        out += logits[c] - np.log(np.exp(logits).sum())
+        if last < m.base:
+            own = h @ w["w"][c] + w["wb"][c]
+            out += own[last % lm.PER_CLASS] - np.log(np.exp(own).sum())
+        else:
+            out += np.log((counts.get(word, 0) + 0.5) / (m.class_n[s] + 0.5 * (m.class_v[s] + 1)))
+    return out / np.log(10)
 
 
 def test_lm_scores(spark, none):
+    """The query's own settings: base and score of every text against word-by-word sums, and held-out texts above the base."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").union(spark.createDataFrame(rows(), DOC).select("doc_id", "text", "lang", "source", "n_chars"))
     train = lambda c: ~is_held(c, 5, 1)
-    got = lm.scored(docs, train, share=2).collect()
+    got = lm.scored(docs, train).collect()
     all_rows = docs.collect()
     assert len(got) == len(all_rows)
     n = {}
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     for r in all_rows:
         if not held(r.doc_id):
-            for w in [*neardup.words(r.text or ""), "\n"]:
+            for w in lm.words(r.text):
                 n[w] = n.get(w, 0) + 1
     total, v = sum(n.values()), len(n)
-    base = {(r.doc_id, round(sum(np.log10((n.get(w, 0) + 0.5) / (total + 0.5 * (v + 1))) for w in [*neardup.words(r.text or ""), "\n"]), 4)) for r in all_rows}
+    base = {(r.doc_id, round(sum(np.log10((n.get(w, 0) + 0.5) / (total + 0.5 * (v + 1))) for w in lm.words(r.text)), 4)) for r in all_rows}
     assert {(r.id, round(r.base_score, 4)) for r in got} == base
     assert {r.train_tokens for r in got} == {total}
-    out = [r for r in got if r.held_out and r.n_tokens < 20_000]  # without the made-up long texts, whose words no training text has
+    assert {(r.id, r.n_tokens, r.n_known) for r in got} == {(r.doc_id, len(lm.words(r.text)), sum(w in n for w in lm.words(r.text))) for r in all_rows}
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = [r for r in lm.scored(real, train).collect() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    assert np.mean([r.score > r.base_score for r in out]) > 0.8
     assert lm.scored(none, train).count() == 0
 
 
+def test_lm_score_is_the_models_probability(spark):
+    made = [(i, t) for i, t in enumerate(["a b c a b", "a a zz", "", None, "q " * 300, "b c a"])] + [(9, "never seen"), (None, "a b")]
+    docs = spark.createDataFrame(made, "id long, text string")
+    m, table = lm.fit(docs.where("id is null or id < 6"))
+    n = {bytes(r.word): r.n for r in table.collect()}
+    m.words, m.n = m.words[:3], m.n[:3]  # so that some words are known by their count alone
+    left = [w for w in n if w not in m.words]
+    m.class_n, m.class_v = (np.bincount(lm.spelling(left), x, lm.SPELLINGS) for x in ([n[w] for w in left], [1] * len(left)))
+    for r in lm.score(docs, m, table).collect():
+        text = next(t for i, t in made if i == r.id)
+        assert abs(r.score - plain_score(m, n, text)) < 1e-3 * (1 + abs(r.score))
+
+
 def test_lm_trains_on_every_document(spark):
-    rows = [(i, f"v{i} one two three four five") for i in range(30)]
-    docs = spark.createDataFrame(rows, "id long, text string").where(F.pmod(F.xxhash64("text"), F.lit(24)) != 0)
-    for one in docs.limit(3).collect():
-        m, _ = lm.fit(spark.createDataFrame([one], "id long, text string"))
+    """Each document alone changes the weights, whatever slice its id falls into."""
+    for i in range(4):
+        m, _ = lm.fit(spark.createDataFrame([(i, f"v{i} one two three four five")], "id long, text string"))
         assert np.abs(m.weights["c"]).max() > 0
 
 
 def test_lm_head_grows_with_the_counts():
     import pandas as pd
 
-    table = pd.DataFrame({"word": [f"w{i}" for i in range(5000)], "n": range(5000, 0, -1)})
-    m = lm.Model.start(table, np.ones(lm.SPELLINGS), np.ones(lm.SPELLINGS), 10**8, 10**6)
-    assert m.head == 4000 and m.weights["x"].shape[0] == 4000 + lm.SPELLINGS + 1
+    table = pd.DataFrame({"word": [b"w%d" % i for i in range(9000)], "n": range(9000, 0, -1)})
+    m = lm.Model.start(table, np.ones(lm.SPELLINGS), np.ones(lm.SPELLINGS), 10**8, 10**7)
+    assert m.head == 6272 and m.weights["x"].shape[0] == 6272 + lm.SPELLINGS + 1
 
 
 def brute_counts(t):
