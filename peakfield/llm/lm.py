@@ -32,7 +32,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import one_thread, slim, small_batches, written
@@ -129,9 +129,10 @@ class Model:
         m.weights = {
             "x": r.normal(0, 0.3, (m.begin + 1, 3 * HIDDEN)).astype(np.float32),
             "h": (r.normal(0, 0.5, (HIDDEN, 3 * HIDDEN)) / np.sqrt(HIDDEN)).astype(np.float32),
-            "c": np.zeros((HIDDEN, len(mass)), np.float32), "cb": np.log(mass / mass.sum()).astype(np.float32),
-            "w": np.zeros((m.heads, HIDDEN, PER_CLASS), np.float32), "wb": np.log(own).astype(np.float32),
+            "c": np.zeros((HIDDEN + 1, len(mass)), np.float32),
+            "w": np.zeros((m.heads, HIDDEN + 1, PER_CLASS), np.float32),
         }
+        m.weights["c"][HIDDEN], m.weights["w"][:, HIDDEN] = np.log(mass / mass.sum()), np.log(own)  # the last row is the bias
         return m
 
     def codes(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,11 +162,18 @@ def step(w: dict, a: np.ndarray, h: np.ndarray):
     return n + z * (h - n), z, r, n, own
 
 
-def softmax(v: np.ndarray) -> np.ndarray:
-    """Of values below 88, which BOUND keeps them to."""
-    e = np.exp(v, out=v)
-    e /= e.sum(1, keepdims=True)
-    return e
+def with_one(h: np.ndarray) -> np.ndarray:
+    """States with the input of the biases."""
+    out = np.ones((len(h), HIDDEN + 1), h.dtype)
+    out[:, :HIDDEN] = h
+    return out
+
+
+def chosen_and_sum(v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turns each row of v (below 88, which BOUND keeps it to) into its exponentials. The log-probability of the place at, and the row's sum."""
+    own = v[np.arange(len(at)), at]
+    total = np.exp(v, out=v).sum(1)
+    return own - np.log(total), total
 
 
 def members(m: Model, c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -178,11 +186,11 @@ def members(m: Model, c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def log_output(m: Model, h: np.ndarray, net: np.ndarray) -> np.ndarray:
     """Log-probability of each target's class, and of the word in it where that has a softmax (spelling classes: 0)."""
-    w, c = m.weights, m.classes_of(net)
-    p = softmax(h @ w["c"] + w["cb"])[np.arange(len(c)), c]
+    w, c, h = m.weights, m.classes_of(net), with_one(h)
+    out = chosen_and_sum(h @ w["c"], c)[0]
     for k, at in members(m, c):
-        p[at] *= softmax(h[at] @ w["w"][k] + w["wb"][k])[np.arange(len(at)), net[at] - k * PER_CLASS]
-    return np.log(p.astype(np.float64) + 1e-30)
+        out[at] += chosen_and_sum(h[at] @ w["w"][k], net[at] - k * PER_CLASS)[0]
+    return out.astype(np.float64)
 
 
 def likelihood(m: Model, nets: list[np.ndarray], held: int = 8192) -> np.ndarray:
@@ -225,24 +233,27 @@ def gradients(m: Model, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[di
         h = new
         hs.append(h)
     told = np.flatnonzero(y.reshape(-1) != m.begin)
-    state, target = np.concatenate(hs)[told], y.reshape(-1)[told]
+    state, target = with_one(np.concatenate(hs)[told]), y.reshape(-1)[told]
     scale, c = np.float32(1 / max(1, len(target))), m.classes_of(target)
-    p = softmax(state @ w["c"] + w["cb"])
-    at = np.arange(len(c))
-    chosen = p[at, c].copy()
-    p[at, c] -= 1
-    p *= scale
-    g = {"c": state.T @ p, "cb": p.sum(0), "w": np.zeros_like(w["w"]), "wb": np.zeros_like(w["wb"])}
-    back = p @ w["c"].T
+
+    def share(v: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Gradient of the loss by the values v, which are overwritten; adds to the loss."""
+        nonlocal loss
+        lp, total = chosen_and_sum(v, at)
+        loss -= float(lp.sum())
+        v *= (scale / total)[:, None]
+        v[np.arange(len(at)), at] -= scale
+        return v
+
+    loss = 0.0
+    p = share(state @ w["c"], c)
+    g = {"c": state.T @ p, "w": np.zeros_like(w["w"])}
+    back = p @ w["c"][:HIDDEN].T
     for k, at in members(m, c):
         own, own_w = state[at], w["w"][k]
-        q, j = softmax(own @ own_w + w["wb"][k]), target[at] - k * PER_CLASS
-        some = np.arange(len(at))
-        chosen[at] *= q[some, j]
-        q[some, j] -= 1
-        q *= scale
-        g["w"][k], g["wb"][k] = own.T @ q, q.sum(0)
-        back[at] += q @ own_w.T
+        q = share(own @ own_w, target[at] - k * PER_CLASS)
+        g["w"][k] = own.T @ q
+        back[at] += q @ own_w[:HIDDEN].T
     every = np.zeros((steps * size, HIDDEN), back.dtype)
     every[told] = back
     every = every.reshape(steps, size, HIDDEN)
@@ -261,7 +272,7 @@ def gradients(m: Model, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[di
     rows, at = np.unique(x.reshape(-1), return_inverse=True)
     sums = [np.bincount(at, v, len(rows)) for v in np.ascontiguousarray(outer.reshape(-1, 3 * HIDDEN).T)]
     g["x"] = rows, np.stack(sums, 1).astype(h.dtype)
-    return g, h, float(-np.log(chosen + 1e-30).sum() * scale)
+    return g, h, loss * float(scale)
 
 
 def train(m: Model, stream: np.ndarray, moments: dict, rate: float = RATE) -> Model:
@@ -285,7 +296,8 @@ def train(m: Model, stream: np.ndarray, moments: dict, rate: float = RATE) -> Mo
             moments["first"][k][at], moments["second"][k][at] = first, second
             m.weights[k][at] -= np.float32(rate / (1 - 0.9**i)) * first / (np.sqrt(second / np.float32(1 - 0.99**i)) + np.float32(1e-6))
         for k in ("c", "w"):
-            np.clip(m.weights[k], -BOUND, BOUND, out=m.weights[k])
+            own = m.weights[k][..., :HIDDEN, :]
+            np.clip(own, -BOUND, BOUND, out=own)
     return m
 
 
@@ -307,8 +319,40 @@ def summed(learned: DataFrame, parts: int) -> DataFrame:
     return learned
 
 
-def averaged(spark: SparkSession, m: Model, docs: DataFrame) -> Model:
-    """One round: each partition trains a copy on its texts, and the copies are averaged by their tokens."""
+def encoded(docs: DataFrame, m: Model) -> DataFrame:
+    """docs: id, text. Per row: a number of its own, id, n_tokens, n_known and base_score as far as the frequent words go, inside (what these add to the
+    network's score), net (the network's inputs) and rare (the other words). It is written, so the numbers stay as they are if an executor is lost."""
+    shared = docs.sparkSession.sparkContext.broadcast(m)
+    norm = m.total + 0.5 * (m.distinct + 1)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        logs = np.log10((own.n + 0.5) / norm)
+        # a frequent word outside the head: its share of its spelling class
+        inside = np.zeros(len(own.words))
+        if len(own.words) > own.head:
+            inside[own.head :] = np.log10((own.n[own.head :] + 0.5) / (own.class_n + 0.5 * (own.class_v + 1))[spelling(own.words[own.head :])])
+        logs, inside = np.append(logs, 0.0), np.append(inside, 0.0)  # the last for words outside the table
+        for part in parts:
+            texts = [words(t) for t in part["text"]]
+            flat = list(chain.from_iterable(texts))
+            lens = np.array([len(t) for t in texts])
+            code, net = own.codes(flat)
+            begin = np.cumsum(lens) - lens
+            total = lambda v: np.add.reduceat(v, begin)  # noqa: B023, E731
+            at = np.flatnonzero(code < 0)
+            cuts = np.searchsorted(at, begin)
+            names = [flat[i] for i in at.tolist()]
+            rare = [names[a:b] for a, b in zip(cuts, [*cuts[1:], len(names)], strict=True)]
+            yield pd.DataFrame({"row": part["row"], "id": part["id"], "n_tokens": lens, "known": total((code >= 0).astype(np.int64)), "fixed": total(logs[code]), "inside": total(inside[code]), "net": np.split(net.astype(np.int32), begin[1:]), "rare": rare})
+
+    own = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInPandas(run, "row long, id long, n_tokens long, known long, fixed double, inside double, net array<int>, rare array<binary>")
+    return written(own, "encoded")
+
+
+def averaged(m: Model, inputs: DataFrame) -> Model:
+    """One round over inputs (net): each partition trains a copy on its texts, and the copies are averaged by their tokens."""
+    spark = inputs.sparkSession
     shared = spark.sparkContext.broadcast(m)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -316,9 +360,7 @@ def averaged(spark: SparkSession, m: Model, docs: DataFrame) -> Model:
         own, streams, moments, size, held = shared.value, [], {}, 0, 0
         copy = Model(own.words, own.n, own.heads, own.class_n, own.class_v, own.total, own.distinct, {k: v.copy() for k, v in own.weights.items()})
         for batch in batches:
-            texts = [words(t) for t in batch["text"]]
-            net = copy.codes(list(chain.from_iterable(texts)))[1]
-            ends = np.cumsum([len(t) for t in texts])
+            net, ends = np.concatenate(batch["net"].tolist()), np.cumsum([len(x) for x in batch["net"]])
             streams.append(np.insert(net, np.concatenate([[0], ends[:-1]]), copy.begin))
             size, held = size + len(net), held + len(net)
             if held >= BLOCK:
@@ -333,7 +375,7 @@ def averaged(spark: SparkSession, m: Model, docs: DataFrame) -> Model:
             for slot in range(-(-len(flat) // PIECE)):
                 yield pd.DataFrame({"slot": [slot], "salt": TaskContext.get().partitionId() % 64, "size": float(size), "data": [flat[slot * PIECE : (slot + 1) * PIECE].tobytes()]})
 
-    rows = summed(docs.select("text").mapInPandas(learn, "slot int, salt int, size double, data binary"), int(spark.conf.get("spark.sql.shuffle.partitions"))).collect()
+    rows = summed(inputs.select("net").mapInPandas(learn, "slot int, salt int, size double, data binary"), int(spark.conf.get("spark.sql.shuffle.partitions"))).collect()
     if rows:
         flat, at = np.concatenate([np.frombuffer(r.data) / r.size for r in sorted(rows, key=lambda r: r.slot)]), 0
         for k in sorted(m.weights):
@@ -342,9 +384,9 @@ def averaged(spark: SparkSession, m: Model, docs: DataFrame) -> Model:
     return m
 
 
-def fit(train_docs: DataFrame, frequent: int = 262_144, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model, and the table of all counts (word, n). A round learns from one slice of the training documents; all slices together are all of them.
-    The frequent words are those from the least count on that at most so many words have, so their number is bounded before they are collected."""
+def started(train_docs: DataFrame, frequent: int = 262_144) -> tuple[Model, DataFrame]:
+    """The model before training, and the table of all counts (word, n). The frequent words are those from the least count on that at most so many words
+    have, so their number is bounded before they are collected."""
     spark = train_docs.sparkSession
     small_batches(spark)
     all_counts = written(counts(train_docs), "counts")
@@ -364,72 +406,55 @@ def fit(train_docs: DataFrame, frequent: int = 262_144, rounds: int = ROUNDS) ->
     class_n, class_v = np.zeros(SPELLINGS), np.zeros(SPELLINGS)
     for r in per:
         class_n[r.c], class_v[r.c] = r.n, r.v
-    m = Model.start(table, class_n, class_v, sums.n, sums.v)
+    return Model.start(table, class_n, class_v, sums.n, sums.v), all_counts
+
+
+def trained(m: Model, inputs: DataFrame, rounds: int = ROUNDS) -> Model:
+    """inputs: id, net of the training documents. A round learns from one slice of them; all slices together are all of them."""
     for r in range(rounds):
-        m = averaged(spark, m, train_docs.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r))
-    return m, all_counts
+        m = averaged(m, inputs.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r))
+    return m
 
 
-def score(docs: DataFrame, m: Model, all_counts: DataFrame) -> DataFrame:
-    """docs: id, text. Per row: id, n_tokens, n_known, base_score, score (log10). A row number joins the rare words back; it is written
-    with the first scores, so it stays as it was if an executor is lost."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(m)
-    norm = m.total + 0.5 * (m.distinct + 1)
+def score(rows: DataFrame, m: Model, all_counts: DataFrame) -> DataFrame:
+    """rows: as encoded() gives them. Per row: id, n_tokens, n_known, base_score, score (log10)."""
+    shared = rows.sparkSession.sparkContext.broadcast(m)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        logs = np.log10((own.n + 0.5) / norm)
-        # a frequent word outside the head: its share of its spelling class
-        inside = np.zeros(len(own.words))
-        if len(own.words) > own.head:
-            inside[own.head :] = np.log10((own.n[own.head :] + 0.5) / (own.class_n + 0.5 * (own.class_v + 1))[spelling(own.words[own.head :])])
-        logs, inside = np.append(logs, 0.0), np.append(inside, 0.0)  # the last for words outside the table
+        held, size = [], 0
+        one_thread()
 
-        def out(held: list[tuple]) -> pd.DataFrame:
+        def out() -> pd.DataFrame:
             """The rows of some batches, whose texts go through the network together."""
-            neural = likelihood(own, [x for _, nets in held for x in nets]) / np.log(10)
-            rows = pd.concat([rows for rows, _ in held], ignore_index=True)
-            return rows.assign(neural=rows["neural"] + neural)
+            own = pd.concat(held, ignore_index=True)
+            return own[["row"]].assign(neural=likelihood(shared.value, own["net"].tolist()) / np.log(10))
 
-        held, size = [], 0
-        one_thread()
         for part in parts:
-            texts = [words(t) for t in part["text"]]
-            flat = list(chain.from_iterable(texts))
-            lens = np.array([len(t) for t in texts])
-            code, net = own.codes(flat)
-            begin = np.cumsum(lens) - lens
-            total = lambda v: np.add.reduceat(v, begin)  # noqa: B023, E731
-            at = np.flatnonzero(code < 0)
-            cuts = np.searchsorted(at, begin)
-            names = [flat[i] for i in at.tolist()]
-            rare = [names[a:b] for a, b in zip(cuts, [*cuts[1:], len(names)], strict=True)]
-            rows = pd.DataFrame({"row": part["row"].to_numpy(), "id": part["id"].to_numpy(), "n_tokens": lens, "known": total((code >= 0).astype(np.int64)), "fixed": total(logs[code]), "neural": total(inside[code]), "rare": rare})
-            held.append((rows, np.split(net.astype(np.int32), begin[1:])))
-            size += len(net)
+            held.append(part)
+            size += sum(map(len, part["net"]))
             if size > TOGETHER:
-                yield out(held)
+                yield out()
                 held, size = [], 0
         if held:
-            yield out(held)
+            yield out()
 
-    first = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInPandas(run, "row long, id long, n_tokens long, known long, fixed double, neural double, rare array<binary>")
-    first = written(first, "lm-scores")
-    each = first.select("row", F.explode("rare").alias("word")).join(all_counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
     sizes = F.array(*[F.lit(float(x)) for x in m.class_n + 0.5 * (m.class_v + 1)])
-
     share = F.log10((c + F.lit(0.5)) / F.element_at(sizes, F.col("s") + 1))
-    each = each.withColumn("s", spelled("word")).groupBy("row").agg(F.count_if(c > 0).alias("seen"), F.sum(F.log10((c + 0.5) / F.lit(norm))).alias("b"), F.sum(share).alias("s"))
-    out = first.drop("rare").join(each, "row", "left")
+    norm = F.lit(m.total + 0.5 * (m.distinct + 1))
+    rare = rows.select("row", F.explode("rare").alias("word")).join(all_counts, "word", "left").withColumn("s", spelled("word"))
+    sums = rare.groupBy("row").agg(F.count_if(c > 0).alias("seen"), F.sum(F.log10((c + 0.5) / norm)).alias("b"), F.sum(share).alias("s"))
+    neural = rows.select("row", "net").mapInPandas(run, "row long, neural double")
+    out = rows.drop("net", "rare").join(neural, "row").join(sums, "row", "left")
     zero = lambda x: F.coalesce(x, F.lit(0))
-    return out.select("id", "n_tokens", (F.col("known") + zero("seen")).alias("n_known"), (F.col("fixed") + zero("b")).alias("base_score"), (F.col("neural") + zero("s")).alias("score"))
+    return out.select("id", "n_tokens", (F.col("known") + zero("seen")).alias("n_known"), (F.col("fixed") + zero("b")).alias("base_score"), (F.col("neural") + F.col("inside") + zero("s")).alias("score"))
 
 
 def scored(df: DataFrame, is_training, key: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of df. is_training: of the id column, whether a row may be learned from."""
     docs = slim(df, id=key, text=text)
-    model, all_counts = fit(docs.where(is_training(F.col("id"))), **params)
-    each = score(docs, model, all_counts)
+    model, all_counts = started(docs.where(is_training(F.col("id"))), **params)
+    rows = encoded(docs, model)
+    model = trained(model, rows.where(is_training(F.col("id"))))
+    each = score(rows, model, all_counts)
     return each.select("id", (~is_training(F.col("id"))).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

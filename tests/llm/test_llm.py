@@ -273,7 +273,7 @@ def test_lm_gradients_are_those_of_the_loss():
     g, _, _ = lm.gradients(m, x, y, h)
     rows = dict(zip(g["x"][0].tolist(), g["x"][1], strict=True))
     assert set(rows) == set(x.ravel().tolist())
-    for k, at in (("x", (int(x[0, 0]), 3)), ("x", (m.begin, 40)), ("h", (2, 5)), ("c", (1, 1)), ("cb", (1,)), ("w", (0, 3, 2)), ("wb", (0, 4))):
+    for k, at in (("x", (int(x[0, 0]), 3)), ("x", (m.begin, 40)), ("h", (2, 5)), ("c", (1, 1)), ("c", (lm.HIDDEN, 1)), ("w", (0, 3, 2)), ("w", (0, lm.HIDDEN, 4))):
         old, own = m.weights[k][at], rows[at[0]][at[1]] if k == "x" else g[k][at]
         m.weights[k][at] = old + 1e-4
         hi = lm.gradients(m, x, y, h)[2]
@@ -292,14 +292,14 @@ def plain_score(m, counts, text):
         z, r = np.split(sig(a[: 2 * lm.HIDDEN] + b[: 2 * lm.HIDDEN]), 2)
         n = np.tanh(a[2 * lm.HIDDEN :] + r * b[2 * lm.HIDDEN :])
         h = (1 - z) * n + z * h
-        logits = h @ w["c"] + w["cb"]
+        logits = np.append(h, 1) @ w["c"]
         at = place.get(word, m.head)
         s = zlib.crc32(word[-2:]) % lm.SPELLINGS
         last = at if at < m.head else m.base + s
         c = last // lm.PER_CLASS if last < m.base else m.heads + s
         out += logits[c] - np.log(np.exp(logits).sum())
         if last < m.base:
-            own = h @ w["w"][c] + w["wb"][c]
+            own = np.append(h, 1) @ w["w"][c]
             out += own[last % lm.PER_CLASS] - np.log(np.exp(own).sum())
         else:
             out += np.log((counts.get(word, 0) + 0.5) / (m.class_n[s] + 0.5 * (m.class_v[s] + 1)))
@@ -334,12 +334,13 @@ def test_lm_scores(spark, none):
 def test_lm_score_is_the_models_probability(spark):
     made = [(i, t) for i, t in enumerate(["a b c a b", "a a zz", "", None, "q " * 300, "b c a"])] + [(9, "never seen"), (None, "a b")]
     docs = spark.createDataFrame(made, "id long, text string")
-    m, table = lm.fit(docs.where("id is null or id < 6"))
+    m, table = lm.started(docs.where("id is null or id < 6"))
+    m = lm.trained(m, lm.encoded(docs, m))
     n = {bytes(r.word): r.n for r in table.collect()}
     m.words, m.n = m.words[:3], m.n[:3]  # so that some words are known by their count alone
     left = [w for w in n if w not in m.words]
     m.class_n, m.class_v = (np.bincount(lm.spelling(left), x, lm.SPELLINGS) for x in ([n[w] for w in left], [1] * len(left)))
-    for r in lm.score(docs, m, table).collect():
+    for r in lm.score(lm.encoded(docs, m), m, table).collect():
         text = next(t for i, t in made if i == r.id)
         assert abs(r.score - plain_score(m, n, text)) < 1e-3 * (1 + abs(r.score))
 
@@ -347,8 +348,11 @@ def test_lm_score_is_the_models_probability(spark):
 def test_lm_trains_on_every_document(spark):
     """Each document alone changes the weights, whatever slice its id falls into."""
     for i in range(4):
-        m, _ = lm.fit(spark.createDataFrame([(i, f"v{i} one two three four five")], "id long, text string"))
-        assert np.abs(m.weights["c"]).max() > 0
+        one = spark.createDataFrame([(i, f"v{i} one two three four five")], "id long, text string")
+        m, _ = lm.started(one)
+        assert not np.abs(m.weights["c"][: lm.HIDDEN]).max()
+        m = lm.trained(m, lm.encoded(one, m))
+        assert np.abs(m.weights["c"][: lm.HIDDEN]).max() > 0
 
 
 def test_lm_head_grows_with_the_counts():
