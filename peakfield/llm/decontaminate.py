@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index for each training shard.
 
-A shard is a run of whole documents of a few million characters, as they arrive in a task. Its words become symbols of the
+A shard is a run of whole documents of a few million characters, as they arrive in a task; a longer document is a shard of its own. Its words become symbols of the
 benchmark's vocabulary. A word outside it can't lie in an occurrence, so runs of such words, and known words in runs shorter
 than the shortest phrase, shrink to one mark without loss. Over that text: suffix order by prefix doubling, its BWT
 in a wavelet matrix, and the suffix positions of every eighth place and of the start of each run. All phrases are searched
@@ -11,7 +11,7 @@ non-ASCII characters. Items go to the tasks in blocks of bounded size; a benchma
 
 Cases: null and wordless texts have no words and no hits; null and wordless items have no phrases. Items with equal phrases
 all count. Repeated document rows are judged alike; repeated item rows count once; a null item id is left out. Documents are never parted
-between shards. Other columns, whatever their names, pass through untouched.
+between shards. Empty tables give no rows, or no hits. Other columns, whatever their names, pass through untouched.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,27 +27,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import chunks, free_name, mix, small_batches
-from .neardup import LOWER
 
 #: Fixed by the contract: what a word is made of, after lower-casing A-Z.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WINDOW = 10
 RESULT = "n_words long, spans array<struct<start:int,end:int>>, items array<long>"
 PRIME = 0x9E3779B97F4A7C15
 INVERSE = pow(PRIME, -1, 2**64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
+#: Places in one row of a table of powers.
+SPAN = 1 << 16
+
+
+@lru_cache(2)
+def _low(base: int) -> np.ndarray:
+    out = np.full(SPAN, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+def powers(base: int, at: np.ndarray) -> np.ndarray:
+    """base to the power of each place, from two small tables."""
+    high = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(at.max(initial=0)) // SPAN, pow(base, SPAN, 2**64), np.uint64)]))
+    return _low(base)[at % SPAN] * high[at // SPAN]
+
+
 class Words:
     """Hashes of all words of texts, the text of each, and how many each text has."""
 
-    cache: tuple = (np.zeros(0, np.uint64),) * 2
-
     def __init__(self, texts: list[str]):
         joined = "\x00".join(["", *texts, ""])
         code = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
@@ -54,12 +64,8 @@ class Words:
         inside = ((code >= 48) & (code <= 57)) | ((code >= 97) & (code <= 122)) | (code >= 128)
         edge = np.diff(inside.astype(np.int8))
         start, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
-        if len(Words.cache[0]) < len(code):
-            n = 1 << len(code).bit_length()
-            Words.cache = _powers(PRIME, n), _powers(INVERSE, n)
-        power, inverse = Words.cache
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code.astype(np.uint64) + np.uint64(1)) * power[: len(code)])])
-        self.hash = mix((total[end] - total[start]) * inverse[start])
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code.astype(np.uint64) + np.uint64(1)) * powers(PRIME, np.arange(len(code), dtype=np.int32)))])
+        self.hash = mix((total[end] - total[start]) * powers(INVERSE, start))
         bound = np.cumsum([1, *[len(t) + 1 for t in texts]])
         self.first = np.searchsorted(start, bound)
         self.count = np.diff(self.first)

@@ -3,20 +3,21 @@
 A shingle's weight is 1 + ln(its count in the text). Every shingle is a Poisson process whose rate is its weight; each arrival
 falls into a random register, and a register keeps the shingle that arrives first. Two texts agree in a register with the
 probability Jaccard similarity of their weighted shingles. Arrivals later than a text's last filled register can change
-nothing, so a process stops there. Bands of registers make buckets; pairs from buckets are verified on the shingles themselves:
+nothing, so a process stops there. Bands of registers make buckets; pairs from buckets are verified on the sets of their shingles' 48-bit hashes:
 texts are linked if the Jaccard similarity of their shingle sets reaches the threshold. A text that repeats a shingle also has the
 bands of its shingles at weight 1, which any other text has anyway, so the chance to miss a link depends on the Jaccard similarity
 of the sets alone, whatever the counts. Classes are the connected components of the links.
 
 Copies count once: texts with the same words make one representative, named by a hash of the words, before banding. In a bucket, each representative is first
-compared with one leader, then those that are still in different classes with another of each bucket, so a group of copies
-needs a few comparisons for each member. What still shares a bucket across classes then goes through an exact set-similarity join: two
+compared with one leader, the one that shares buckets most often, as what a group of edited copies was made from does; then those that are still in
+different classes with another of each bucket, so a group of copies needs a few comparisons for each member. What still shares a bucket across classes then goes through an exact set-similarity join: two
 texts of that similarity share one of the rarest fifth of their shingles, which in a group of edited copies are the edits.
 
 Cases: words are lower-cased (A-Z) and parted by ASCII white space. A text of one to four words is one shingle. A null text, or
 one without words, is a class of its own. The class id is the smallest id in the class. Repeated rows (same id, same text)
 get the same class; rows with a null id are linked by their text, and are null only where the class has no other id. An id that stands
-on several texts has each of them compared, and each row gets its own text's class.
+on several texts has each of them compared, and each row gets its own text's class. Very long texts are taken whole; a task holds one of
+them, or some millions of characters, at a time. An empty table gives no rows. Of the table only the id and the text are read, so no column clashes.
 """
 
 from __future__ import annotations
@@ -33,20 +34,15 @@ from ._common import chunks, free_name, mix, slim, small_batches, unit, written
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: The only characters that part words; str.split() would part at other spaces of Unicode too.
-SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 DOC = np.uint64(16)
 
 
-def words(text: str) -> list[str]:
-    """Lower-cased words between ASCII white space."""
-    low = text.translate(LOWER)
-    found = low.translate(SPACES).split(" ")
-    return [w for w in found if w]
+def words(text: str) -> list[bytes]:
+    """Words between ASCII white space, A-Z in lower case, in UTF-8."""
+    return text.encode("utf-8", "replace").lower().split()
 
 
-def shingles(texts: list[list[str]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(texts: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index of the text, 48-bit hash and count of every distinct shingle, in the order of both; at most 65,536 texts."""
     lens = np.array([len(t) for t in texts], np.int64)
     code, names = pd.factorize(np.array([w for t in texts for w in t], object))
@@ -112,7 +108,7 @@ def signed(df: DataFrame, size: int = WORDS, bands: int = BANDS, rows: int = ROW
                     plain = signatures(np.searchsorted(again, of[own]), h[own], np.ones(own.sum()), len(again), bands * rows)
                     for i, x in zip(again, banded(plain, bands, rows), strict=True):
                         band[i] = np.union1d(band[i], x)
-                    yield pd.DataFrame({"id": pd.array(ids[c : c + len(texts)], "Int64"), "raw": raws[c : c + len(texts)], "key": [hashlib.blake2b(" ".join(t).encode("utf-8", "replace"), digest_size=16).digest() if t else None for t in texts], "bands": [x if t else None for x, t in zip(band, texts, strict=True)]})
+                    yield pd.DataFrame({"id": pd.array(ids[c : c + len(texts)], "Int64"), "raw": raws[c : c + len(texts)], "key": [hashlib.blake2b(b" ".join(t), digest_size=16).digest() if t else None for t in texts], "bands": [x if t else None for x, t in zip(band, texts, strict=True)]})
 
     return df.mapInPandas(sign, "id long, raw long, key binary, bands array<long>")
 
@@ -190,20 +186,23 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     row = F.struct(F.col("id").isNull().alias("none"), "id", "raw")
     reps = written(sig.where("key is not null").groupBy("key").agg(F.min(row).alias("row"), F.first("bands").alias("bands")).select("key", F.xxhash64("key").alias("rep"), "row.id", "row.raw", "bands"), "representatives")
     spread = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = written(spread.join(shared, "bucket").distinct(), "buckets")
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sized = written(spread.join(shared, "bucket").distinct(), "buckets")
+    # how often a text shares a bucket: in a group of edited copies, what they were made from is the nearest to all and has the most
+    near = sized.groupBy("rep").agg(F.sum("n").alias("near"))
+    members = written(sized.select("rep", "bucket").join(near, "rep"), "members")
     wanted = reps.select("rep", F.col("id").alias("first"), F.col("raw").alias("hash")).join(members.select("rep").distinct(), "rep", "left_semi")
     found = docs.where("text is not null").join(wanted, F.col("id").eqNullSafe(F.col("first")) & (F.col("raw") == F.col("hash")))
     texts = written(found.groupBy(F.col("rep").alias("id")).agg(F.min("text").alias("text")), "texts")
     labels = members.select(F.col("rep").alias("node")).distinct().select("node", F.col("node").alias("label"))
     tested = None
     for r in range(star_rounds + 1):
-        now = members.join(labels, F.col("rep") == F.col("node")).select("bucket", "rep", "label")
+        now = members.join(labels, F.col("rep") == F.col("node")).select("bucket", "rep", "near", "label")
         if r:
             mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
             now = now.join(mixed, "bucket")
         if r < star_rounds:
-            order = F.struct((F.xxhash64("rep", "bucket", F.lit(r)) if r else F.xxhash64("rep")).alias("by"), F.col("rep").alias("leader"), F.col("label").alias("of"))
+            order = F.struct((F.xxhash64("rep", "bucket", F.lit(r)) if r else -F.col("near")).alias("by"), F.col("rep").alias("leader"), F.col("label").alias("of"))
             lead = now.groupBy("bucket").agg(F.min(order).alias("x")).select("bucket", "x.leader", "x.of")
             found = now.join(lead, "bucket").where("label != of").select("rep", "leader")
         else:
