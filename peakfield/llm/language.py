@@ -10,7 +10,10 @@ language's own that its filter took. FEW more n-grams without a hit keep short t
 
 Cases: a null text, or one without a letter, is ``und`` with score 0. A text with letters but no hit takes the most common
 learned language with score 0. Ties go to the language that sorts first. Empty training data make everything ``und``.
-Repeated rows are judged alike; other columns, whatever their names, pass through untouched.
+Repeated rows are judged alike; very long texts are judged whole; other columns, whatever their names, pass through untouched.
+
+Filters of all n-grams of a language, typical or not (ratio 0), were tried: they name held-out texts of the tables as well, but of a language learned from
+one row only 43 % are then named right, as the other languages' large filters hold most of its n-grams too.
 """
 
 from __future__ import annotations

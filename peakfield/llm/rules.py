@@ -7,7 +7,8 @@ pruned on the other part, then the rows that it covers are set aside. verdict()
 Cases: a null or empty text has no words and zero in every count. Rows without a label, or with a null one, teach nothing;
 a document with several labels counts once for each. With no labelled rows, or only one class, the list is empty and keeps
 all. Ties between conditions go to the feature and threshold that sort first. Repeated rows get the same verdict, as it
-depends on the text alone. Columns of the table keep their names, and features get a prefix that is free.
+depends on the text alone. Columns of the table keep their names, and features get a prefix that is free. Very long texts are counted whole, an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def features(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, Co
 
     Every intermediate is a column of its own, used by those after it, so that the optimizer computes it once. Repeated windows:
     a hash of every window of five words; only where two are equal are hashes and places sorted together, and the words that
-    the repeated windows cover summed without counting any twice. (A text of over 16 million words would need wider places.)"""
+    the repeated windows cover summed without counting any twice."""
     prefix = "q_"
     while any(c.lower().startswith(prefix) for c in df.columns):
         prefix = "q" + prefix
@@ -61,11 +62,10 @@ def features(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, Co
     then("text", "words", "lines", hashes="transform(@words, x -> xxhash64(x))")
     more = ("text", "words", "lines", "hashes")
     then(*more, windows="case when size(@hashes) < 5 then array() else transform(sequence(0, size(@hashes) - 5), i -> xxhash64(@hashes[i], @hashes[i + 1], @hashes[i + 2], @hashes[i + 3], @hashes[i + 4])) end")
-    # a window's place in the low 24 bits, its hash above: sorted, equal windows are neighbours, and the full hashes are compared
-    then(*more, "windows", placed="case when size(array_distinct(@windows)) < size(@windows) then sort_array(transform(@windows, (x, i) -> ((x >> 24) << 24) | i)) end")
-    full = "@windows[cast(@placed[{}] & 16777215 as int)]"
-    same = f"@windows[cast(x & 16777215 as int)] = {full}"
-    then(*more, places=f"case when @placed is not null then sort_array(transform(filter(@placed, (x, k) -> (k > 0 and {same.format('greatest(k - 1, 0)')}) or (k < size(@placed) - 1 and {same.format('least(k + 1, size(@placed) - 1)')})), x -> cast(x & 16777215 as int))) end")
+    # windows sorted by hash, then place: equal ones are neighbours
+    then(*more, "windows", placed="case when size(array_distinct(@windows)) < size(@windows) then sort_array(transform(@windows, (x, i) -> named_struct('h', x, 'i', i))) end")
+    same = "@placed[{}].h = x.h"
+    then(*more, places=f"case when @placed is not null then sort_array(transform(filter(@placed, (x, k) -> (k > 0 and {same.format('greatest(k - 1, 0)')}) or (k < size(@placed) - 1 and {same.format('least(k + 1, size(@placed) - 1)')})), x -> x.i)) end")
     counts = {
         "n_words": "size(@words)",
         "word_chars": "length(array_join(@words, ''))",

@@ -388,6 +388,16 @@ def test_quality_counts(spark, docs, none):
     assert rules.features(none)[0].count() == 0
 
 
+def test_quality_counts_of_windows_with_near_hashes(spark):
+    """Two windows whose hashes agree in their upper 40 bits, one of them twice."""
+    a, b = "u69862 a b c d", "u5341617 a b c d"
+    text = f"{a} x1 x2 x3 x4 x5 {b} y1 y2 y3 y4 y5 {a}"
+    many = " ".join([a, *[f"f{i}" for i in range(70_000)], a])
+    made, stats = rules.features(spark.createDataFrame([(text, 1), (many, 2)], "text string, q_n_words int"))
+    got = made.select("text", "q_n_words", *[stats[k].alias(k) for k in rules.COUNTS]).collect()
+    assert all(tuple(r[2:]) == brute_counts(r.text) for r in got) and {r.n_repeat_words for r in got} == {10} and {r.q_n_words for r in got} == {1, 2}
+
+
 def test_quality_rules_on_labels_not_seen(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
