@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from peakfield import domain
+from peakfield import domain, kernel
 from peakfield import queries as own
 from peakfield.operators import grids
 from peakfield.sources import mrc, star
@@ -26,9 +26,9 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(own.oracle_sql() | domain.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(own.oracle_sql() | domain.oracle_sql() | kernel.oracle_sql()))
 def test_query_equals_sql(spark, sql, name):
-    df, want = (own.queries() | domain.queries())[name](spark, DATA), sql.sql((own.oracle_sql() | domain.oracle_sql())[name])
+    df, want = (own.queries() | domain.queries() | kernel.queries())[name](spark, DATA), sql.sql((own.oracle_sql() | domain.oracle_sql() | kernel.oracle_sql())[name])
     cols = sorted(df.columns)
     assert cols == sorted(want.columns)
     at = [want.columns.index(c) for c in cols]
