@@ -252,10 +252,11 @@ def judge(phrases, shard_chars: int):
             found = [judged(texts[a:b], phrases.value) for a, b in chunks(texts, shard_chars)]
             yield pd.concat(found, ignore_index=True) if found else judged([], phrases.value)
 
-    return judge
+    # so called, it is computed once, where the plan puts it, however many filters and columns use its result
+    return judge.asNondeterministic()
 
 
-def with_contamination(df: DataFrame, items: DataFrame, text: str = "text", into: str = "contamination", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20, shard_chars: int = 4 << 20) -> DataFrame:
+def with_contamination(df: DataFrame, items: DataFrame, text: str = "text", into: str = "contamination", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20, shard_chars: int = 2 << 20) -> DataFrame:
     """df with a struct column: n_words, spans (places of hit words, from and up to, merged) and items (sorted ids)."""
     spark = df.sparkSession
     small_batches(spark)
