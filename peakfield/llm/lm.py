@@ -427,7 +427,7 @@ def score(rows: DataFrame, m: Model, all_counts: DataFrame) -> DataFrame:
         def out() -> pd.DataFrame:
             """The rows of some batches, whose texts go through the network together."""
             own = pd.concat(held, ignore_index=True)
-            return own[["row"]].assign(neural=likelihood(shared.value, own["net"].tolist()) / np.log(10))
+            return own.drop(columns="net").assign(neural=own["inside"] + likelihood(shared.value, own["net"].tolist()) / np.log(10))
 
         for part in parts:
             held.append(part)
@@ -444,10 +444,10 @@ def score(rows: DataFrame, m: Model, all_counts: DataFrame) -> DataFrame:
     norm = F.lit(m.total + 0.5 * (m.distinct + 1))
     rare = rows.select("row", F.explode("rare").alias("word")).join(all_counts, "word", "left").withColumn("s", spelled("word"))
     sums = rare.groupBy("row").agg(F.count_if(c > 0).alias("seen"), F.sum(F.log10((c + 0.5) / norm)).alias("b"), F.sum(share).alias("s"))
-    neural = rows.select("row", "net").mapInPandas(run, "row long, neural double")
-    out = rows.drop("net", "rare").join(neural, "row").join(sums, "row", "left")
+    names = "row long, id long, n_tokens long, known long, fixed double, inside double"
+    out = rows.drop("rare").mapInPandas(run, f"{names}, neural double").join(sums, "row", "left")
     zero = lambda x: F.coalesce(x, F.lit(0))
-    return out.select("id", "n_tokens", (F.col("known") + zero("seen")).alias("n_known"), (F.col("fixed") + zero("b")).alias("base_score"), (F.col("neural") + F.col("inside") + zero("s")).alias("score"))
+    return out.select("id", "n_tokens", (F.col("known") + zero("seen")).alias("n_known"), (F.col("fixed") + zero("b")).alias("base_score"), (F.col("neural") + zero("s")).alias("score"))
 
 
 def scored(df: DataFrame, is_training, key: str = "doc_id", text: str = "text", **params) -> DataFrame:
