@@ -4,9 +4,10 @@ A page becomes three records: the request and the metadata name the response in
 file whose line end is the blank line that closes a record, so Spark's own writer and committer make the archives, and a task
 that runs again leaves one file. The reader parses whole records by their Content-Length; a bound on records per file bounds a file.
 
-Cases: a null or empty payload has zero bytes. Null urls are empty. Of records with equal payloads (from a least size on) the one with
-the smallest page id is the response and the others revisit it; a null page id never is, unless all are null. Identical rows (page id,
-url and payload) are the same capture: their records share ids, and assembly gives one row. An empty table gives an empty archive.
+Cases: a null or empty payload has zero bytes. Null urls are empty. Of records with equal payloads (from a least size on) those with
+the smallest page id are responses and the others revisit it; a null page id never is, unless all are null. Every row is a capture of its own, whose records
+share a row number in their ids, so identical rows stay apart. Very long payloads are written and read whole. An empty table gives an empty archive. Of
+the table only the id, the url and the payload are read, so no other column clashes.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import slim, small_batches
+from ._common import slim, small_batches, written
 
 END = "\r\n\r\n"
 #: Digits of base 32 as conv() gives them, and those of RFC 4648.
@@ -39,20 +40,24 @@ def record_id(kind: str, *parts: str) -> Column:
 
 
 def classified(pages: DataFrame, least: int = 0) -> DataFrame:
-    """id, url, payload with digest, bytes, and for a revisit the id, url and record id of its response. Only digests that occur more than once
-    are joined back; they are counted inside each partition first."""
+    """id, url, payload with digest, bytes and a row number, and for a revisit the id, url and row of its response. Rows are written once, with their numbers,
+    so a lost executor changes none. Only digests that occur more than once are joined, without payloads; payloads move by row number alone, so many equal
+    ones don't meet in a task."""
     rows = pages.withColumn("payload", F.coalesce("payload", F.lit(""))).withColumn("url", F.coalesce("url", F.lit("")))
     rows = rows.withColumn("digest", sha1_base32(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    same = rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    out = rows.join(same.select("digest", "bytes", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url")), ["digest", "bytes"], "left")
-    is_first = F.col("first_id").isNull() | (F.col("id").eqNullSafe(F.col("first_id")) & (F.col("url") == F.col("first_url"))) | F.col("id").eqNullSafe(F.col("first_id"))
-    return out.withColumn("kind", F.when(is_first, "response").otherwise("revisit"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
+    lean = rows.select("row", "id", "digest", "bytes").where(F.col("bytes") >= least)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "url", "row")).alias("first")
+    same = rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(first, F.count("*").alias("n")).where("n > 1")
+    found = lean.join(same, ["digest", "bytes"]).where(~F.col("id").eqNullSafe(F.col("first.id")))
+    again = found.select("row", F.lit("revisit").alias("again"), F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"), F.col("first.row").alias("first_row"))
+    return rows.join(again, "row", "left").withColumn("kind", F.coalesce("again", F.lit("response"))).drop("again")
 
 
 def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0, date: str = "2024-01-01T00:00:00Z", per_file: int = 3000) -> None:
     rows = classified(slim(pages, id=key, url=url, payload=html), least)
-    rows = rows.withColumn("own", record_id("response", "id", "url", "digest"))
-    rows = rows.withColumn("target", record_id("response", "first_id", "first_url", "digest"))
+    rows = rows.withColumn("own", record_id("response", "id", "url", "digest", "row"))
+    rows = rows.withColumn("target", record_id("response", "first_id", "first_url", "digest", "first_row"))
     uri = F.regexp_replace("url", r"[\r\n]", "")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
 
@@ -65,9 +70,9 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     revisit = F.col("kind") == "revisit"
     path_of = F.coalesce(F.regexp_extract(uri, r"^[a-z]+://[^/?#]*([^#]*)", 1), F.lit("/"))
     three = F.array(
-        record(F.lit("request"), record_id("request", "id", "url", "digest"), F.concat(F.lit("GET "), path_of, F.lit(" HTTP/1.1\r\n\r\n")), beside),
+        record(F.lit("request"), record_id("request", "id", "url", "digest", "row"), F.concat(F.lit("GET "), path_of, F.lit(" HTTP/1.1\r\n\r\n")), beside),
         record(F.col("kind"), F.col("own"), F.concat(http, F.when(revisit, "").otherwise(F.col("payload"))), digest, F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), F.col("target")))),
-        record(F.lit("metadata"), record_id("metadata", "id", "url", "digest"), F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\r\n")), beside),
+        record(F.lit("metadata"), record_id("metadata", "id", "url", "digest", "row"), F.concat(F.lit("page-id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("\r\n")), beside),
     )
     rows.select(F.explode(three).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
@@ -124,7 +129,7 @@ def captures(found: DataFrame) -> DataFrame:
     """Per capture: page_id, payload_bytes, payload_digest, record_type, refers_to, as the records read back tell. A revisit's payload is that
     of the response it refers to."""
     lean = found.withColumn("page_id", F.when(F.col("type") == "metadata", F.expr("try_cast(regexp_extract(cast(block as string), 'page-id: (-?[0-9]+)', 1) as bigint)"))).drop("block")
-    own = assemble(lean)
+    own = assemble(written(lean, "records"))  # parsed once
     row = own.select("record_id", F.col("metadata.page_id").alias("page_id"), *[F.col(f"response.{c}") for c in ("type", "refers_to", "payload_bytes", "payload_sha1")], F.col("request.record_id").alias("request_id"))
     target = row.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("target"), F.col("payload_bytes").alias("b"), F.col("payload_sha1").alias("d"))
     # a response refers to itself here, so that no null key sends all responses to one task

@@ -112,7 +112,11 @@ def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(*r, 1) for r in made], "page_id long, url string, html string, digest int")
     path = scratch(spark, "w")
     warc.write_warc(pages, path)
-    got = {r.page_id: r for r in warc.captures(warc.read_warc(spark, path)).collect()}
+    rows = warc.captures(warc.read_warc(spark, path)).collect()
+    got = {r.page_id: r for r in rows}
+    assert sorted(str(r.page_id) for r in rows) == sorted(str(i) for i, *_ in made) and all(r.has_request for r in rows)
+    names = [r.record_id for r in warc.read_warc(spark, path).select("record_id").collect()]
+    assert len(names) == 3 * len(made) == len(set(names))
     for i, _, h in made:
         data = (h or "").encode()
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
