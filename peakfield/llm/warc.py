@@ -45,7 +45,7 @@ def classified(pages: DataFrame, least: int = 0) -> DataFrame:
     ones don't meet in a task."""
     rows = pages.withColumn("payload", F.coalesce("payload", F.lit(""))).withColumn("url", F.coalesce("url", F.lit("")))
     rows = rows.withColumn("digest", sha1_base32(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "pages", "zstd")
     lean = rows.select("row", "id", "digest", "bytes").where(F.col("bytes") >= least)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "url", "row")).alias("first")
     same = rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(first, F.count("*").alias("n")).where("n > 1")
@@ -129,7 +129,7 @@ def captures(found: DataFrame) -> DataFrame:
     """Per capture: page_id, payload_bytes, payload_digest, record_type, refers_to, as the records read back tell. A revisit's payload is that
     of the response it refers to."""
     lean = found.withColumn("page_id", F.when(F.col("type") == "metadata", F.expr("try_cast(regexp_extract(cast(block as string), 'page-id: (-?[0-9]+)', 1) as bigint)"))).drop("block")
-    own = assemble(written(lean, "records"))  # parsed once
+    own = assemble(written(lean, "records", "zstd"))  # parsed once
     row = own.select("record_id", F.col("metadata.page_id").alias("page_id"), *[F.col(f"response.{c}") for c in ("type", "refers_to", "payload_bytes", "payload_sha1")], F.col("request.record_id").alias("request_id"))
     target = row.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("target"), F.col("payload_bytes").alias("b"), F.col("payload_sha1").alias("d"))
     # a response refers to itself here, so that no null key sends all responses to one task
