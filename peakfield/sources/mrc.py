@@ -106,6 +106,19 @@ def write_stacks(images: DataFrame, uri: str, key: str, values: str, shape: tupl
     return images.sparkSession.read.parquet(f"{uri}/manifest").withColumnRenamed("key", key)
 
 
+def write_volumes(rows: DataFrame, uri: str, name: str, values: str, side: int, voxel: float) -> int:
+    """Writes each row's flat array as a cubic volume in a file of its name below uri; how many there are."""
+
+    def store(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for own, v in zip(part["name"], part["values"], strict=True):
+                write_bytes(f"{uri}/{own}.mrc", encoded(np.asarray(v).reshape((side,) * 3), voxel))
+            yield pd.DataFrame({"n": [len(part)]})
+
+    made = rows.select(F.col(name).cast("string").alias("name"), F.col(values).alias("values")).mapInPandas(store, "n long")
+    return made.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+
+
 def read_stacks(spark: SparkSession, uri: str, key: str) -> DataFrame:
     """The sections that the manifest names, with the key of each."""
     return spark.read.parquet(f"{uri}/manifest").withColumnRenamed("key", key).join(read_mrc(spark, uri), ["file", "z"])

@@ -5,8 +5,9 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from peakfield import domain, kernel
+from peakfield import domain, kernel, projection
 from peakfield import queries as own
 from peakfield.operators import grids
 from peakfield.sources import mrc, star
@@ -26,9 +27,9 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(own.oracle_sql() | domain.oracle_sql() | kernel.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(own.oracle_sql() | domain.oracle_sql() | kernel.oracle_sql() | projection.oracle_sql()))
 def test_query_equals_sql(spark, sql, name):
-    df, want = (own.queries() | domain.queries() | kernel.queries())[name](spark, DATA), sql.sql((own.oracle_sql() | domain.oracle_sql() | kernel.oracle_sql())[name])
+    df, want = (own.queries() | domain.queries() | kernel.queries() | projection.queries())[name](spark, DATA), sql.sql((own.oracle_sql() | domain.oracle_sql() | kernel.oracle_sql() | projection.oracle_sql())[name])
     cols = sorted(df.columns)
     assert cols == sorted(want.columns)
     at = [want.columns.index(c) for c in cols]
@@ -135,3 +136,42 @@ def test_mrc_round_trip_and_wrong_values():
     v[1, 1, 1] = np.nan
     with pytest.raises(ValueError):
         list(mrc.sections("a", mrc.encoded(v, 1.5)))
+
+
+def test_padding_with_noise_is_drawn_again_alike(spark):
+    from peakfield.operators import arrays
+
+    images = spark.createDataFrame([(k, [float(i) for i in range(16)]) for k in range(200)], "vec_id long, embedding array<float>")
+    got = {(r.vec_id, r.y, r.x): r for r in arrays.padded(images, 4, 8, "noise", 3).collect()}
+    again = {(r.vec_id, r.y, r.x): r for r in arrays.padded(images.repartition(7), 4, 8, "noise", 3).collect()}
+    assert got == again
+    assert [got[5, 2 + i // 4, 2 + i % 4].v for i in range(16)] == list(range(16))
+    noise = np.array([r.v for r in got.values() if not r.copied])
+    assert len(noise) == 200 * 48 and abs(noise.mean()) < 0.04 and abs(noise.std() - 1) < 0.03
+    cut = {(r.y, r.x): (r.v, r.copied) for r in arrays.padded(images, 4, 2, "zero").where("vec_id = 0").collect()}
+    assert cut == {(0, 0): (5.0, True), (0, 1): (6.0, True), (1, 0): (9.0, True), (1, 1): (10.0, True)}
+
+
+def test_slices_of_a_larger_volume():
+    from peakfield.operators import volumes
+
+    v = np.random.default_rng(4).normal(size=(8, 8, 8))
+    full = volumes.spectrum(v)
+    turn = volumes.rotations(np.array([0.0, 90.0]), np.array([0.0, 0.0]), np.array([0.0, 0.0]))
+    got = volumes.cut(full, turn, 8)
+    # without a turn the slice is the plane z = 0, but for the outermost samples, which have no neighbour beyond them
+    for fy in range(-3, 3):
+        for fx in range(4):
+            if (fy, fx) != (0, 0) and not (fx == 0 and fy == -3):
+                assert np.isclose(got[0, fy % 8, fx], full[0, fy, fx])
+    assert np.allclose(got[:, 0, 0], 0) and np.allclose(got[:, 7, 0], np.conj(got[:, 1, 0]))
+    # a quarter turn about z takes x to y
+    assert np.isclose(got[1, 0, 1], full[0, 1, 0]) and np.isclose(got[1, 1, 0], full[0, 0, -1])
+
+
+def test_configurations_say_what_they_may(spark):
+    from peakfield.operators import configs
+
+    rows = configs.resolved(spark.createDataFrame([(1, '{"a": "2", "z": 1, "y": null}'), (2, None), (3, "no json"), (4, '{"a": "x"}')], "id long, json string"), "json", {"a": ("double", 1.5)})
+    assert [(r.id, r.unknown, r.a) for r in rows.orderBy("id").collect()] == [(1, ["y", "z"], 2.0), (2, [], 1.5), (3, [], 1.5), (4, [], 1.5)]
+    assert [r.p for r in spark.range(10).select(configs.piece(F.col("id"), 10, 4).alias("p")).collect()] == [0, 0, 0, 1, 1, 1, 2, 2, 3, 3]
