@@ -94,3 +94,16 @@ def test_pipeline(spark, texts):
     assert len(kept) == len(got) and kept < set(texts)
     group = components(sorted((i, texts[i]) for i in kept))
     assert all(group[i] == i for i in kept) and all(len(r.segmentations) == 2 for r in got)
+
+
+def test_labels_with_the_lowest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from peakfield.llm import rules
+
+    # a third of the rows have one id, and one row has none
+    rows = spark.createDataFrame([(None if i == 5 else 7 if i % 3 == 0 else i, i % 2 == 0) for i in range(3000)], "k long, bad boolean").repartition(9)
+    for bound in (1, 40, 1500, 2999, 5000):
+        want = rows.orderBy(F.xxhash64("k"), "k", "bad").limit(bound)
+        assert sorted(map(str, rules.lowest(rows, "k", bound).collect())) == sorted(map(str, want.collect()))
+    assert rules.lowest(rows.where("false"), "k", 10).count() == 0
