@@ -31,3 +31,9 @@ def upper_quantile(p: Column | str) -> Column:
 def threshold(false_positives: Column, trials: Column) -> Column:
     """The score that noise alone exceeds that many times in so many trials."""
     return upper_quantile(false_positives.cast("double") / trials.cast("double"))
+
+
+def independent_trials(pixels: Column, searched: Column, fraction: float, defoci: int = 1, ignore_defocus: bool = False) -> Column:
+    """The trials of a search that count as independent; where the defocus is ignored, its positions count once. Counts that are not positive are an error."""
+    own = pixels.cast("double") * searched.cast("double") * fraction / (max(defoci, 1) if ignore_defocus else 1)
+    return F.when((pixels > 0) & (searched > 0), own).otherwise(F.raise_error(F.lit("search counts must be positive")).cast("double"))

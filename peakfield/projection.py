@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import PX, clean, long_form
+from .functions import normal
 from .operators import arrays, configs, search, spectral, volumes
 from .sources import mrc, npy
 from .sources.files import shared_folder
@@ -160,7 +161,7 @@ def contiguous_pieces(spark, d):
 
 
 @query(
-    """WITH n AS (SELECT (SELECT count(*) FROM supplier) * 5 * 25 AS t) SELECT p_partkey, CAST(t AS BIGINT) AS tasks, CAST(p_size * 64 * t AS BIGINT) AS trials, round(p_size * 64 * t * 0.5, 3) AS independent, CAST(p_size * 64 * 4 AS BIGINT) AS map_bytes FROM part, n"""
+    """WITH n AS (SELECT (SELECT count(*) FROM supplier) * 5 * 25 AS t) SELECT p_partkey, CAST(t AS BIGINT) AS tasks, CAST(p_size * 64 * t AS BIGINT) AS trials, round(CAST(p_size * 64 * t AS DOUBLE) * 0.5, 3) AS independent, CAST(p_size * 64 * 4 AS BIGINT) AS map_bytes FROM part, n"""
 )
 def search_plans(spark, d):
     """Parts as images: what a search of each would do."""
@@ -199,3 +200,11 @@ def npy_compare(spark, d):
     npy.write_arrays(changed.where("task % 7 != 3"), b, "task", "template")
     found = npy.compared(npy.files(spark, a), npy.files(spark, b), 1e-6, 1e-5)
     return found.select("name", "status", *[F.round(c, 7).alias(c) for c in ("max_abs", "mean_abs", "rmse", "rel_l2")])
+
+
+@query("SELECT s_suppkey, count(*) AS searched, round(CAST(1024 AS DOUBLE) * count(*) * 0.8 / 3, 6) AS trials FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_suppkey")
+def independent_trials(spark, d):
+    """Suppliers as images of 1,024 pixels, their lines as tasks of three defoci that count once."""
+    n = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("searched"))
+    rows = n.join(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey")
+    return rows.select("s_suppkey", "searched", F.round(normal.independent_trials(F.lit(1024), F.col("searched"), 0.8, 3, True), 6).alias("trials"))
