@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lm, neardup, rules, segment, sharding, tokens, urls, warc
+from . import decontaminate, language, linededup, lm, neardup, negatives, rules, segment, sharding, tokens, urls, warc, whitening
 from ._common import is_held, scratch
 
 
@@ -78,10 +78,24 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("page_id"), "url", F.col("fetched").cast("string").alias("fetched"), "verdict", "list", "key", F.col("since").cast("string").alias("since"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), lambda c: c % 100 == 0, label)
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.without_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    own = {f.__name__: f for f in (op1_neardup, op2_warc, op3_tokens, op4_decontaminate, op5_shards, op6_segmentations, op7_lm, op8_quality, op9_language, op10_urls)}
+    own = {f.__name__: f for f in (op1_neardup, op2_warc, op3_tokens, op4_decontaminate, op5_shards, op6_segmentations, op7_lm, op8_quality, op9_language, op10_urls, op11_negatives, op12_lines, op13_whitening)}
     return own | {"pipeline": corpus_pipeline.run}
 
 
@@ -124,6 +138,24 @@ h AS (SELECT k.page_id, k.url, k.fetched, v.*, row_number() OVER (PARTITION BY p
 SELECT DISTINCT p.page_id, p.url, CAST(p.fetched AS VARCHAR) AS fetched, coalesce(h.verdict, 'keep') AS verdict, h.list, h.key, CAST(h.since AS VARCHAR) AS since FROM p LEFT JOIN h ON p.page_id = h.page_id AND p.url = h.url AND h.r = 1
 """
 
+NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.a, p.b AS positive, s.b AS negative, p.score AS ps, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS r FROM p JOIN s ON p.a = s.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT a AS anchor_id, positive AS positive_id, CAST(r AS INT) AS rank, negative AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 5
+"""
+
+LINES_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+k AS (SELECT doc_id, l, list_transform(l, lambda x: translate(trim(x, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS k FROM d),
+e AS (SELECT doc_id, unnest(l) AS l, unnest(k) AS k, unnest(range(len(l))) AS i FROM k),
+r AS (SELECT k, max(doc_id) AS keep FROM e WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+s AS (SELECT e.doc_id, l, i, r.k IS NOT NULL AND e.doc_id <> keep AS gone FROM e LEFT JOIN r ON e.k = r.k)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM s GROUP BY doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": WARC_SQL, "op4_decontaminate": CONTAMINATION_SQL, "op10_urls": URL_SQL}
+    return {"op2_warc": WARC_SQL, "op4_decontaminate": CONTAMINATION_SQL, "op10_urls": URL_SQL, "op11_negatives": NEGATIVES_SQL, "op12_lines": LINES_SQL}
