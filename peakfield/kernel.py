@@ -266,16 +266,6 @@ def longest_sections(spark, d):
     return runs.longest(table(spark, d, "part"), "p_type", "p_retailprice", 20).withColumn("total", F.round("total", 2))
 
 
-@query(
-    """WITH n AS (SELECT DISTINCT n_chars AS n FROM documents WHERE n_chars > 0), f AS (SELECT a * b * e * g * h AS v FROM (SELECT unnest(range(0, 20)) AS i, 2 ** i AS a), (SELECT unnest(range(0, 13)) AS i, 3 ** i AS b), (SELECT unnest(range(0, 9)) AS i, 5 ** i AS e), (SELECT unnest(range(0, 8)) AS i, 7 ** i AS g), (SELECT unnest(range(0, 6)) AS i, 13 ** i AS h) WHERE a * b * e * g * h < 1e6)
-SELECT n, CAST((SELECT min(v) FROM f WHERE v >= n) AS BIGINT) AS nice, CAST(2 ** ceil(log2(n)) AS BIGINT) AS power FROM n"""
-)
-def fft_sizes(spark, d):
-    """For the lengths of documents, the next size without large factors and the next power of two."""
-    n = table(spark, d, "documents").where("n_chars > 0").select(F.col("n_chars").alias("n")).distinct()
-    return n.select("n", runs.nice_size(F.col("n"), 4096).alias("nice"), runs.power_of_two(F.col("n")).alias("power"))
-
-
 MANIFEST = "SELECT o_orderkey AS \"index\", CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'ok' END AS status, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS threshold, CASE WHEN o_orderstatus = 'P' THEN 'tab\t and \"quote\"' END AS error FROM orders"
 
 

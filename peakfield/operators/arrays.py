@@ -87,18 +87,24 @@ def centered(images: DataFrame, side: int, size: int, fill: float, key: str = "v
 
 
 def padded(images: DataFrame, side: int, size: int, mode: str, seed: int = 0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Images in the middle of a square of another size; around them zeros, their own edge mean (of what was kept), or normal noise that the key, the place
-    and the seed give, so that a task that runs again draws the same. copied: whether a place comes from the image."""
+    """Images in the middle of a square of another size; around them zeros, their own edge mean (of what was kept), their mirror image, or normal noise that the
+    key, the place and the seed give, so that a task that runs again draws the same. copied: whether a place comes from the image."""
     keep = min(side, size)
     first, to = (side - keep) // 2, (size - keep) // 2
-    inner = F.array(*[F.lit((first + i // keep) * side + first + i % keep) for i in range(keep * keep) if min(i // keep, i % keep) == 0 or max(i // keep, i % keep) == keep - 1])
-    own = images.select(key, vector, (F.aggregate(inner, F.lit(0.0), lambda a, i: a + F.get(F.col(vector), i).cast("double")) / F.size(inner)).alias("edge"))
+    y, x = F.col("y"), F.col("x")
+    at = lambda row, col: F.get(vector, (row + first) * side + col + first).cast("double")
+    # the edge's places, in rows of the kept square: its first and last row, and both ends of those between
+    line = lambda i: F.when((i == 0) | (i == keep - 1), F.sequence(F.lit(0), F.lit(keep - 1))).otherwise(F.array(F.lit(0), F.lit(keep - 1)))
+    edge = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(keep - 1)), lambda i: F.transform(line(i), lambda j: at(i, j))))
+    own = images.select(key, vector, (F.aggregate(edge, F.lit(0.0), lambda a, v: a + v) / F.size(edge) if mode == "edge" else F.lit(0.0)).alias("edge"))
     rows = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("x"))
-    inside = F.col("y").between(to, to + keep - 1) & F.col("x").between(to, to + keep - 1)
+    inside = y.between(to, to + keep - 1) & x.between(to, to + keep - 1)
     draw = lambda k: (F.pmod(F.xxhash64(key, "y", "x", F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    around = {"zero": F.lit(0.0), "edge": F.col("edge"), "noise": F.sqrt(-2 * F.log(draw(0))) * F.cos(2 * F.pi() * draw(1))}[mode]
-    value = F.get(vector, (F.col("y") - to + first) * side + F.col("x") - to + first).cast("double")
-    return rows.select(key, "y", "x", F.when(inside, value).otherwise(around).alias("v"), inside.alias("copied"))
+    turn = lambda c: F.pmod(c - size // 2 + keep // 2, F.lit(2 * keep))
+    mirror = lambda c: F.when(turn(c) < keep, turn(c)).otherwise(2 * keep - 1 - turn(c))
+    around = {"zero": F.lit(0.0), "edge": F.col("edge"), "noise": F.sqrt(-2 * F.log(draw(0))) * F.cos(2 * F.pi() * draw(1)), "replicate": at(mirror(y), mirror(x))}[mode]
+    value = around if mode == "replicate" else F.when(inside, at(y - to, x - to)).otherwise(around)
+    return rows.select(key, "y", "x", value.alias("v"), inside.alias("copied"))
 
 
 def shifted(px: DataFrame, side: int, down: int, right: int, fill: float, key: str = "vec_id") -> DataFrame:

@@ -12,12 +12,12 @@ from .ranks import indexed, written
 
 def greedy(df: DataFrame, threshold: float, radius: float, most: int) -> DataFrame:
     """df: grid, x, y, score. Per grid the best score, then the best outside its disc, and so on; equal scores go by y, then x. Only places that reach the
-    threshold leave the scan; NaN never does, nor a place without x or y.
+    threshold leave the scan; NaN and infinity never do, nor a place without x or y.
 
     A point is chosen by the greedy rule just if it is the best of the undecided in its disc; it then decides all in its disc, and the next round goes on with the
     rest. So a grid of any size spreads over its tiles. Every round is written; their number is the longest chain of falling neighbours that
     decide each other, for scores without order about the logarithm of the number of points."""
-    good = df.where(F.col("score").isNotNull() & ~F.isnan("score") & (F.col("score") >= threshold) & F.col("x").isNotNull() & F.col("y").isNotNull())
+    good = df.where(F.col("score").isNotNull() & (F.abs("score") < float("inf")) & (F.col("score") >= threshold) & F.col("x").isNotNull() & F.col("y").isNotNull())
     # of a place only the best score can be chosen, whatever the radius
     left = good.select("grid", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("score").cast("double").alias("score")).groupBy("grid", "x", "y").agg(F.max("score").alias("score"))
     if radius < 1:

@@ -62,25 +62,3 @@ def recent_rate(points: DataFrame, by: str, at: Column, done: Column) -> DataFra
 def longest(rows: DataFrame, name: str, seconds: str, most: int) -> DataFrame:
     """The sections with the largest totals; ties go to the name that sorts first."""
     return rows.groupBy(name).agg(F.sum(seconds).alias("total"), F.count("*").alias("calls")).orderBy(F.desc("total"), name).limit(most)
-
-
-def _without(value: Column, prime: int) -> Column:
-    """The value divided by a prime as often as it goes; twenty times are enough below a million."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(20)), value.cast("long"), lambda a, _: F.when(a % prime == 0, (a / prime).cast("long")).otherwise(a))
-
-
-def factorable(value: Column) -> Column:
-    """Whether a size, below a million, has no other prime factors than 2, 3, 5, 7 and 13."""
-    out = value
-    for p in (2, 3, 5, 7, 13):
-        out = _without(out, p)
-    return (out == 1) & (value > 0)
-
-
-def nice_size(value: Column, reach: int = 64) -> Column:
-    """The smallest size from value on, within reach, that is factorable."""
-    return F.get(F.filter(F.sequence(value, value + reach), lambda c: factorable(c)), 0)
-
-
-def power_of_two(value: Column) -> Column:
-    return F.when(value <= 1, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(value.cast("double")))).cast("long"))

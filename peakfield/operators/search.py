@@ -53,10 +53,11 @@ TINY = 1e-12
 
 
 def global_scale(m: DataFrame) -> DataFrame:
-    """Mean and deviation over all counted places: one row."""
+    """Mean and deviation over all counted places: one row. No counted place at all is an error."""
     counted = m.where(F.col("s2") > COUNTED)
     one = counted.agg(F.count("*").alias("counted"), (F.sum("s1") / F.sum("n")).alias("mean"), (F.sum("s2") / F.sum("n")).alias("square"))
-    return one.select("counted", "mean", F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(TINY))).alias("std"))
+    none = F.raise_error(F.lit("no place is counted")).cast("double")
+    return one.select("counted", F.when(F.col("counted") > 0, F.col("mean")).otherwise(none).alias("mean"), F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(TINY))).alias("std"))
 
 
 def flat_field(best: DataFrame, m: DataFrame, key: str = "vec_id") -> DataFrame:

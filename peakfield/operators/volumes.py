@@ -21,10 +21,13 @@ TINY = 1e-12
 def sphere_mean(volumes: DataFrame, side: int, radius: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Mean inside a centred sphere; of the whole volume where the sphere holds no voxel. Each volume is read in its own array."""
     c = (side - 1) / 2.0
-    z, y, x = (np.indices((side,) * 3) - c).reshape(3, -1)
-    inside = np.flatnonzero(z * z + y * y + x * x <= radius * radius).tolist() or list(range(side**3))
-    total = F.aggregate(F.array(*[F.lit(i) for i in inside]), F.lit(0.0), lambda a, i: a + F.get(F.col(vector), i).cast("double"))
-    return volumes.select(key, (total / len(inside)).alias("mean"))
+    off = lambda at: (at - c) * (at - c)
+    inside = F.filter(F.sequence(F.lit(0), F.lit(side**3 - 1)), lambda i: off(F.floor(i / side**2)) + off(F.floor(i / side) % side) + off(i % side) <= radius * radius)
+    # the places are the same for all volumes: one array, made once
+    own = volumes.select(key, vector).crossJoin(F.broadcast(volumes.sparkSession.range(1).select(inside.alias("inside"))))
+    own = own.withColumn("inside", F.when(F.size("inside") > 0, F.col("inside")).otherwise(F.sequence(F.lit(0), F.lit(side**3 - 1))))
+    total = F.aggregate("inside", F.lit(0.0), lambda a, i: a + F.get(F.col(vector), i.cast("int")).cast("double"))
+    return own.select(key, (total / F.size("inside")).alias("mean"))
 
 
 def rotations(phi: np.ndarray, theta: np.ndarray, psi: np.ndarray) -> np.ndarray:

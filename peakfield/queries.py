@@ -268,13 +268,6 @@ def manifest_rollup(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("groups"))
 
 
-@query("SELECT doc_id, substr(text, 1, 6) AS record, try_cast(trim(substr(text, 31, 8)) AS DOUBLE) AS x, regexp_extract(substr(text, 13, 4), '[A-Za-z]', 0) AS element FROM documents")
-def fixed_width_parse(spark, d):
-    """Fields of the first record of each document alone; fixed_width_lines reads all lines. The element is the first letter of the name."""
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.substring(t, 1, 6).alias("record"), F.expr("try_cast(trim(substring(text, 31, 8)) as double)").alias("x"), F.regexp_extract(F.substring(t, 13, 4), "[A-Za-z]", 0).alias("element"))
-
-
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS n FROM documents WHERE text IS NOT NULL),
 f AS (SELECT *, trim(substr(line, 31, 8)) AS x, trim(substr(line, 39, 8)) AS y, trim(substr(line, 47, 8)) AS z, trim(substr(line, 77, 2)) AS stated FROM l)
 SELECT doc_id, CAST(n AS BIGINT) AS line, substr(line, 1, 6) AS record, substr(line, 22, 1) AS chain, CASE WHEN stated <> '' THEN stated ELSE regexp_extract(substr(line, 13, 4), '[A-Za-z]', 0) END AS element,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,10 @@ def write_arrays(rows: DataFrame, uri: str, name: str, values: str) -> int:
 
 
 def files(spark: SparkSession, uri: str) -> DataFrame:
-    """name (without suffix) and content of the files below a folder."""
+    """name (the path below the folder, without suffix) and content of the files below a folder."""
+    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*(?=/))?", "", uri).rstrip("/")
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(uri)
-    return found.select(F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("name"), "content")
+    return found.select(F.regexp_extract("path", re.escape(base).replace("/", "/+") + r"/+(.+)\.npy$", 1).alias("name"), "content")
 
 
 def compared(reference: DataFrame, candidate: DataFrame, atol: float, rtol: float) -> DataFrame:

@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .files import shared_folder
 
-TSV = {"sep": "\t", "header": "true", "quote": '"', "escape": '"', "nullValue": "", "emptyValue": '""'}
+#: A null is an empty field. Line breaks and back slashes in strings are written as escapes, so a row is a line; an empty string is one too.
+TSV = {"sep": "\t", "header": "true", "quote": '"', "escape": '"', "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+EMPTY = "\\e"
+
+
+def _escaped(c: Column) -> Column:
+    for a, b in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return F.when(c == "", EMPTY).otherwise(c)
+
+
+def _restored(c: Column) -> Column:
+    whole = F.transform(F.split(c, r"\\\\", -1), lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.when(c == EMPTY, "").otherwise(F.array_join(whole, "\\"))
+
+
+def _strings(rows: DataFrame, change) -> DataFrame:
+    return rows.select(*[change(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() == "string" else F.col(f"`{f.name}`") for f in rows.schema])
 
 
 def write_tsv(rows: DataFrame, name: str, *order: str) -> str:
     """Files in the given order, each with its header; rows are range-partitioned, so no task sorts all of them."""
     path = shared_folder(rows.sparkSession, name)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.options(**TSV).csv(path)
+    _strings(rows, _escaped).repartitionByRange(parts, *order).sortWithinPartitions(*order).write.options(**TSV).csv(path)
     return path
 
 
 def read_tsv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).options(**TSV, enforceSchema="false", multiLine="false").csv(path)
+    return _strings(spark.read.schema(schema).options(**TSV, enforceSchema="false", multiLine="false").csv(path), _restored)
 
 
 def _lines(rows: DataFrame, name: str, by: str, line) -> str:
