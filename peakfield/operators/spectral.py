@@ -45,6 +45,12 @@ def forward(v: np.ndarray) -> np.ndarray:
     return np.fft.rfft2(v, norm="forward")
 
 
+def without_origin(f: np.ndarray) -> np.ndarray:
+    f = f.copy()
+    f[:, 0, 0] = 0
+    return f
+
+
 def energy(f: np.ndarray, side: int) -> np.ndarray:
     """Energy of the full spectrum: columns that stand for their mates too count twice."""
     w = np.full(side // 2 + 1, 2.0)

@@ -87,20 +87,33 @@ def projected(slices: np.ndarray, rho: float = 1.0) -> np.ndarray:
     return v / np.sqrt(np.maximum(variance, TINY))[:, None, None]
 
 
-def by_view(volumes: DataFrame, views: DataFrame, side: int, of, names: list[str], key: str = "task", vector: str = "template") -> DataFrame:
-    """key, view and what the function makes of slices of every volume in every view (view, phi, theta, psi). Views hang on the angular step, not on the
-    data; Spark broadcasts them below its own limit, and else pairs partitions."""
-    kind = volumes.schema[key].dataType.simpleString()
+#: Views that are cut in one go: a volume is sent once for so many.
+VIEWS = 1024
+
+
+def by_view(volumes: DataFrame, views: DataFrame, side: int, of, names: list[str], key: str = "task", vector: str = "template", conditions: DataFrame | None = None) -> DataFrame:
+    """key, view, condition (where there are any) and what the function makes of slices of every volume in every view (view, phi, theta, psi), each multiplied by
+    the filter of every condition (condition, filter: of the slice's half spectrum). Views hang on the angular step, conditions on the defoci and pixel
+    sizes, neither on the data: they come as arrays, in blocks of VIEWS and in one row, and a volume is a row for each block."""
+    kind, held = volumes.schema[key].dataType.simpleString(), conditions is not None
+    block = views.select("view", F.floor(F.col("view") / VIEWS).alias("block"), "phi", "theta", "psi")
+    packed = block.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("view", "phi", "theta", "psi"))).alias("views"))
+    pairs = volumes.select(F.col(key).alias("key"), F.col(vector).alias("vector")).crossJoin(packed)
+    if held:
+        pairs = pairs.crossJoin(F.broadcast(conditions.agg(F.sort_array(F.collect_list(F.struct("condition", "filter"))).alias("filters"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for own, rows in batch.groupby(key, sort=False):
-                full = spectrum(np.array(rows[vector].iloc[0], float).reshape((side,) * 3))
-                made = of(cut(full, rotations(rows["phi"], rows["theta"], rows["psi"]), side))
-                yield pd.DataFrame({key: own, "view": rows["view"].to_numpy(), **{n: list(made[n].reshape(len(rows), -1)) for n in names}})
+            for row in batch.to_dict("records"):
+                full = spectrum(np.array(row["vector"], float).reshape((side,) * 3))
+                view = pd.DataFrame(list(row["views"]))
+                f = cut(full, rotations(view["phi"], view["theta"], view["psi"]), side)
+                for c in row["filters"] if held else (None,):
+                    made = of(f * np.array(c["filter"], float).reshape(f.shape[1:]) if held else f)
+                    yield pd.DataFrame({key: row["key"], "view": view["view"].to_numpy(), **({"condition": c["condition"]} if held else {}), **{n: list(made[n].reshape(len(view), -1)) for n in names}})
 
-    pairs = volumes.select(key, vector).crossJoin(views.select("view", "phi", "theta", "psi"))
-    return pairs.mapInPandas(run, f"`{key}` {kind}, view int, " + ", ".join(f"{n} array<double>" for n in names))
+    condition = f"condition {conditions.schema['condition'].dataType.simpleString()}, " if held else ""
+    return pairs.mapInPandas(run, f"`{key}` {kind}, view int, {condition}" + ", ".join(f"{n} array<double>" for n in names))
 
 
 def slices(volumes: DataFrame, views: DataFrame, side: int, **names: str) -> DataFrame:
@@ -112,10 +125,13 @@ def projections(volumes: DataFrame, views: DataFrame, side: int, target: int, **
     return by_view(volumes, views, side, lambda f: {"v": projected(f, side * side / target**2)}, ["v"], **names)
 
 
+def filtered_projections(volumes: DataFrame, views: DataFrame, conditions: DataFrame, side: int, target: int, **names: str) -> DataFrame:
+    """Projections through the filter of every condition (condition, filter), normalised for a box of side target."""
+    return by_view(volumes, views, side, lambda f: {"v": projected(f, side * side / target**2)}, ["v"], conditions=conditions, **names)
+
+
 def embedded(v: Column, side: int, size: int) -> Column:
     """A square array in the middle of a larger one of zeros, turned so that its middle comes to the first place, as a template for a correlation."""
-    out = []
-    for i in range(size * size):
-        y, x = ((i // size + side // 2) % size, (i % size + side // 2) % size)
-        out.append(F.get(v, F.lit(y * side + x)) if y < side and x < side else F.lit(0.0))
-    return F.array(*out)
+    turned = lambda c: F.pmod(c + side // 2, F.lit(size))
+    y, x = lambda i: turned(F.floor(i / size).cast("int")), lambda i: turned(i % size)
+    return F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.when((y(i) < side) & (x(i) < side), F.get(v, y(i) * side + x(i))).otherwise(0.0))

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import PX, clean, long_form
-from .functions import normal
-from .operators import arrays, configs, search, spectral, volumes
+from .functions import normal, optics
+from .kernel import CURVE, DFT, PX, WHITE, clean, long_form
+from .operators import arrays, configs, filters, search, spectral, volumes
 from .sources import mrc, npy
 from .sources.files import shared_folder
 
@@ -100,6 +100,34 @@ def projection_search(spark, d):
     return found.select("vec_id", "y", "x", clean("mip", 6).alias("mip"), clean("s1", 6).alias("s1"), "n")
 
 
+#: A condition for each label: the whitening curve of its mean image, and a defocus; filters of 8 x 8 sampled for slices of 4 x 4 at half as many places.
+FILTERS = """, px AS (SELECT task AS vec_id, pos // 8 AS y, pos % 8 AS x, v FROM cube), freq AS (SELECT a.f AS fy, b.f AS fx, CASE WHEN a.f < 4 THEN a.f ELSE a.f - 8 END AS sy FROM (SELECT unnest(range(0, 8)) AS f) a, (SELECT unnest(range(0, 5)) AS f) b)
+""" + DFT.format("px") + WHITE + CURVE.format("dc").replace("spot", "ring") + """, w0 AS (SELECT vec_id, bin, CASE WHEN power > 0 THEN 1 / sqrt(power) ELSE 0 END AS w FROM power),
+w1 AS (SELECT vec_id, bin, w / greatest(max(w) OVER (PARTITION BY vec_id), 1e-12) AS w FROM w0),
+wf AS (SELECT vec_id, fy, fx, sum(w1.w * share.w) AS w FROM share JOIN w1 USING (bin) GROUP BY ALL),
+opt AS (SELECT 12.2639 / sqrt(300000.0 * (1 + 300000.0 * 0.97845e-6)) / 1.5 AS wave, 2.7 * 1e7 / 1.5 AS cs, atan(0.07 / sqrt(1 - 0.07 * 0.07)) AS amp),
+phase AS (SELECT vec_id, fy, fx, sy, wave * pi() * ((fx / 8.0) ** 2 + (sy / 8.0) ** 2) * ((8000.0 + 900 * vec_id + 7000.0 + 900 * vec_id + cos((atan2(sy / 8.0, fx / 8.0) - radians(25)) * 2) * 1000.0) / 2 / 1.5 - wave * wave * ((fx / 8.0) ** 2 + (sy / 8.0) ** 2) * cs / 2) + amp AS p FROM (SELECT DISTINCT vec_id FROM px), freq, opt),
+filt AS (SELECT vec_id AS condition, p.sy, fx, CASE WHEN sy = 0 AND fx = 0 THEN 0 ELSE -sin(p.p) * w * exp(-2.0 * ((fx / 8.0) ** 2 + (sy / 8.0) ** 2)) END AS v FROM phase p JOIN wf USING (vec_id, fy, fx)),
+take AS (SELECT gy, gx, gx * 1.5 AS u, CASE WHEN gy < 2 THEN gy ELSE gy - 4 END * 1.5 AS q FROM (SELECT unnest(range(0, 4)) AS gy), (SELECT unnest(range(0, 3)) AS gx)),
+smp AS (SELECT condition, gy, gx, sum(CASE WHEN floor(u) + 1 <= 4 AND floor(q) >= -4 AND floor(q) + 1 <= 3 AND (gy <> 0 OR gx <> 0) THEN v * (1 - abs(u - fx)) * (1 - abs(q - sy)) ELSE 0 END) AS w FROM take, filt WHERE fx BETWEEN floor(u) AND floor(u) + 1 AND sy BETWEEN floor(q) AND floor(q) + 1 GROUP BY ALL),
+thru AS (SELECT task * 100 + condition AS task, view, gy, gx, re * w AS re, im * w AS im FROM sl JOIN smp USING (gy, gx))
+"""
+
+
+@query(SLICES + FILTERS + PROJECTED.replace("FROM sl,", "FROM thru,") + "SELECT task // 100 AS task, CAST(task % 100 AS INT) AS condition, view, CAST(y AS INT) AS fy, CAST(x AS INT) AS fx, round(v, 4) + 0.0 AS v FROM pr")
+def filtered_projections(spark, d):
+    """Label means projected in every view through a filter for each label: contrast transfer, whitening by its mean image, and a fall-off given by the user."""
+    means = search.templates(table(spark, d, "embeddings"))
+    curves = spectral.by_image(means, 8, lambda v: {"curve": spectral.whitening(spectral.without_origin(spectral.forward(v)))}, "task", "template")
+    n = lambda x: F.lit(float(x))
+    defocus = 8000.0 + 900 * F.col("task")
+    transfer = lambda fx, fy: optics.transfer(fx, fy, n(1.5), n(300), n(2.7), n(0.07), defocus, defocus - 1000, n(25), n(0))
+    own = filters.condition_filter(8, transfer, F.col("curve"), [lambda fx, fy: F.exp((fx * fx + fy * fy) * -2.0)])
+    conditions = curves.select(F.col("task").cast("int").alias("condition"), filters.sampled(own, 8, 4, 1.5).alias("filter"))
+    made = volumes.filtered_projections(means, views(spark), conditions, 4, 8)
+    return long_form(made.withColumn("key", F.struct("task", "condition", "view")), {"v": 4}, 4, "key").select("key.*", "fy", "fx", "v")
+
+
 @query("SELECT vec_id, round(avg(CAST(v AS DOUBLE)), 6) + 0.0 AS mean FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) WHERE (pos // 16 - 1.5) ** 2 + (pos // 4 % 4 - 1.5) ** 2 + (pos % 4 - 1.5) ** 2 <= 3.24 GROUP BY vec_id")
 def sphere_mean(spark, d):
     return volumes.sphere_mean(table(spark, d, "embeddings"), 4, 1.8).select("vec_id", clean("mean").alias("mean"))
