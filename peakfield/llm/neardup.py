@@ -11,7 +11,8 @@ of the sets alone, whatever the counts. Classes are the connected components of
 Copies count once: texts with the same words make one representative, named by a hash of the words, before banding. In a bucket, each representative is first
 compared with one leader, the one that shares buckets most often, as what a group of edited copies was made from does; then those that are still in
 different classes with another of each bucket, so a group of copies needs a few comparisons for each member. What still shares a bucket across classes then goes through an exact set-similarity join: two
-texts of that similarity share one of the rarest fifth of their shingles, which in a group of edited copies are the edits.
+texts of that similarity share one of the rarest fifth of their shingles, which in a group of edited copies are the edits. There each text is first compared with one text of each larger
+class that it meets, again and again while that joins classes; only pairs of the classes that stay are then compared in full, so none is left out.
 
 Cases: words are lower-cased (A-Z) and parted by ASCII white space. A text of one to four words is one shingle. A null text, or
 one without words, is a class of its own. The class id is the smallest id in the class. Repeated rows (same id, same text)
@@ -153,26 +154,42 @@ def components(edges: DataFrame) -> DataFrame:
             return at
 
 
-def rare_pairs(docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Every pair of docs (id, label, text) with different labels that can reach the threshold: with shingles ordered by rarity, such
-    a pair shares one of the first n - ceil(threshold * n) + 1 shingles of both."""
+def prefixes(docs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """id, n, at, h: of every text of docs (id, text) the shingles, ordered by rarity among docs, of which two texts that reach the threshold have one in common:
+    the first n - ceil(threshold * n) + 1, without those that no other text has. It is written."""
 
     def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            ids, labels, texts = part["id"].to_numpy(), part["label"].to_numpy(), part["text"].tolist()
+            ids, texts = part["id"].to_numpy(), part["text"].tolist()
             for a, b in chunks(texts, 1 << 20):
                 for c in range(a, b, 4096):
                     of, h, _ = shingles([words(t) for t in texts[c : min(b, c + 4096)]], size)
-                    yield pd.DataFrame({"id": ids[c + of], "label": labels[c + of], "n": np.bincount(of)[of] if len(of) else of, "h": h.view(np.int64)})
+                    yield pd.DataFrame({"id": ids[c + of], "n": np.bincount(of)[of] if len(of) else of, "h": h.view(np.int64)})
 
-    each = written(docs.mapInPandas(spread, "id long, label long, n long, h long"), "shingles")
+    each = written(docs.select("id", "text").mapInPandas(spread, "id long, n long, h long"), "shingles")
     often = each.groupBy("h").agg(F.count("*").alias("seen")).where("seen > 1")
-    ordered = each.join(often, "h", "left").groupBy("id", "label", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("seen", F.lit(1)).alias("seen"), "h"))).alias("all"))
-    rare = ordered.select("id", "label", "n", F.posexplode(F.expr(f"slice(all, 1, cast(n - ceil({threshold} * n) + 1 as int))")).alias("at", "x")).where("x.seen > 1").select("id", "label", "n", "at", "x.h")
-    u, v = rare.alias("u"), rare.alias("v")
+    ordered = each.join(often, "h", "left").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("seen", F.lit(1)).alias("seen"), "h"))).alias("all"))
+    first = ordered.select("id", "n", F.posexplode(F.expr(f"slice(all, 1, cast(n - ceil({threshold} * n) + 1 as int))")).alias("at", "x"))
+    return written(first.where("x.seen > 1").select("id", "n", "at", "x.h"), "prefixes")
+
+
+def rare_pairs(rare: DataFrame, threshold: float, whole: bool) -> DataFrame:
+    """Pairs (rep, leader) of different classes that can reach the threshold; rare: prefixes with the texts' classes (label). whole: all of them; else for each text
+    and each larger class that it meets one text of that class, the one that has the common shingle first. Members of a large class need not ask for the small
+    ones, which ask for it."""
+    if not whole:
+        of = rare.select("id", "label").distinct().groupBy("label").agg(F.count("*").alias("texts"))
+        rare = rare.join(of, "label").select("id", "n", "at", "h", F.struct("texts", "label").alias("label"))
+    u = rare.alias("u")
+    if whole:
+        v = rare.alias("v")
+    else:
+        v = rare.groupBy("h", "label").agg(F.min(F.struct("at", "id", "n")).alias("x")).select("h", "label", "x.at", "x.id", "x.n").alias("v")
     # all that a pair shares comes after its first common shingle in both, so what is left there bounds the overlap
     near = u.join(v, F.expr(f"u.h = v.h and u.label < v.label and least(u.n - u.at, v.n - v.at) * (1 + {threshold}) >= {threshold} * (u.n + v.n) - 1e-6"))
-    return near.select(F.col("u.id").alias("rep"), F.col("v.id").alias("leader"))
+    if whole:
+        return near.select(F.col("u.id").alias("rep"), F.col("v.id").alias("leader"))
+    return near.groupBy(F.col("u.id").alias("rep"), F.col("v.label").alias("of")).agg(F.min(F.struct(F.greatest("u.at", "v.at").alias("at"), F.col("v.id").alias("leader"))).alias("x")).select("rep", "x.leader")
 
 
 def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, star_rounds: int = 3) -> DataFrame:
@@ -196,29 +213,35 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     texts = written(found.groupBy(F.col("rep").alias("id")).agg(F.min("text").alias("text")), "texts")
     labels = members.select(F.col("rep").alias("node")).distinct().select("node", F.col("node").alias("label"))
     tested = None
-    for r in range(star_rounds + 1):
-        now = members.join(labels, F.col("rep") == F.col("node")).select("bucket", "rep", "near", "label")
-        if r:
-            mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-            now = now.join(mixed, "bucket")
-        if r < star_rounds:
-            order = F.struct((F.xxhash64("rep", "bucket", F.lit(r)) if r else -F.col("near")).alias("by"), F.col("rep").alias("leader"), F.col("label").alias("of"))
-            lead = now.groupBy("bucket").agg(F.min(order).alias("x")).select("bucket", "x.leader", "x.of")
-            found = now.join(lead, "bucket").where("label != of").select("rep", "leader")
-        else:
-            rest = now.select(F.col("rep").alias("id"), "label").distinct()
-            found = rare_pairs(texts.join(rest, "id"), size, threshold)
+    rare, r, whole = None, 0, False
+    while True:
+        if rare is None:
+            now = members.join(labels, F.col("rep") == F.col("node")).select("bucket", "rep", "near", "label")
+            if r:
+                mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+                now = now.join(mixed, "bucket")
+            if r < star_rounds:
+                order = F.struct((F.xxhash64("rep", "bucket", F.lit(r)) if r else -F.col("near")).alias("by"), F.col("rep").alias("leader"), F.col("label").alias("of"))
+                lead = now.groupBy("bucket").agg(F.min(order).alias("x")).select("bucket", "x.leader", "x.of")
+                found = now.join(lead, "bucket").where("label != of").select("rep", "leader")
+            else:
+                rare = prefixes(texts.join(now.select(F.col("rep").alias("id")).distinct(), "id"), size, threshold)
+        if rare is not None:
+            found = rare_pairs(rare.join(labels, F.col("id") == F.col("node")).drop("node"), threshold, whole)
         pairs = found.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        if r and not pairs.limit(1).count():
-            if r < star_rounds:
-                continue
+        links = written(verified(pairs, texts, size, threshold), "links") if not r or pairs.limit(1).count() else None
+        if links is not None and links.limit(1).count():
+            on = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_"))  # noqa: B023, E731
+            merged = components(links.join(on("a"), "a").join(on("b"), "b").where("a_ != b_").select(F.col("a_").alias("a"), F.col("b_").alias("b")))
+            labels = written(labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "classes")
+        elif rare is not None and not whole:
+            whole = True  # no class of one text each links any more: what is left is compared in full
+            continue
+        if whole:
             break
-        links = verified(pairs, texts, size, threshold)
-        on = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_"))  # noqa: B023, E731
-        merged = components(links.join(on("a"), "a").join(on("b"), "b").where("a_ != b_").select(F.col("a_").alias("a"), F.col("b_").alias("b")))
-        labels = written(labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "classes")
+        r += 1
     named = written(reps.select("key", "rep", "id").join(labels, F.col("rep") == F.col("node"), "left").select("key", "id", F.coalesce("label", "rep").alias("label")), "named")
     # only classes of several representatives need the smallest id of all
     least = named.groupBy("label").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("label", "least")

@@ -175,3 +175,40 @@ def test_digests(spark):
     got = queries.op12_lines(spark, DATA).collect()
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == sorted((i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in brute_lines(rows))
+
+
+def test_few_pairs_are_left_of_a_group_of_edited_copies(spark, monkeypatch):
+    import itertools
+    import random
+
+    from peakfield.llm import neardup
+
+    counts, own = [], neardup.rare_pairs
+
+    def counted(*args):
+        out = own(*args)
+        counts.append(out.distinct().count())
+        return out
+
+    monkeypatch.setattr(neardup, "rare_pairs", counted)
+    r = random.Random(1)
+    base = [f"w{r.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for i in range(200):
+        t = list(base)
+        for _ in range(r.randrange(13 if i % 4 == 0 else 7)):
+            t[r.randrange(300)] = f"e{r.randrange(10**9)}"
+        rows.append((i, " ".join(t)))
+    got = {x.id: x.class_id for x in neardup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets, up = [{tuple(t.split()[k : k + 5]) for k in range(296)} for _, t in rows], list(range(200))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in itertools.combinations(range(200), 2):
+        n = len(sets[a] & sets[b])
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            up[max(root(a), root(b))] = min(root(a), root(b))
+    assert got == {i: root(i) for i in range(200)} and sum(counts) < 400
