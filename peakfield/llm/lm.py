@@ -384,23 +384,35 @@ def averaged(m: Model, inputs: DataFrame) -> Model:
     return m
 
 
+def most_frequent(all_counts: DataFrame, most: int, slices: int = 4096) -> DataFrame:
+    """The rows (word, n) of the most frequent words, at most so many, found by counts of counts before any word is sent. Where a count's words would be too
+    many, those with the lowest hashes are taken, in whole slices of the hashes."""
+    # counts to three figures and their digits: a few thousand rows at most
+    scale = F.pow(10, F.greatest(F.length(F.col("n").cast("string")) - 3, F.lit(0)))
+    level, part = (F.floor(F.col("n") / scale) * scale).cast("long"), F.pmod(F.xxhash64("word", F.lit(7)), F.lit(slices))
+    held, take = 0, F.lit(False)
+    for r in all_counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
+        if held + r.words <= most:
+            held, take = held + r.words, F.col("n") >= r.level
+            continue
+        last = 0
+        for p in all_counts.where(level == r.level).groupBy(part.alias("part")).agg(F.count("*").alias("words")).orderBy("part").collect():
+            if held + p.words > most:
+                break
+            held, last = held + p.words, p.part + 1
+        take = take | ((level == r.level) & (part < last))
+        break
+    return all_counts.where(take)
+
+
 def started(train_docs: DataFrame, frequent: int = 262_144) -> tuple[Model, DataFrame]:
-    """The model before training, and the table of all counts (word, n). The frequent words are those from the least count on that at most so many words
-    have, so their number is bounded before they are collected."""
+    """The model before training, and the table of all counts (word, n). The frequent words are as many as can be had with whole counts and, of the count
+    below them, whole slices of hashes, so their number is bounded before they are collected."""
     spark = train_docs.sparkSession
     small_batches(spark)
     all_counts = written(counts(train_docs), "counts")
     sums = all_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    # how many words have a count, by count to three figures and its digits: a few thousand rows at most
-    exact = F.col("n") < 1000
-    rounded = F.when(exact, F.col("n")).otherwise((F.col("n") / F.pow(10, F.length(F.col("n").cast("string")) - 3)).cast("long") * F.pow(10, F.length(F.col("n").cast("string")) - 3).cast("long"))
-    least, held = None, 0
-    for r in all_counts.groupBy(rounded.alias("least")).agg(F.count("*").alias("words")).orderBy(F.desc("least")).collect():
-        held += r.words
-        if held > frequent:
-            break
-        least = r.least
-    table = all_counts.where(F.col("n") >= least if least is not None else F.lit(False)).toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
+    table = most_frequent(all_counts, frequent).toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
     head = spark.createDataFrame([(w,) for w in table["word"][: head_classes(sums.v) * PER_CLASS]], "word binary")
     per = all_counts.join(F.broadcast(head), "word", "left_anti").groupBy(spelled("word").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     class_n, class_v = np.zeros(SPELLINGS), np.zeros(SPELLINGS)

@@ -212,3 +212,19 @@ def test_few_pairs_are_left_of_a_group_of_edited_copies(spark, monkeypatch):
         if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
             up[max(root(a), root(b))] = min(root(a), root(b))
     assert got == {i: root(i) for i in range(200)} and sum(counts) < 400
+
+
+def test_most_frequent_words(spark):
+    from peakfield.llm import lm
+
+    once = spark.range(30_000).selectExpr("cast(concat('w', id) as binary) as word", "1L as n")
+    assert 9_000 < lm.most_frequent(once, 10_000).count() <= 10_000
+    some = once.union(spark.range(50).selectExpr("cast(concat('f', id) as binary)", "1000 + id")).repartition(3)
+    got = lm.most_frequent(some, 60).collect()
+    assert 50 <= len(got) <= 60 and sum(r.n >= 1000 for r in got) == 50
+    assert lm.most_frequent(some, 40_000).count() == 30_050 and lm.most_frequent(once.where("false"), 5).count() == 0
+    top = lm.most_frequent(some.where("n >= 1000"), 10).collect()
+    assert 5 <= len(top) <= 10 and min(r.n for r in top) >= 1030
+    docs = spark.createDataFrame([(i, f"only{i} here{i}") for i in range(300)], "doc_id long, text string")
+    model, _ = lm.started(docs.select("text"), 200)
+    assert 150 < len(model.words) <= 200 and model.n[0] == 300 and set(model.n[1:]) == {1}
