@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import normal
+
 #: Fixed values of the histogram.
 BINS, LOW, STEP = 512, -12.5, 35.0 / 512
 
@@ -46,3 +48,11 @@ def smoothed(counts: DataFrame) -> DataFrame:
     rows = dense(counts).withColumn("edge_lo", F.first("n").over(whole)).withColumn("edge_hi", F.last("n").over(whole))
     v = (-3 * at(-2) + 12 * at(-1) + 17 * n + 12 * at(1) - 3 * at(2)) / 35.0
     return rows.select("bin", "n", F.rint(F.greatest(v, F.lit(0.0))).cast("long").alias("smooth"))
+
+
+def report(counts: DataFrame, trials: Column, mean: float = 0.0, deviation: float = 1.0) -> DataFrame:
+    """The seven columns of a histogram's file: bin, midpoint, midpoint scaled by the global mean and deviation, raw and smoothed count, how many smoothed ones are in
+    a bin or above, and how many of so many trials noise alone would have above the midpoint."""
+    above = Window.orderBy("bin").rowsBetween(Window.currentRow, Window.unboundedFollowing)  # 512 rows
+    middle = F.col("bin") * STEP + (LOW + STEP / 2)
+    return smoothed(counts).select("bin", middle.alias("snr_midpoint"), ((middle - mean) / deviation).alias("source_curve_x_scaled"), F.col("n").alias("raw_count"), F.col("smooth").alias("smoothed_count"), F.sum("smooth").over(above).alias("observed_survival"), (normal.survival(middle) * trials).alias("expected_gaussian_survival"))

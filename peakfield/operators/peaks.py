@@ -56,3 +56,15 @@ def top(df: DataFrame, threshold: float, most: int, score: str, *tie: str) -> Da
 
     best = df.where(F.col(score) >= threshold).orderBy(F.desc(score), *tie).limit(most)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), *tie)))
+
+
+#: What a peak's file says of the place of each peak, besides its rank, place and score.
+LABELS = ("mip_zscore", "phi_deg", "theta_deg", "psi_deg", "defocus_offset_angstrom", "pixel_size_offset_angstrom")
+
+
+def described(peaks: DataFrame, maps: DataFrame, pixel: float, grid: str = "grid") -> DataFrame:
+    """The twelve columns of a file of peaks, and the grid: peaks (grid, rank, x, y, score) with the values that maps (grid, x, y and LABELS) have there. A peak
+    outside the maps has none of them."""
+    on = [peaks[c].eqNullSafe(maps[c]) for c in (grid, "x", "y")]
+    rows = peaks.join(maps, on, "left")
+    return rows.select(peaks[grid], peaks["rank"], peaks["x"].alias("x_pixel"), peaks["y"].alias("y_pixel"), (peaks["x"] * F.lit(float(pixel))).alias("x_angstrom"), (peaks["y"] * F.lit(float(pixel))).alias("y_angstrom"), peaks["score"], *[maps[c] for c in LABELS])
