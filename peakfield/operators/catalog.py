@@ -50,8 +50,14 @@ def error_metrics(df: DataFrame, reference: str, candidate: str, rtol: float = 1
     )
 
 
+#: Shares that a report of percentiles gives.
+SHARES = (0.5, 0.9, 0.95, 0.99)
+
+
 def percentiles(df: DataFrame, value: str, group: str) -> DataFrame:
-    return df.groupBy(group).agg(*[F.percentile(value, q).alias(f"p{round(100 * q)}") for q in (0.5, 0.9, 0.95, 0.99)], F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.count("*").alias("n"))
+    """Exact percentiles, of one table of counts of values for each group, and the mean, least, most and number."""
+    one = df.groupBy(group).agg(F.percentile(value, F.array(*[F.lit(q) for q in SHARES])).alias("p"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.count("*").alias("n"))
+    return one.select(group, *[F.get("p", i).alias(f"p{round(100 * q)}") for i, q in enumerate(SHARES)], "mean", "least", "most", "n")
 
 
 def fixed_lines(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -14,9 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import written
+
 TINY = 1e-12
-#: Bytes of template spectra that a task holds at a time.
-TEMPLATE_BYTES = 64 << 20
+#: Bytes of image spectra that a task holds at a time.
+BLOCK_BYTES = 64 << 20
 
 
 def signed(f: Column, n: int) -> Column:
@@ -61,26 +63,24 @@ def energy(f: np.ndarray, side: int) -> np.ndarray:
 
 
 @lru_cache(8)
-def radial_weights(side: int) -> tuple[np.ndarray, np.ndarray]:
-    """(frequencies, points): the share of each frequency in the points of a radial curve, and the same without explicit Hermitian mates."""
+def radial_places(side: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """points of a radial curve; of each frequency the two points that share it and the second one's share; whether it is no explicit Hermitian mate."""
     points = int((side / 2 + 1) * math.sqrt(2) + 1)
     radius = np.hypot(np.fft.fftfreq(side)[:, None], np.fft.rfftfreq(side)[None]).ravel()
     at = np.clip(radius / (0.5 * math.sqrt(2) / (points - 1)), 0, points - 1)
     lo = at.astype(int)
-    hi, n = np.minimum(lo + 1, points - 1), np.arange(len(at))
-    share = np.zeros((len(at), points))
-    share[n, lo] = 1 - (at - lo)
-    np.add.at(share, (n[hi != lo], hi[hi != lo]), (at - lo)[hi != lo])
-    own = share.reshape(side, -1, points).copy()
-    own[side // 2 + 1 if side % 2 == 0 else (side + 1) // 2 :, 0] = 0
-    return share, own.reshape(len(at), points)
+    own = np.ones((side, side // 2 + 1), bool)
+    own[side // 2 + 1 if side % 2 == 0 else (side + 1) // 2 :, 0] = False
+    return points, lo, np.minimum(lo + 1, points - 1), at - lo, own.ravel()
 
 
 def radial_power(f: np.ndarray) -> np.ndarray:
     """(images, points): mean power by distance from the origin; a frequency is shared by the two points beside it."""
-    _, own = radial_weights(f.shape[1])
-    total = own.sum(0)
-    return np.where(total > 0, (f.real**2 + f.imag**2).reshape(len(f), -1) @ own / np.maximum(total, TINY), 0)
+    points, lo, hi, part, own = radial_places(f.shape[1])
+    add = lambda v: np.bincount(lo[own], (v * (1 - part))[own], points) + np.bincount(hi[own], (v * part)[own], points)
+    total = add(np.ones(len(lo)))
+    power = np.stack([add(p) for p in (f.real**2 + f.imag**2).reshape(len(f), -1)]) if len(f) else np.zeros((0, points))
+    return np.where(total > 0, power / np.maximum(total, TINY), 0)
 
 
 def whitening(f: np.ndarray) -> np.ndarray:
@@ -92,7 +92,8 @@ def whitening(f: np.ndarray) -> np.ndarray:
 
 def with_curve(f: np.ndarray, curve: np.ndarray) -> np.ndarray:
     """Spectra times their radial curves, looked up by interpolation."""
-    return f * (curve @ radial_weights(f.shape[1])[0].T).reshape(f.shape)
+    _, lo, hi, part, _ = radial_places(f.shape[1])
+    return f * (curve[:, lo] * (1 - part) + curve[:, hi] * part).reshape(f.shape)
 
 
 def footprint(f: np.ndarray, side: int, pixels: float) -> np.ndarray:
@@ -126,36 +127,60 @@ def resized(v: np.ndarray, size: int) -> np.ndarray:
 
 
 def correlated(images: DataFrame, tasks: DataFrame, side: int, key: str = "vec_id", vector: str = "embedding", digits: int = 9) -> DataFrame:
-    """key, y, x, mip, task, s1, s2, n: the correlation of every image with every template at every shift, reduced over the templates in the task
-    that computes it; equal scores go to the lower task. tasks: task, template. Templates pass in blocks of bounded bytes, each block one pass over
-    the images, and the blocks' maxima and moments are merged by one aggregation."""
-    spark, found = images.sparkSession, None
-    kind = images.schema[key].dataType.simpleString()
-
-    def block(rows: list) -> DataFrame:
-        rows = sorted(rows, key=lambda r: r.task)
-        shared = spark.sparkContext.broadcast((np.array([r.task for r in rows]), np.conj(forward(np.array([r.template for r in rows], float).reshape(-1, side, side)))))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, own = shared.value
-            for batch in batches:
-                for at, v in zip(batch[key], batch[vector], strict=True):
-                    f = forward(np.array(v, float).reshape(1, side, side))
-                    score = np.round(np.fft.irfft2(f * own, s=(side, side), norm="forward"), digits)
-                    best = score.argmax(0)
-                    y, x = np.divmod(np.arange(side * side), side)
-                    yield pd.DataFrame({key: at, "y": y, "x": x, "mip": score.max(0).ravel(), "task": names[best].ravel(), "s1": score.sum(0).ravel(), "s2": (score**2).sum(0).ravel(), "n": len(names)})
-
-        return images.select(key, vector).mapInPandas(run, f"`{key}` {kind}, y int, x int, mip double, task long, s1 double, s2 double, n long")
-
-    held: list = []
-    for r in tasks.select("task", "template").toLocalIterator():
-        held.append(r)
-        if len(held) * side * (side // 2 + 1) * 16 >= TEMPLATE_BYTES:
-            found, held = block(held) if found is None else found.union(block(held)), []
-    if held or found is None:
-        found = block(held) if found is None else found.union(block(held))
-    best = F.max(F.struct("mip", (-F.col("task")).alias("t"))).alias("best")
-    merged = found.groupBy(key, "y", "x").agg(best, F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("n").alias("n"))
+    """key, y, x, mip, task, s1, s2, n: the correlation of every image with every template at every shift; equal scores go to the lower task. tasks: task, template.
+
+    Images are dealt into blocks of bounded bytes and templates into slices. A Spark task holds the spectra of one block while the templates of one slice
+    stream by, and keeps the maximum and the moments of each place; it returns one row for each image, and the slices' rows are merged by one aggregation. Templates go
+    from task to task, never through the driver."""
+    spark = images.sparkSession
+    tasks, images = written(tasks.select("task", "template"), "templates"), written(images.select(F.col(key).alias("key"), F.col(vector).alias("values")), "images")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-images.count() * side * (side // 2 + 1) * 16 // BLOCK_BYTES))
+    slices = max(1, -(-parts // blocks))
+    kind = images.schema["key"].dataType.simpleString()
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = images.select(deal("key", blocks).alias("block"), every(slices).alias("slice"), F.lit(None).cast("long").alias("task"), "key", F.transform("values", lambda v: v.cast("double")).alias("values"))
+    right = tasks.select(every(blocks).alias("block"), deal("task", slices).alias("slice"), F.col("task").cast("long").alias("task"), F.lit(None).cast(kind).alias("key"), F.transform("template", lambda v: v.cast("double")).alias("values"))
+    # null tasks, the images, come first in each pair of a block and a slice
+    dealt = left.union(right).repartition(max(parts, blocks * slices), "block", "slice").sortWithinPartitions("block", "slice", F.asc_nulls_first("task"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, names, held, spectra, best = None, [], [], None, {}
+
+        def out() -> Iterator[pd.DataFrame]:
+            if spectra is not None and best["n"]:
+                flat = lambda k: list(best[k].reshape(len(names), -1))
+                yield pd.DataFrame({"key": names, "mip": flat("mip"), "task": flat("task"), "s1": flat("s1"), "s2": flat("s2"), "n": best["n"]})
+
+        for batch in batches:
+            for (block, part), rows in batch.groupby(["block", "slice"], sort=False):
+                if at != (block, part):
+                    yield from out()
+                    at, names, held, spectra, best = (block, part), [], [], None, {}
+                new = rows["task"].isna().to_numpy()
+                names += rows["key"][new].tolist()
+                held += rows["values"][new].tolist()
+                own = rows[~new]
+                if not len(own) or not names:
+                    continue
+                if spectra is None:
+                    spectra, held = forward(np.array(held, float).reshape(-1, side, side)), []
+                    shape = (len(names), side, side)
+                    best = {"mip": np.full(shape, -np.inf), "task": np.zeros(shape, np.int64), "s1": np.zeros(shape), "s2": np.zeros(shape), "n": 0}
+                for task, values in zip(own["task"].astype(np.int64), own["values"], strict=True):
+                    score = np.round(np.fft.irfft2(spectra * np.conj(forward(np.array(values, float).reshape(1, side, side))), s=(side, side), norm="forward"), digits)
+                    more = score > best["mip"]  # tasks come in rising order
+                    best["mip"][more], best["task"][more] = score[more], task
+                    best["s1"] += score
+                    best["s2"] += score * score
+                    best["n"] += 1
+        yield from out()
+
+    found = dealt.mapInPandas(run, f"key {kind}, mip array<double>, task array<long>, s1 array<double>, s2 array<double>, n long")
+    rows = found.select("key", "n", F.posexplode(F.arrays_zip("mip", "task", "s1", "s2")).alias("at", "e")).select("key", "n", "at", "e.*")
+    top = F.max(F.struct("mip", (-F.col("task")).alias("t"))).alias("best")
+    merged = rows.groupBy("key", "at").agg(top, F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("n").alias("n"))
     won = F.col("best.mip") > 0
-    return merged.select(key, "y", "x", F.when(won, F.col("best.mip")).otherwise(0.0).alias("mip"), F.when(won, -F.col("best.t")).alias("task"), "s1", "s2", "n")
+    place = [F.expr(f"cast(at div {side} as int)").alias("y"), (F.col("at") % side).cast("int").alias("x")]
+    return merged.select(F.col("key").alias(key), *place, F.when(won, F.col("best.mip")).otherwise(0.0).alias("mip"), F.when(won, -F.col("best.t")).alias("task"), "s1", "s2", "n")

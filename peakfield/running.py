@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .kernel import clean, table
-from .operators import batch, histogram, peaks, schema
+from .operators import batch, histogram, paths, peaks, schema
 from .queries import HIST, _z
 from .sources import commits, prepared, stacks
 from .sources.files import shared_folder
@@ -171,3 +171,17 @@ def prepared_pages(spark, d):
     rows = found.select("page_id", "sha256", "n")
     _, changed = prepared.prepare(pages, "html", {"box": 9, "chains": ["A"]}, make, path)
     return rows.withColumns({"made_first": F.lit(first).cast("long"), "made_again": F.lit(again), "made_changed": F.lit(changed).cast("long")})
+
+
+@query("""WITH r AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '/data/' ELSE '' END || regexp_replace(url, '^[a-z]+://', '') AS raw FROM pages),
+n AS (SELECT page_id, raw, starts_with(raw, '/') AS abs, array_to_string(list_filter(string_split(raw, '/'), lambda p: p NOT IN ('', '.')), '/') AS p FROM r),
+f AS (SELECT DISTINCT CASE page_id % 5 WHEN 0 THEN '/one/' WHEN 1 THEN '/data/star/' WHEN 2 THEN '/' ELSE '/two/' END || p AS path FROM n WHERE page_id % 5 < 4),
+c AS (SELECT page_id, raw, abs, '/one/' || p AS a, '/data/star/' || p AS b, '/' || p AS d FROM n)
+SELECT page_id, CASE WHEN abs THEN d WHEN a IN (SELECT path FROM f) THEN a WHEN b IN (SELECT path FROM f) THEN b ELSE a END AS resolved, CASE WHEN abs THEN d IN (SELECT path FROM f) ELSE a IN (SELECT path FROM f) OR b IN (SELECT path FROM f) END AS "exists" FROM c""")
+def resolved_paths(spark, d):
+    """A path for each page, relative but for some, against a listing in which most of them stand below one of several roots."""
+    raw = F.concat(F.when(F.col("page_id") % 7 == 0, "/data/").otherwise(""), F.regexp_replace("url", "^[a-z]+://", ""))
+    rows = table(spark, d, "pages").select("page_id", raw.alias("raw"))
+    root = F.when(F.col("page_id") % 5 == 0, "/one/").when(F.col("page_id") % 5 == 1, "/data/star/").when(F.col("page_id") % 5 == 2, "/").otherwise("/two/")
+    files = rows.where("page_id % 5 < 4").select(paths.normal(F.concat(root, "raw")).alias("path"))
+    return paths.resolved(rows, "raw", files, ["/one", "/data/star/"]).select("page_id", "resolved", "exists")

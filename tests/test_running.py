@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakfield.functions import normal
-from peakfield.operators import batch, filters, histogram, peaks, schema, spectral, volumes
+from peakfield.operators import batch, filters, histogram, paths, peaks, schema, spectral, volumes
 from peakfield.sources import commits, prepared, stacks
 from peakfield.sources.files import shared_folder
 
@@ -175,3 +175,32 @@ def test_views_in_blocks(spark, monkeypatch):
     held = volumes.by_view(own, views, 4, spectral.parts, ["re", "im"], conditions=one).collect()
     assert len(plain) == 10 and len(held) == 20
     assert all(np.allclose(np.array(x.re), np.array(plain[x.task, x.view].re) * (x.condition - 6)) for x in held)
+
+
+def test_paths(spark):
+    folder = shared_folder(spark, "listed")
+    commits.commit(spark, f"{folder}/a", {})
+    assert any(r.path.startswith(folder.removeprefix("file://")) and "metadata.json" in r.path for r in paths.listing(spark, folder).collect())
+    given = [("x/../b.mrc", "/r1/b.mrc", True), ("c.mrc", "/r2/c.mrc", True), ("./d.mrc", "/r1/d.mrc", False), ("/abs//e.mrc", "/abs/e.mrc", True), ("../up.mrc", "/up.mrc", False), (None, None, None), ("c.mrc", "/r2/c.mrc", True)]
+    files = spark.createDataFrame([("/r1/b.mrc",), ("/r2/b.mrc",), ("/r2/c.mrc",), ("/abs/e.mrc",), ("/abs/e.mrc",)], "path string")
+    rows = spark.createDataFrame([(g[0],) for g in given], "p string")
+    got = [tuple(r) for r in paths.resolved(rows, "p", files, ["/r1", "/r2/"]).collect()]
+    assert sorted(got, key=str) == sorted(given, key=str)
+
+
+def test_correlation_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spectral, "BLOCK_BYTES", 1500)
+    r = np.random.default_rng(6)
+    images, templates = {f"i{k}": r.normal(size=(4, 4)) for k in range(9)}, {k: r.normal(size=(4, 4)) for k in range(11)}
+    templates[10] = templates[3]
+    own = spark.createDataFrame([(k, v.ravel().tolist()) for k, v in images.items()], "vec_id string, embedding array<double>")
+    tasks = spark.createDataFrame([(k, v.ravel().tolist()) for k, v in templates.items()], "task long, template array<double>")
+    got = {(x.vec_id, x.y, x.x): x for x in spectral.correlated(own, tasks, 4).collect()}
+    assert len(got) == 9 * 16
+    for k, v in images.items():
+        score = np.stack([np.round(np.fft.ifft2(np.fft.fft2(v) * np.conj(np.fft.fft2(t))).real / 16, 9) for t in templates.values()])
+        for y, x in np.ndindex(4, 4):
+            s = score[:, y, x]
+            x_ = got[k, y, x]
+            assert abs(x_.mip - max(s.max(), 0)) < 1e-8 and x_.n == 11 and abs(x_.s1 - s.sum()) < 1e-7 and x_.task == (int(s.argmax()) if s.max() > 0 else None)
+    assert spectral.correlated(own, tasks.where("false"), 4).count() == 0 and spectral.correlated(own.where("false"), tasks, 4).count() == 0
