@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .kernel import clean, table
-from .operators import batch, histogram, paths, peaks, schema
+from .operators import batch, histogram, paths, peaks, schema, search, stages
 from .queries import HIST, _z
 from .sources import commits, prepared, stacks
 from .sources.files import shared_folder
@@ -185,3 +185,16 @@ def resolved_paths(spark, d):
     root = F.when(F.col("page_id") % 5 == 0, "/one/").when(F.col("page_id") % 5 == 1, "/data/star/").when(F.col("page_id") % 5 == 2, "/").otherwise("/two/")
     files = rows.where("page_id % 5 < 4").select(paths.normal(F.concat(root, "raw")).alias("path"))
     return paths.resolved(rows, "raw", files, ["/one", "/data/star/"]).select("page_id", "resolved", "exists")
+
+
+@query("""WITH e AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings), t AS (SELECT CAST(label AS BIGINT) AS task, pos, avg(CAST(v AS DOUBLE)) AS v FROM e GROUP BY ALL),
+s AS (SELECT vec_id, task, round(list_sum(list_transform(list_zip(embedding, template), lambda z: CAST(z[1] AS DOUBLE) * z[2])), 9) AS score FROM embeddings CROSS JOIN (SELECT task, list(v ORDER BY pos) AS template FROM t GROUP BY task))
+SELECT vec_id, CASE WHEN max(score) > 0 THEN round(max(score), 6) ELSE 0.0 END AS mip, CASE WHEN max(score) > 0 THEN min_by(task, (-score, task)) END AS task, 2 AS stopped_after FROM s GROUP BY vec_id""")
+def staged_search(spark, d):
+    """A search in three stages that stops after the second and goes on from what that has left."""
+    images = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    path = shared_folder(spark, "stages")
+    steps = [("images", lambda rows: rows), ("scores", lambda rows: search.scores(rows, search.templates(rows))), ("maxima", search.maximum)]
+    stages.run(images, steps, path, stop_after=2)
+    stopped = stages.done(spark, path, steps).where("committed").count()
+    return stages.run(images.where("false"), steps, path).select("vec_id", clean("mip").alias("mip"), "task").withColumn("stopped_after", F.lit(stopped))

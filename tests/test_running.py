@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakfield.functions import normal
-from peakfield.operators import batch, filters, histogram, paths, peaks, schema, spectral, volumes
+from peakfield.operators import batch, filters, histogram, paths, peaks, schema, spectral, stages, volumes
 from peakfield.sources import commits, prepared, stacks
 from peakfield.sources.files import shared_folder
 
@@ -204,3 +204,26 @@ def test_correlation_in_blocks(spark, monkeypatch):
             x_ = got[k, y, x]
             assert abs(x_.mip - max(s.max(), 0)) < 1e-8 and x_.n == 11 and abs(x_.s1 - s.sum()) < 1e-7 and x_.task == (int(s.argmax()) if s.max() > 0 else None)
     assert spectral.correlated(own, tasks.where("false"), 4).count() == 0 and spectral.correlated(own.where("false"), tasks, 4).count() == 0
+
+
+def test_stages_stop_and_go_on(spark):
+    path, ran = shared_folder(spark, "stages"), []
+
+    def step(name, k):
+        def of(rows):
+            ran.append(name)
+            return rows.select((F.col("id") * k).alias("id"))
+
+        return name, of
+
+    steps = [step("a", 2), step("b", 3), step("c", 5)]
+    assert sorted(r.id for r in stages.run(spark.range(3), steps, path, stop_after=2).collect()) == [0, 6, 12] and ran == ["a", "b"]
+    assert [(r.name, r.committed, r.rows) for r in stages.done(spark, path, steps).collect()] == [("a", True, 3), ("b", True, 3), ("c", False, None)]
+    spark.range(9).write.parquet(f"{stages.folder(path, 2, 'c')}/rows")  # cut off before its commit
+    assert sorted(r.id for r in stages.run(spark.range(0), steps, path).collect()) == [0, 30, 60] and ran == ["a", "b", "c"]
+    assert stages.run(spark.range(0), steps, path).count() == 3 and ran == ["a", "b", "c"]
+    for bad in ([], [step("a", 1), step("a", 1)]):
+        with pytest.raises(ValueError):
+            stages.run(spark.range(1), bad, path)
+    with pytest.raises(ValueError, match="no stage"):
+        stages.run(spark.range(1), steps, path, stop_after=4)
