@@ -3,7 +3,7 @@
 Dated changes of an entry (add or remove) become validity intervals, each up to the next change of the same entry. A capture asks
 for its own keys: its host, all parent domains, and all path prefixes. The as-of join is an equi-join on key and time bucket,
 which an interval enters once for each bucket that it covers, with the exact times compared after it; so neither a long history nor a
-busy key brings rows of other times together. Of the active entries the most specific decides; of equal ones, a block.
+busy key brings rows of other times together. Keys that are on no list, such as top-level domains, are dropped before they are shuffled. Of the active entries the most specific decides; of equal ones, a block.
 
 Cases: a null url or fetch time matches nothing and is kept. Changes with a null key, action or time are left out. Changes of one entry
 at the same time: the remove counts last. Repeated changes and captures count once and are judged alike. Empty lists keep all.
@@ -15,7 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._common import written
+
 BUCKET_DAYS = 32
+#: Cells of the filter of listed keys: so many for each, and at most 4 MB in words of 64 cells; with more keys it lets more through, and the join decides.
+CELLS_PER_KEY, LEAST_CELLS, MOST_CELLS = 16, 1 << 10, 1 << 24
 
 
 def intervals(changes: DataFrame) -> DataFrame:
@@ -47,7 +51,13 @@ def judge(captures: DataFrame, changes: DataFrame) -> DataFrame:
     span = captures.agg(F.min("fetched").alias("lo"), F.max("fetched").alias("hi"))  # one row
     active = intervals(changes).crossJoin(F.broadcast(span)).where("since <= hi and (until is null or until > lo)")
     active = active.withColumn("bucket", F.explode(F.sequence(bucket(F.greatest("since", "lo")), bucket(F.least(F.coalesce(F.date_sub("until", 1), F.col("hi")), F.col("hi")))))).drop("lo", "hi")
-    asked = keys(captures).withColumn("bucket", bucket(F.col("fetched")))
+    # most keys that captures ask for, top-level domains above all, are on no list: those that are pass a filter of hashes before anything is shuffled
+    listed = active.select("kind", "key").distinct()
+    size = min(MOST_CELLS, max(LEAST_CELLS, 1 << (CELLS_PER_KEY * listed.count()).bit_length()))
+    cell = lambda: F.pmod(F.xxhash64("kind", "key"), F.lit(size))
+    words = written(listed.select(cell().alias("c")).groupBy(F.floor(F.col("c") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(c % 64 as int))) as bits")), "listed")
+    own = keys(captures).withColumns({"word": F.floor(cell() / 64), "bit": (cell() % 64).cast("int")})
+    asked = own.join(F.broadcast(words), "word").where(F.getbit("bits", F.col("bit")) == 1).drop("word", "bits", "bit").withColumn("bucket", bucket(F.col("fetched")))
     hit = asked.join(active, ["kind", "key", "bucket"]).where("since <= fetched and (until is null or fetched < until)")
     rank = F.struct(F.length("key").alias("n"), F.col("kind").alias("k"), (F.col("verdict") == "block").alias("b"), "since", "list", "key")
     best = hit.groupBy("id", "url", "fetched").agg(F.max(F.struct(rank.alias("rank"), "verdict")).alias("x")).select(F.col("id").alias("i"), F.col("url").alias("u"), F.col("fetched").alias("f"), "x")

@@ -228,3 +228,16 @@ def test_most_frequent_words(spark):
     docs = spark.createDataFrame([(i, f"only{i} here{i}") for i in range(300)], "doc_id long, text string")
     model, _ = lm.started(docs.select("text"), 200)
     assert 150 < len(model.words) <= 200 and model.n[0] == 300 and set(model.n[1:]) == {1}
+
+
+def test_urls_with_a_full_filter_and_long_urls(spark, monkeypatch):
+    from peakfield.llm import urls
+
+    pages = spark.createDataFrame([(i, f"https://h{i % 40}.example.com/s{i % 7}/p{i}/" + "x" * (200_000 if i == 3 else 3), "c", 1) for i in range(400)], "page_id long, url string, list string, key int")
+    own = pages.select("page_id", "url")
+    plain = sorted(map(str, urls.judge(urls.fetch_times(own), urls.listed(own)).collect()))
+    assert len(plain) == 400 and sum("block" in x for x in plain) > 5
+    monkeypatch.setattr(urls, "LEAST_CELLS", 2)
+    monkeypatch.setattr(urls, "MOST_CELLS", 2)
+    assert sorted(map(str, urls.judge(urls.fetch_times(own), urls.listed(own)).collect())) == plain
+    assert all("'keep'" in str(r) for r in urls.judge(urls.fetch_times(own), urls.listed(own).where("false")).collect())
