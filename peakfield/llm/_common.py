@@ -10,6 +10,7 @@ import uuid
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,3 +92,10 @@ def one_thread() -> None:
     for lib in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
         if limit := getattr(ctypes.CDLL(lib), "scipy_openblas_set_num_threads64_", None):
             limit(1)
+
+
+def released() -> None:
+    """Gives memory that earlier tasks of this Python worker have freed back to the machine; Spark uses a worker for many stages, and what each leaves adds up."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

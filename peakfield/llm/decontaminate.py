@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, free_name, mix, small_batches
+from ._common import chunks, free_name, mix, released, small_batches
 
 #: Fixed by the contract: what a word is made of, after lower-casing A-Z.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -247,6 +247,7 @@ def judge(phrases, shard_chars: int):
 
     @F.pandas_udf(RESULT)
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        released()
         for part in parts:
             texts = [t or "" for t in part]
             found = [judged(texts[a:b], phrases.value) for a, b in chunks(texts, shard_chars)]

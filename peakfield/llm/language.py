@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, free_name, mix, slim, small_batches, written
+from ._common import chunks, free_name, mix, released, slim, small_batches, written
 
 SIZES, FEW = (3, 4), 10
 RESULT = "lang_pred string, score double, coverage double, n_grams long"
@@ -71,6 +71,7 @@ def gram_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
     """lang, gram, n over all rows that have both columns; counted inside each partition before the shuffle."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        released()
         held: dict[str, list] = {}
 
         def merged(pairs: list) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +143,7 @@ class LanguageFilters:
         kind = np.dtype(f"uint{width}")
 
         def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            released()
             for part in parts:
                 for at in cls.positions(part["gram"].to_numpy(np.int64).view(np.uint64), size, hashes):
                     yield pd.DataFrame({"word": part["l"] // width, "block": at // span, "slot": at % span, "bit": part["l"] % width})

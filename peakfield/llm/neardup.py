@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, free_name, mix, slim, small_batches, unit, written
+from ._common import chunks, free_name, mix, released, slim, small_batches, unit, written
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -97,6 +97,7 @@ def signed(df: DataFrame, size: int = WORDS, bands: int = BANDS, rows: int = ROW
     repeat one more for each band of the signature at weight 1 that differs."""
 
     def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        released()
         for part in parts:
             ids, raws, all_texts = part["id"].to_numpy(object), part["raw"].to_numpy(), ["" if t is None else t for t in part["text"]]
             for a, b in chunks(all_texts):
@@ -123,6 +124,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = WORDS, threshold: f
     """The pairs (a, b) whose texts are similar enough; texts: id, text."""
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        released()
         for part in parts:
             good = []
             left, right = part["ta"].tolist(), part["tb"].tolist()
@@ -159,6 +161,7 @@ def prefixes(docs: DataFrame, size: int, threshold: float) -> DataFrame:
     the first n - ceil(threshold * n) + 1, without those that no other text has. It is written."""
 
     def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        released()
         for part in parts:
             ids, texts = part["id"].to_numpy(), part["text"].tolist()
             for a, b in chunks(texts, 1 << 20):
