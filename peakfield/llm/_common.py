@@ -29,11 +29,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str, compression: str = "snappy", by: str | None = None) -> DataFrame:
+    """Writes df to the shared folder (in folders by a column, if one is named) and reads it again: lineage ends there, and a lost executor costs no recomputation."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).partitionBy(*[by] if by else []).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def free_name(df: DataFrame, name: str) -> str:

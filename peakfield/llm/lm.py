@@ -8,9 +8,10 @@ spelling class half a count is added to each word and to one more, which stands
 probability 1 together. One more input begins a text, and there the state is zero.
 
 The network learns by truncated backpropagation through windows of a fixed number of tokens; the state, not its gradient, crosses windows. Each
-training document is learned from once: a hash of its id puts it into one of two slices, and in a round every partition trains a copy of the common
-weights on all its texts of that slice, block by block. The copies are summed up by tokens in Spark, so what is gathered grows with the corpus while
-the driver gets one set of weights.
+training document is learned from once: hashes of its id put it into one of the rounds and, there, to one of the copies of the common weights, which
+learns from its texts in the order of another hash, block by block. A copy has about COPY tokens, so copies grow with the corpus, and rounds as the
+third root of what the copies of one round would be; neither hangs on partitions, so the same table gives the same scores on any cluster. The copies
+of a round are summed up by tokens in Spark, so what is gathered grows with the corpus while the driver gets one set of weights a round.
 
 Scoring carries the state through all windows of a text, so a text of any length has its whole likelihood. Words outside the frequent table
 need their counts: those tokens alone are joined with the counts, which may be any number.
@@ -27,11 +28,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +40,12 @@ from ._common import one_thread, slim, small_batches, written
 
 END = b"\n"  # no word holds white space, so this stands for the end of a text
 HEAD_CLASSES, PER_CLASS, SPELLINGS = 32, 128, 32
-HIDDEN, WINDOW, ROUNDS = 16, 16, 2
+HIDDEN, WINDOW = 16, 16
 RATE, STREAMS, LEAST_STREAM = 0.02, 512, 512
 #: Tokens that a task holds for training at a time; numbers in one row of summed weights.
 BLOCK, PIECE = 1 << 18, 1 << 12
+#: Tokens that a copy of the network learns from in a round, about; the least number of rounds; tasks of a round at most (more copies share them).
+COPY, LEAST_ROUNDS, MOST_TASKS = 1 << 19, 2, 10_000
 #: Tokens of texts that are scored together.
 TOGETHER = 1 << 21
 #: States are within 1, so output weights within this keep all exponents below 80.
@@ -59,6 +62,13 @@ def head_classes(distinct: int) -> int:
     return max(HEAD_CLASSES, math.isqrt(distinct) // 64)
 
 
+def schedule(total: int) -> tuple[int, int]:
+    """Rounds, and copies in each, for that many training tokens."""
+    units = -(-total // COPY)
+    rounds = max(LEAST_ROUNDS, round(units ** (1 / 3)))
+    return rounds, max(1, -(-units // rounds))
+
+
 def counts(df: DataFrame) -> DataFrame:
     """word, n over the rows of df (text), with the end token."""
 
@@ -321,7 +331,8 @@ def summed(learned: DataFrame, parts: int) -> DataFrame:
 
 def encoded(docs: DataFrame, m: Model) -> DataFrame:
     """docs: id, text. Per row: a number of its own, id, n_tokens, n_known and base_score as far as the frequent words go, inside (what these add to the
-    network's score), net (the network's inputs) and rare (the other words). It is written, so the numbers stay as they are if an executor is lost."""
+    network's score), net (the network's inputs), rare (the other words) and round, in which a training text is learned from. It is written by rounds, so
+    that each reads its own, and the numbers stay as they are if an executor is lost."""
     shared = docs.sparkSession.sparkContext.broadcast(m)
     norm = m.total + 0.5 * (m.distinct + 1)
 
@@ -347,35 +358,40 @@ def encoded(docs: DataFrame, m: Model) -> DataFrame:
             yield pd.DataFrame({"row": part["row"], "id": part["id"], "n_tokens": lens, "known": total((code >= 0).astype(np.int64)), "fixed": total(logs[code]), "inside": total(inside[code]), "net": np.split(net.astype(np.int32), begin[1:]), "rare": rare})
 
     own = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInPandas(run, "row long, id long, n_tokens long, known long, fixed double, inside double, net array<int>, rare array<binary>")
-    return written(own, "encoded")
+    own = own.withColumn("round", F.pmod(F.xxhash64("id"), F.lit(schedule(m.total)[0])).cast("int"))
+    return written(own, "encoded", by="round")
 
 
-def averaged(m: Model, inputs: DataFrame) -> Model:
-    """One round over inputs (net): each partition trains a copy on its texts, and the copies are averaged by their tokens."""
+def averaged(m: Model, inputs: DataFrame, copies: int) -> Model:
+    """One round over inputs (id, net): each copy learns from its texts in a fixed order, and the copies are averaged by their tokens. A task takes its
+    copies one after another, so it holds one copy and one block."""
     spark = inputs.sparkSession
     shared = spark.sparkContext.broadcast(m)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one_thread()
-        own, streams, moments, size, held = shared.value, [], {}, 0, 0
-        copy = Model(own.words, own.n, own.heads, own.class_n, own.class_v, own.total, own.distinct, {k: v.copy() for k, v in own.weights.items()})
-        for batch in batches:
-            net, ends = np.concatenate(batch["net"].tolist()), np.cumsum([len(x) for x in batch["net"]])
-            streams.append(np.insert(net, np.concatenate([[0], ends[:-1]]), copy.begin))
-            size, held = size + len(net), held + len(net)
-            if held >= BLOCK:
-                whole = np.concatenate(streams)
-                for a in range(0, len(whole), BLOCK):
-                    train(copy, whole[a : a + BLOCK + 1], moments)
-                streams, held = [], 0
-        if streams:
-            train(copy, np.concatenate(streams), moments)
-        if size:
+        own = shared.value
+        texts = chain.from_iterable(zip(b["copy"], b["net"], strict=True) for b in batches)
+        for number, group in groupby(texts, itemgetter(0)):
+            copy = Model(own.words, own.n, own.heads, own.class_n, own.class_v, own.total, own.distinct, {k: v.copy() for k, v in own.weights.items()})
+            streams, moments, size, held, begin = [], {}, 0, 0, np.array([copy.begin], np.int32)
+            for _, net in group:
+                streams += [begin, net]
+                size, held = size + len(net), held + len(net)
+                if held >= BLOCK:
+                    whole = np.concatenate(streams)
+                    for a in range(0, len(whole), BLOCK):
+                        train(copy, whole[a : a + BLOCK + 1], moments)
+                    streams, held = [], 0
+            if streams:
+                train(copy, np.concatenate(streams), moments)
             flat = np.concatenate([copy.weights[k].ravel() for k in sorted(copy.weights)]).astype(np.float64) * size
             for slot in range(-(-len(flat) // PIECE)):
-                yield pd.DataFrame({"slot": [slot], "salt": TaskContext.get().partitionId() % 64, "size": float(size), "data": [flat[slot * PIECE : (slot + 1) * PIECE].tobytes()]})
+                yield pd.DataFrame({"slot": [slot], "salt": number % 64, "size": float(size), "data": [flat[slot * PIECE : (slot + 1) * PIECE].tobytes()]})
 
-    rows = summed(inputs.select("net").mapInPandas(learn, "slot int, salt int, size double, data binary"), int(spark.conf.get("spark.sql.shuffle.partitions"))).collect()
+    dealt = inputs.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(copies)).cast("int").alias("copy"), F.xxhash64("id", F.lit(2)).alias("place"), "id", "net")
+    dealt = dealt.repartition(min(copies, MOST_TASKS), "copy").sortWithinPartitions("copy", "place", "id", "net").select("copy", "net")
+    rows = summed(dealt.mapInPandas(learn, "slot int, salt int, size double, data binary"), int(spark.conf.get("spark.sql.shuffle.partitions"))).collect()
     if rows:
         flat, at = np.concatenate([np.frombuffer(r.data) / r.size for r in sorted(rows, key=lambda r: r.slot)]), 0
         for k in sorted(m.weights):
@@ -421,10 +437,11 @@ def started(train_docs: DataFrame, frequent: int = 262_144) -> tuple[Model, Data
     return Model.start(table, class_n, class_v, sums.n, sums.v), all_counts
 
 
-def trained(m: Model, inputs: DataFrame, rounds: int = ROUNDS) -> Model:
-    """inputs: id, net of the training documents. A round learns from one slice of them; all slices together are all of them."""
+def trained(m: Model, inputs: DataFrame) -> Model:
+    """inputs: id, net, round of the training documents. All rounds together learn from all of them."""
+    rounds, copies = schedule(m.total)
     for r in range(rounds):
-        m = averaged(m, inputs.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r))
+        m = averaged(m, inputs.where(F.col("round") == r), copies)
     return m
 
 
@@ -457,7 +474,7 @@ def score(rows: DataFrame, m: Model, all_counts: DataFrame) -> DataFrame:
     rare = rows.select("row", F.explode("rare").alias("word")).join(all_counts, "word", "left").withColumn("s", spelled("word"))
     sums = rare.groupBy("row").agg(F.count_if(c > 0).alias("seen"), F.sum(F.log10((c + 0.5) / norm)).alias("b"), F.sum(share).alias("s"))
     names = "row long, id long, n_tokens long, known long, fixed double, inside double"
-    out = rows.drop("rare").mapInPandas(run, f"{names}, neural double").join(sums, "row", "left")
+    out = rows.drop("rare", "round").mapInPandas(run, f"{names}, neural double").join(sums, "row", "left")
     zero = lambda x: F.coalesce(x, F.lit(0))
     return out.select("id", "n_tokens", (F.col("known") + zero("seen")).alias("n_known"), (F.col("fixed") + zero("b")).alias("base_score"), (F.col("neural") + zero("s")).alias("score"))
 

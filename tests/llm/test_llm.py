@@ -349,6 +349,21 @@ def test_lm_score_is_the_models_probability(spark):
         assert abs(r.score - plain_score(m, n, text)) < 1e-3 * (1 + abs(r.score))
 
 
+def test_lm_scores_do_not_hang_on_partitions(spark, monkeypatch):
+    """Many copies and rounds on 1, 5 and 16 partitions: the same scores; and every text in one copy of one round."""
+    monkeypatch.setattr(lm, "COPY", 1_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    train = lambda c: ~is_held(c, 5, 1)
+    rounds, copies = lm.schedule(docs.where(train(F.col("doc_id"))).select(F.sum(F.size(F.split("text", r"[ \t-\r]+")))).first()[0])
+    assert rounds > lm.LEAST_ROUNDS and copies > 2
+    out = [sorted((r.id, r.score) for r in lm.scored(docs.repartition(n), train).collect()) for n in (1, 5, 16)]
+    for other in out[1:]:
+        assert [i for i, _ in other] == [i for i, _ in out[0]]
+        assert np.allclose([s for _, s in other], [s for _, s in out[0]], rtol=1e-4)
+    assert lm.schedule(0) == (lm.LEAST_ROUNDS, 1)
+    assert all(lm.schedule(t)[0] * lm.schedule(t)[1] * lm.COPY >= t for t in (1, 999, 1_001, 10**6, 10**12))
+
+
 def test_lm_trains_on_every_document(spark):
     """Each document alone changes the weights, whatever slice its id falls into."""
     for i in range(4):
