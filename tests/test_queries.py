@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from peakfield import domain, kernel, projection, running, sizes
+from peakfield import domain, kernel, projection, running, sizes, times
 from peakfield import queries as own
 from peakfield.operators import grids
 from peakfield.sources import mrc, star
@@ -27,9 +27,9 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(own.oracle_sql() | domain.oracle_sql() | kernel.oracle_sql() | projection.oracle_sql() | sizes.oracle_sql() | running.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(own.oracle_sql() | domain.oracle_sql() | kernel.oracle_sql() | projection.oracle_sql() | sizes.oracle_sql() | running.oracle_sql() | times.oracle_sql()))
 def test_query_equals_sql(spark, sql, name):
-    df, want = (own.queries() | domain.queries() | kernel.queries() | projection.queries() | sizes.queries() | running.queries())[name](spark, DATA), sql.sql((own.oracle_sql() | domain.oracle_sql() | kernel.oracle_sql() | projection.oracle_sql() | sizes.oracle_sql() | running.oracle_sql())[name])
+    df, want = (own.queries() | domain.queries() | kernel.queries() | projection.queries() | sizes.queries() | running.queries() | times.queries())[name](spark, DATA), sql.sql((own.oracle_sql() | domain.oracle_sql() | kernel.oracle_sql() | projection.oracle_sql() | sizes.oracle_sql() | running.oracle_sql() | times.oracle_sql())[name])
     cols = sorted(df.columns)
     assert cols == sorted(want.columns)
     at = [want.columns.index(c) for c in cols]
