@@ -33,6 +33,7 @@ from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +45,8 @@ HIDDEN, WINDOW = 16, 16
 RATE, STREAMS, LEAST_STREAM = 0.02, 512, 512
 #: Tokens that a task holds for training at a time; numbers in one row of summed weights.
 BLOCK, PIECE = 1 << 18, 1 << 12
-#: Tokens that a copy of the network learns from in a round, about; the least number of rounds; tasks of a round at most (more copies share them).
-COPY, LEAST_ROUNDS, MOST_TASKS = 1 << 19, 2, 10_000
+#: Tokens that a copy of the network learns from in a round, about; the least number of rounds; tasks of a round for each core, at most (more copies share them).
+COPY, LEAST_ROUNDS, TASKS_A_CORE = 1 << 19, 2, 4
 #: Tokens of texts that are scored together.
 TOGETHER = 1 << 21
 #: States are within 1, so output weights within this keep all exponents below 80.
@@ -312,7 +313,8 @@ def train(m: Model, stream: np.ndarray, moments: dict, rate: float = RATE) -> Mo
 
 
 def summed(learned: DataFrame, parts: int) -> DataFrame:
-    """slot, size, data: the sums of all rows of a slot, first of those of some partitions (salt), then of all. A task holds one sum for each slot."""
+    """slot, size, data: the means (single precision) of all rows of a slot by their sizes, first of those of some partitions (salt), then of all. A task
+    holds one sum for each slot, in double precision."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size: dict[int, float] = {}
@@ -320,9 +322,9 @@ def summed(learned: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for slot, own, more in zip(batch["slot"], batch["size"], batch["data"], strict=True):
                 size[slot] = size.get(slot, 0.0) + own
-                data[slot] = data[slot] + np.frombuffer(more) if slot in data else np.frombuffer(more)
+                data[slot] = data.get(slot, 0.0) + own * np.frombuffer(more, np.float32).astype(np.float64)
         for slot in data:
-            yield pd.DataFrame({"slot": [slot], "salt": 0, "size": size[slot], "data": [data[slot].tobytes()]})
+            yield pd.DataFrame({"slot": [slot], "salt": 0, "size": size[slot], "data": [(data[slot] / size[slot]).astype(np.float32).tobytes()]})
 
     for by in (("slot", "salt"), ("slot",)):
         learned = learned.repartition(parts, *by).mapInPandas(add, "slot int, salt int, size double, data binary")
@@ -364,15 +366,15 @@ def encoded(docs: DataFrame, m: Model) -> DataFrame:
 
 def averaged(m: Model, inputs: DataFrame, copies: int) -> Model:
     """One round over inputs (id, net): each copy learns from its texts in a fixed order, and the copies are averaged by their tokens. A task takes its
-    copies one after another, so it holds one copy and one block."""
+    copies one after another and sends one mean of them, so it holds one copy, one sum and one block, and what is sent follows tasks, not copies."""
     spark = inputs.sparkSession
     shared = spark.sparkContext.broadcast(m)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one_thread()
-        own = shared.value
+        own, total, tokens = shared.value, 0.0, 0
         texts = chain.from_iterable(zip(b["copy"], b["net"], strict=True) for b in batches)
-        for number, group in groupby(texts, itemgetter(0)):
+        for _, group in groupby(texts, itemgetter(0)):
             copy = Model(own.words, own.n, own.heads, own.class_n, own.class_v, own.total, own.distinct, {k: v.copy() for k, v in own.weights.items()})
             streams, moments, size, held, begin = [], {}, 0, 0, np.array([copy.begin], np.int32)
             for _, net in group:
@@ -385,17 +387,22 @@ def averaged(m: Model, inputs: DataFrame, copies: int) -> Model:
                     streams, held = [], 0
             if streams:
                 train(copy, np.concatenate(streams), moments)
-            flat = np.concatenate([copy.weights[k].ravel() for k in sorted(copy.weights)]).astype(np.float64) * size
+            total = total + size * np.concatenate([copy.weights[k].ravel() for k in sorted(copy.weights)]).astype(np.float64)
+            tokens += size
+        if tokens:
+            flat = (total / tokens).astype(np.float32)
             for slot in range(-(-len(flat) // PIECE)):
-                yield pd.DataFrame({"slot": [slot], "salt": number % 64, "size": float(size), "data": [flat[slot * PIECE : (slot + 1) * PIECE].tobytes()]})
+                yield pd.DataFrame({"slot": [slot], "salt": TaskContext.get().partitionId() % 64, "size": float(tokens), "data": [flat[slot * PIECE : (slot + 1) * PIECE].tobytes()]})
 
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(copies, max(parts, TASKS_A_CORE * spark.sparkContext.defaultParallelism))
     dealt = inputs.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(copies)).cast("int").alias("copy"), F.xxhash64("id", F.lit(2)).alias("place"), "id", "net")
-    dealt = dealt.repartition(min(copies, MOST_TASKS), "copy").sortWithinPartitions("copy", "place", "id", "net").select("copy", "net")
-    rows = summed(dealt.mapInPandas(learn, "slot int, salt int, size double, data binary"), int(spark.conf.get("spark.sql.shuffle.partitions"))).collect()
+    dealt = dealt.repartition(tasks, "copy").sortWithinPartitions("copy", "place", "id", "net").select("copy", "net")
+    rows = summed(dealt.mapInPandas(learn, "slot int, salt int, size double, data binary"), parts).collect()
     if rows:
-        flat, at = np.concatenate([np.frombuffer(r.data) / r.size for r in sorted(rows, key=lambda r: r.slot)]), 0
+        flat, at = np.concatenate([np.frombuffer(r.data, np.float32) for r in sorted(rows, key=lambda r: r.slot)]), 0
         for k in sorted(m.weights):
-            m.weights[k] = flat[at : at + m.weights[k].size].reshape(m.weights[k].shape).astype(np.float32)
+            m.weights[k] = flat[at : at + m.weights[k].size].reshape(m.weights[k].shape).copy()
             at += m.weights[k].size
     return m
 
