@@ -33,7 +33,8 @@ def written(df: DataFrame, name: str, compression: str = "snappy", by: str | Non
     """Writes df to the shared folder (in folders by a column, if one is named) and reads it again: lineage ends there, and a lost executor costs no recomputation."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", compression).partitionBy(*[by] if by else []).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    rows = df.sparkSession.read.schema(df.schema).parquet(path)
+    return rows.select(*df.columns) if by else rows
 
 
 def free_name(df: DataFrame, name: str) -> str:
