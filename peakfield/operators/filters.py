@@ -63,6 +63,11 @@ def weighted_filters(side: int, transfer: Callable[[Column, Column], Column], pi
     return places(side, value(0)), places(side, value(1))
 
 
+def combined(image: Column, projection: Column) -> Column:
+    """Both filters of a search as one, on the same grid."""
+    return F.zip_with(image, projection, lambda a, b: a * b)
+
+
 def sampled(values: Column, side: int, size: int, scale: Column | float) -> Column:
     """A filter of side at the places of a slice of another size, each index times scale, between four neighbours; zero where one of them is outside, and at the origin."""
     q, least, most = side // 2 + 1, -(side // 2), (side - 1) // 2

@@ -87,13 +87,27 @@ def projected(slices: np.ndarray, rho: float = 1.0) -> np.ndarray:
     return v / np.sqrt(np.maximum(variance, TINY))[:, None, None]
 
 
+def self_whitened(slices: np.ndarray, epsilon: float = 1e-12) -> np.ndarray:
+    """Every slice over the root of its own mean power in rings one sample wide, whose first is around one. The stored half counts once; what lies in no ring (the
+    origin, and corners) becomes zero. A ring of less power than epsilon is taken to have that."""
+    n = slices.shape[1]
+    count, y = max(n // 2, 1), np.minimum(np.arange(n), n - np.arange(n))
+    ring = np.floor(np.hypot(y[:, None], np.arange(n // 2 + 1)) + 0.5).astype(int) - 1
+    held = (ring >= 0) & (ring < count)
+    at = ring[held]
+    power = np.stack([np.bincount(at, p, count) for p in np.abs(slices[:, held]) ** 2]) / np.maximum(np.bincount(at, minlength=count), 1)
+    out = np.zeros_like(slices)
+    out[:, held] = slices[:, held] / np.sqrt(np.maximum(power, epsilon))[:, at]
+    return out
+
+
 #: Views that are cut in one go: a volume is sent once for so many.
 VIEWS = 1024
 
 
-def by_view(volumes: DataFrame, views: DataFrame, side: int, of, names: list[str], key: str = "task", vector: str = "template", conditions: DataFrame | None = None) -> DataFrame:
+def by_view(volumes: DataFrame, views: DataFrame, side: int, of, names: list[str], key: str = "task", vector: str = "template", conditions: DataFrame | None = None, before=None) -> DataFrame:
     """key, view, condition (where there are any) and what the function makes of slices of every volume in every view (view, phi, theta, psi), each multiplied by
-    the filter of every condition (condition, filter: of the slice's half spectrum). Views hang on the angular step, conditions on the defoci and pixel
+    the filter of every condition (condition, filter: of the slice's half spectrum), after what a function before makes of the slices alone. Views hang on the angular step, conditions on the defoci and pixel
     sizes, neither on the data: they come as arrays, in blocks of VIEWS and in one row, and a volume is a row for each block."""
     kind, held = volumes.schema[key].dataType.simpleString(), conditions is not None
     block = views.select("view", F.floor(F.col("view") / VIEWS).alias("block"), "phi", "theta", "psi")
@@ -108,6 +122,7 @@ def by_view(volumes: DataFrame, views: DataFrame, side: int, of, names: list[str
                 full = spectrum(np.array(row["vector"], float).reshape((side,) * 3))
                 view = pd.DataFrame(list(row["views"]))
                 f = cut(full, rotations(view["phi"], view["theta"], view["psi"]), side)
+                f = before(f) if before else f
                 for c in row["filters"] if held else (None,):
                     made = of(f * np.array(c["filter"], float).reshape(f.shape[1:]) if held else f)
                     yield pd.DataFrame({key: row["key"], "view": view["view"].to_numpy(), **({"condition": c["condition"]} if held else {}), **{n: list(made[n].reshape(len(view), -1)) for n in names}})
@@ -125,9 +140,9 @@ def projections(volumes: DataFrame, views: DataFrame, side: int, target: int, **
     return by_view(volumes, views, side, lambda f: {"v": projected(f, side * side / target**2)}, ["v"], **names)
 
 
-def filtered_projections(volumes: DataFrame, views: DataFrame, conditions: DataFrame, side: int, target: int, **names: str) -> DataFrame:
-    """Projections through the filter of every condition (condition, filter), normalised for a box of side target."""
-    return by_view(volumes, views, side, lambda f: {"v": projected(f, side * side / target**2)}, ["v"], conditions=conditions, **names)
+def filtered_projections(volumes: DataFrame, views: DataFrame, conditions: DataFrame, side: int, target: int, whiten: bool = False, **names: str) -> DataFrame:
+    """Projections through the filter of every condition (condition, filter), normalised for a box of side target; whiten: each slice by its own curve first."""
+    return by_view(volumes, views, side, lambda f: {"v": projected(f, side * side / target**2)}, ["v"], conditions=conditions, before=self_whitened if whiten else None, **names)
 
 
 def embedded(v: Column, side: int, size: int) -> Column:

@@ -114,17 +114,37 @@ thru AS (SELECT task * 100 + condition AS task, view, gy, gx, re * w AS re, im *
 """
 
 
-@query(SLICES + FILTERS + PROJECTED.replace("FROM sl,", "FROM thru,") + "SELECT task // 100 AS task, CAST(task % 100 AS INT) AS condition, view, CAST(y AS INT) AS fy, CAST(x AS INT) AS fx, round(v, 4) + 0.0 AS v FROM pr")
-def filtered_projections(spark, d):
-    """Label means projected in every view through a filter for each label: contrast transfer, whitening by its mean image, and a fall-off given by the user."""
-    means = search.templates(table(spark, d, "embeddings"))
+#: Slices over the root of their own mean power in rings.
+WHITENED = """, rung AS (SELECT *, CAST(floor(sqrt(least(gy, 4 - gy) ** 2 + gx ** 2) + 0.5) AS INT) - 1 AS r FROM sl),
+wh AS (SELECT task, view, gy, gx, CASE WHEN r BETWEEN 0 AND 1 THEN re / sqrt(greatest(p, 1e-12)) ELSE 0 END AS re, CASE WHEN r BETWEEN 0 AND 1 THEN im / sqrt(greatest(p, 1e-12)) ELSE 0 END AS im
+  FROM (SELECT *, avg(re * re + im * im) OVER (PARTITION BY task, view, r) AS p FROM rung))
+"""
+CONDITIONS = "SELECT task // 100 AS task, CAST(task % 100 AS INT) AS condition, view, CAST(y AS INT) AS fy, CAST(x AS INT) AS fx, round(v, 4) + 0.0 AS v FROM pr"
+
+
+def _conditions(means: DataFrame) -> DataFrame:
+    """A filter for each label: contrast transfer, whitening by its mean image, and a fall-off given by the user."""
     curves = spectral.by_image(means, 8, lambda v: {"curve": spectral.whitening(spectral.without_origin(spectral.forward(v)))}, "task", "template")
     n = lambda x: F.lit(float(x))
     defocus = 8000.0 + 900 * F.col("task")
     transfer = lambda fx, fy: optics.transfer(fx, fy, n(1.5), n(300), n(2.7), n(0.07), defocus, defocus - 1000, n(25), n(0))
     own = filters.condition_filter(8, transfer, F.col("curve"), [lambda fx, fy: F.exp((fx * fx + fy * fy) * -2.0)])
-    conditions = curves.select(F.col("task").cast("int").alias("condition"), filters.sampled(own, 8, 4, 1.5).alias("filter"))
-    made = volumes.filtered_projections(means, views(spark), conditions, 4, 8)
+    return curves.select(F.col("task").cast("int").alias("condition"), filters.sampled(own, 8, 4, 1.5).alias("filter"))
+
+
+@query(SLICES + FILTERS + PROJECTED.replace("FROM sl,", "FROM thru,") + CONDITIONS)
+def filtered_projections(spark, d):
+    """Label means projected in every view through the filter of every label."""
+    means = search.templates(table(spark, d, "embeddings"))
+    made = volumes.filtered_projections(means, views(spark), _conditions(means), 4, 8)
+    return long_form(made.withColumn("key", F.struct("task", "condition", "view")), {"v": 4}, 4, "key").select("key.*", "fy", "fx", "v")
+
+
+@query(SLICES + WHITENED + FILTERS.replace("FROM sl JOIN smp", "FROM wh JOIN smp") + PROJECTED.replace("FROM sl,", "FROM thru,") + CONDITIONS)
+def whitened_projections(spark, d):
+    """The same, each slice first whitened by its own curve."""
+    means = search.templates(table(spark, d, "embeddings"))
+    made = volumes.filtered_projections(means, views(spark), _conditions(means), 4, 8, whiten=True)
     return long_form(made.withColumn("key", F.struct("task", "condition", "view")), {"v": 4}, 4, "key").select("key.*", "fy", "fx", "v")
 
 
