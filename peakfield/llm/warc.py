@@ -2,7 +2,8 @@
 
 A page becomes three records: the request and the metadata name the response in WARC-Concurrent-To. Records are lines of a text
 file whose line end is the blank line that closes a record, so Spark's own writer and committer make the archives, and a task
-that runs again leaves one file. The reader parses whole records by their Content-Length; a bound on records per file bounds a file.
+that runs again leaves one file. The reader opens archives as streams in its tasks and parses whole records by their Content-Length, so a task holds a
+batch of records and no archive, however large; an archive that ends inside a record is an error.
 
 Cases: a null or empty payload has zero bytes. Null urls are empty. Of records with equal payloads (from a least size on) those with
 the smallest page id are responses and the others revisit it; a null page id never is, unless all are null. Every row is a capture of its own, whose records
@@ -15,9 +16,15 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
+import re
 from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import BinaryIO
+from urllib.parse import quote
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,42 +84,61 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     rows.select(F.explode(three).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
-def records(data: bytes) -> Iterator[dict]:
-    """The records of one archive."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        head = [x.split(": ", 1) for x in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]]
-        fields = {x[0].lower(): x[1] for x in head if len(x) == 2}
+@contextmanager
+def opened(path: str) -> Iterator[BinaryIO]:
+    """An archive, plain or gzip (of one member or many), as a stream of its bytes. path: as Spark names files."""
+    uri = re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", path))
+    fs, own = FileSystem.from_uri(quote(uri, safe="/:@"))
+    with fs.open_input_stream(own, compression=None) as raw:
+        yield io.BufferedReader(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw, 1 << 18)
+
+
+def records(stream: BinaryIO) -> Iterator[dict]:
+    """The records of an archive, one by one."""
+    while first := stream.readline():
+        if not first.strip():
+            continue  # what closes a record
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no record begins with {first[:40]!r}")
+        head = []
+        while (line := stream.readline()).strip():
+            head.append(line.decode("utf-8", "replace").rstrip("\r\n").split(":", 1))
+        fields = {x[0].lower(): x[1].strip() for x in head if len(x) == 2}
         size = int(fields["content-length"])
-        block = data[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size + 4
-        payload = block.split(b"\r\n\r\n", 1)[1] if fields["warc-type"] in ("response", "revisit") else block
+        block = stream.read(size)
+        if len(block) < size:
+            raise EOFError(f"the archive ends inside the record {fields.get('warc-record-id')}")
+        payload = block
+        if fields["warc-type"] in ("response", "revisit"):
+            _, found, rest = block.partition(b"\r\n\r\n")
+            payload = rest if found else block
         yield {
             "record_id": fields.get("warc-record-id"), "type": fields["warc-type"], "uri": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "concurrent_to": fields.get("warc-concurrent-to"), "refers_to": fields.get("warc-refers-to"),
             "payload_digest": (fields.get("warc-payload-digest") or "").removeprefix("sha1:") or None, "block": block, "payload_bytes": len(payload), "payload_sha1": base64.b32encode(hashlib.sha1(payload).digest()).decode(),
         }
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the archives below path, plain or gzip; payload_bytes and payload_sha1 are measured on the bytes read."""
+def read_warc(spark: SparkSession, path: str, glob: str = "part-*") -> DataFrame:
+    """One row for each record of the archives below path whose names match glob, plain or gzip; payload_bytes and payload_sha1 are measured on the bytes read."""
     small_batches(spark)
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for name, data in zip(part["path"], part["content"], strict=True):
+            for name in part["path"]:
                 own, size = [], 0
-                for r in records(gzip.decompress(data) if name.endswith(".gz") else data):
-                    own.append(r)
-                    size += len(r["block"])
-                    if size > 8 << 20:
-                        yield pd.DataFrame(own)
-                        own, size = [], 0
+                with opened(name) as stream:
+                    for r in records(stream):
+                        own.append(r)
+                        size += len(r["block"])
+                        if size > 8 << 20:
+                            yield pd.DataFrame(own)
+                            own, size = [], 0
                 if own:
                     yield pd.DataFrame(own)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInPandas(parse, RECORD)
+    # only names are read here; Spark deals files to tasks by their sizes
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return files.select("path").mapInPandas(parse, RECORD)
 
 
 def assemble(found: DataFrame) -> DataFrame:

@@ -126,6 +126,30 @@ def test_warc_round_trip(spark):
     assert warc.captures(warc.read_warc(spark, path)).count() == 0
 
 
+def test_archives_of_others(spark, tmp_path):
+    import gzip
+
+    def record(kind, name, body, end=b"\r\n\r\n"):
+        return f"WARC/1.0\r\nwarc-type:{kind}\r\nWARC-Record-ID: <{name}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + end
+
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    bodies = {"a": http + b"x" * 5_000_000, "b": http + b"WARC/1.0\r\n\r\n", "c": b"no head", "d": http}
+    made = [record("response", n, b) for n, b in bodies.items()]
+    (tmp_path / "members é %41.warc.gz").write_bytes(b"".join(gzip.compress(m) for m in made))
+    (tmp_path / "plain.warc").write_bytes(b"".join(made))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(b"".join(made)[:-4]))
+    got = sorted((r.record_id, r.payload_bytes, r.payload_sha1) for r in warc.read_warc(spark, f"file://{tmp_path}", "*.warc*").collect())
+    payload = {n: b.removeprefix(http) for n, b in bodies.items()}
+    assert got == sorted(3 * [(f"<{n}>", len(p), base64.b32encode(hashlib.sha1(p).digest()).decode()) for n, p in payload.items()])
+    for wrong in (made[1][:-8], b"odd\r\n" + made[1]):
+        folder = tmp_path / f"wrong{len(wrong)}"
+        folder.mkdir()
+        (folder / "x.warc").write_bytes(wrong)
+        with pytest.raises(Exception, match="ends inside|no record"):
+            warc.read_warc(spark, f"file://{folder}", "*.warc").count()
+
+
 def test_tokens_round_trip(spark, docs, none):
     from tokenizers import Tokenizer
 
