@@ -126,6 +126,18 @@ def winner_orientations(spark, d):
     return e.join(F.broadcast(grid), "orientation_index", "left").select("event_id", "grid_index", "phi", "theta", "psi")
 
 
+@query()
+def search_grids(spark, d):
+    """The grids that searches take whose settings follow from parts: some without a radius or steps, some of a single view, some of no known symmetry."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    names = F.array(*[F.lit(n) for n in ("C1", "c 4", "D2", "T", "O", "I", "X9")])
+    rows = table(spark, d, "part").select(
+        "p_partkey", F.element_at(names, (k % 7 + 1).cast("int")).alias("symmetry"), (size / 10 + 3).alias("resolution"), (size % 5 / 4 + 1).alias("pixel"), ((size % 7) * 30 - 29.5).alias("radius"),
+        F.when(k % 3 == 0, size % 9 + 4.0).when(k % 3 == 1, 0.0).alias("angular_step"), F.when(k % 5 == 0, size % 4 * 1.5).alias("psi_step"), (k % 10 == 9).alias("one"),
+    )
+    return grids.planned(rows)
+
+
 @query("SELECT p_partkey, unnest(list_transform(range(-CAST(floor(p_size / 7.0 + 0.5) AS BIGINT), CAST(floor(p_size / 7.0 + 0.5) AS BIGINT) + 1), lambda i: CAST(i * 7.0 AS DOUBLE))) AS shift FROM part")
 def search_offsets(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(grids.offsets(F.col("p_size").cast("double"), F.lit(7.0))).alias("shift"))

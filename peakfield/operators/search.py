@@ -52,23 +52,52 @@ COUNTED = 1e-4  # fixed value: least sum of squares of a counted place, and leas
 TINY = 1e-12
 
 
-def global_scale(m: DataFrame) -> DataFrame:
-    """Mean and deviation over all counted places: one row. No counted place at all is an error."""
+def reduced(found: DataFrame, key: str = "vec_id", initial: float = 0.0) -> DataFrame:
+    """Maximum, its task and the moments of each key from one aggregation."""
+    best = F.max(F.when(~F.isnan("score"), F.struct("score", (-F.col("task")).alias("t")))).alias("x")
+    rows = found.groupBy(key).agg(best, F.sum("score").alias("s1"), F.sum(F.col("score") * F.col("score")).alias("s2"), F.count("*").alias("n"))
+    won = F.coalesce(F.col("x.score") > initial, F.lit(False))
+    return rows.select(key, F.when(won, F.col("x.score")).otherwise(initial).alias("mip"), F.when(won, -F.col("x.t")).alias("task"), "s1", "s2", "n")
+
+
+def merged(*parts: DataFrame, key: str = "vec_id") -> DataFrame:
+    """What reduced gives of each shard as one: shards without a winner leave the others' in place, equal maxima go to the lower task."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    best = F.max(F.struct(F.col("mip").alias("score"), (-F.col("task")).alias("t"))).alias("x")
+    rows = every.groupBy(key).agg(best, F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("n").alias("n"))
+    return rows.select(key, F.col("x.score").alias("mip"), (-F.col("x.t")).alias("task"), "s1", "s2", "n")
+
+
+def global_scale(m: DataFrame, valid: Column | None = None) -> DataFrame:
+    """Mean and deviation over all counted places (of those that are valid): one row. No counted place at all is an error."""
     counted = m.where(F.col("s2") > COUNTED)
+    counted = counted if valid is None else counted.where(valid)
     one = counted.agg(F.count("*").alias("counted"), (F.sum("s1") / F.sum("n")).alias("mean"), (F.sum("s2") / F.sum("n")).alias("square"))
     none = F.raise_error(F.lit("no place is counted")).cast("double")
     return one.select("counted", F.when(F.col("counted") > 0, F.col("mean")).otherwise(none).alias("mean"), F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(TINY))).alias("std"))
 
 
+def scaled_maps(found: DataFrame, key: str = "vec_id", valid: Column | None = None, flatten: bool = True) -> DataFrame:
+    """The maps of a search (mip, s1, s2, n) on the scale of its counted, valid places: z of the maximum, mean and deviation of each place, its sums, and the maximum
+    scaled by the place's own mean and deviation where that is usable. Outside the counted places all but z and scaled are zero. flatten: false leaves scaled at z."""
+    g = global_scale(found, valid).select(F.col("mean").alias("gm"), F.col("std").alias("gs"))
+    counted = F.coalesce((F.col("s2") > COUNTED) & (F.lit(True) if valid is None else valid), F.lit(False))
+    inside = lambda c: F.when(F.col("counted"), c).otherwise(0.0)
+    sums = (F.col("s1") - F.col("n") * F.col("gm")) / F.col("gs")
+    squares = (F.col("s2") - 2 * F.col("gm") * F.col("s1") + F.col("n") * F.col("gm") * F.col("gm")) / (F.col("gs") * F.col("gs"))
+    rows = found.withColumn("counted", counted).crossJoin(F.broadcast(g))
+    rows = rows.select(key, "counted", "n", ((F.col("mip") - F.col("gm")) / F.col("gs")).alias("z"), inside(sums).alias("sum"), inside(squares).alias("squares"))
+    rows = rows.withColumn("local_mean", F.col("sum") / F.col("n"))
+    rows = rows.withColumn("local_std", F.sqrt(F.greatest(F.col("squares") / F.col("n") - F.col("local_mean") * F.col("local_mean"), F.lit(0.0))))
+    usable = F.col("counted") & (F.col("local_std") > COUNTED) & F.lit(flatten)
+    return rows.select(key, "z", "local_mean", "local_std", "sum", "squares", F.when(usable, (F.col("z") - F.col("local_mean")) / F.col("local_std")).otherwise(F.col("z")).alias("scaled"))
+
+
 def flat_field(best: DataFrame, m: DataFrame, key: str = "vec_id") -> DataFrame:
-    """z of the maximum by the global mean and deviation, and scaled by each place's own mean and deviation where that is usable."""
-    g = global_scale(m).select(F.col("mean").alias("gm"), F.col("std").alias("gs"))
-    z: Column = (F.col("mip") - F.col("gm")) / F.col("gs")
-    mean = (F.col("s1") / F.col("n") - F.col("gm")) / F.col("gs")
-    square = (F.col("s2") / F.col("n") - 2 * F.col("gm") * F.col("s1") / F.col("n") + F.col("gm") * F.col("gm")) / (F.col("gs") * F.col("gs"))
-    rows = best.join(m, key).crossJoin(F.broadcast(g)).select(key, "s2", z.alias("z"), mean.alias("local_mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(TINY))).alias("local_std"))
-    usable = (F.col("s2") > COUNTED) & (F.col("local_std") > COUNTED)
-    return rows.select(key, "z", "local_mean", "local_std", F.when(usable, (F.col("z") - F.col("local_mean")) / F.col("local_std")).otherwise(F.col("z")).alias("scaled"))
+    """The same from maxima and moments that stand apart."""
+    return scaled_maps(best.join(m, key), key)
 
 
 def decode(tasks: DataFrame, orientations: int, defoci: int, column: str = "task") -> DataFrame:

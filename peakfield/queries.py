@@ -70,18 +70,33 @@ l AS (SELECT *, sqrt(greatest(sq - lm * lm, 1e-12)) AS ls FROM z)
 SELECT vec_id, round(z, 5) AS z, round(CASE WHEN s2 > 1e-4 AND ls > 1e-4 THEN (z - lm) / ls ELSE z END, 5) AS scaled FROM l"""
 )
 def flat_field(spark, d):
-    s = _scores(spark, d)
-    return search.flat_field(search.maximum(s), search.moments(s)).select("vec_id", F.round("z", 5).alias("z"), F.round("scaled", 5).alias("scaled"))
+    return search.scaled_maps(search.reduced(_scores(spark, d))).select("vec_id", F.round("z", 5).alias("z"), F.round("scaled", 5).alias("scaled"))
+
+
+@query(
+    SCORES
+    + """, partial AS (SELECT sum(s1) / sum(n) AS mean, sqrt(greatest(sum(s2) / sum(n) - (sum(s1) / sum(n)) ** 2, 1e-12)) AS std FROM mom WHERE s2 > 1e-4 AND vec_id % 5 <> 2),
+z AS (SELECT vec_id, n, vec_id % 5 <> 2 AND s2 > 1e-4 AS counted, (mip - mean) / std AS z, (s1 - n * mean) / std AS s, (s2 - 2 * mean * s1 + n * mean * mean) / (std * std) AS q FROM best JOIN mom USING (vec_id) CROSS JOIN partial),
+l AS (SELECT vec_id, z, counted, CASE WHEN counted THEN s ELSE 0 END AS s, CASE WHEN counted THEN q ELSE 0 END AS q, CASE WHEN counted THEN s / n ELSE 0 END AS lm, CASE WHEN counted THEN sqrt(greatest(q / n - (s / n) ** 2, 0)) ELSE 0 END AS ls FROM z)
+SELECT vec_id, round(z, 5) + 0.0 AS z, round(lm, 5) + 0.0 AS local_mean, round(ls, 5) + 0.0 AS local_std, round(s, 4) + 0.0 AS sum, round(q, 4) + 0.0 AS squares, round(CASE WHEN counted AND ls > 1e-4 THEN (z - lm) / ls ELSE z END, 5) + 0.0 AS scaled, round(z, 5) + 0.0 AS not_flattened FROM l"""
+)
+def masked_scale(spark, d):
+    """All scaled maps of a search whose statistics rest on four of five places, with flattening and without."""
+    found = search.reduced(_scores(spark, d))
+    valid = F.col("vec_id") % 5 != 2
+    plain = search.scaled_maps(found, valid=valid, flatten=False).select("vec_id", (F.round("scaled", 5) + 0.0).alias("not_flattened"))
+    digits = {"z": 5, "local_mean": 5, "local_std": 5, "sum": 4, "squares": 4, "scaled": 5}
+    return search.scaled_maps(found, valid=valid).select("vec_id", *[(F.round(c, n) + 0.0).alias(c) for c, n in digits.items()]).join(plain, "vec_id")
 
 
 @query(SCORES + "SELECT vec_id, round(mip, 6) AS mip, task, round(s1, 6) AS s1, round(s2, 6) AS s2, n FROM best JOIN mom USING (vec_id)")
 def shard_merge(spark, d):
     s = _scores(spark, d)
     parts = [s.where(F.pmod("task", F.lit(3)) == i) for i in range(3)]
-    best = search.merge_maxima(*[search.maximum(p, initial=-1e9) for p in parts])
-    best = best.select("vec_id", F.when(F.col("mip") > 0, F.col("mip")).otherwise(0.0).alias("mip"), F.when(F.col("mip") > 0, F.col("task")).alias("task"))
-    m = search.merge_moments(*[search.moments(p) for p in parts])
-    return best.join(m, "vec_id").select("vec_id", F.round("mip", 6).alias("mip"), "task", F.round("s1", 6).alias("s1"), F.round("s2", 6).alias("s2"), "n")
+    own = search.merged(*[search.reduced(p, initial=-1e9) for p in parts])
+    won = F.col("mip") > 0
+    own = own.withColumn("task", F.when(won, F.col("task"))).withColumn("mip", F.when(won, F.col("mip")).otherwise(0.0))
+    return own.select("vec_id", F.round("mip", 6).alias("mip"), "task", F.round("s1", 6).alias("s1"), F.round("s2", 6).alias("s2"), "n")
 
 
 @query("SELECT event_id, event_id % 121 AS orientation, (event_id // 121) % 7 AS defocus, (event_id // 121) // 7 AS pixel FROM events")

@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from peakfield import domain, kernel, projection, running, sizes, times
+from peakfield import domain, kernel, models, projection, running, sizes, times
 from peakfield import queries as own
-from peakfield.operators import grids
+from peakfield.operators import grids, search
 from peakfield.sources import mrc, star
 
 DATA = "/root/testdata/sf0.001"
@@ -27,9 +27,9 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(own.oracle_sql() | domain.oracle_sql() | kernel.oracle_sql() | projection.oracle_sql() | sizes.oracle_sql() | running.oracle_sql() | times.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(own.oracle_sql() | domain.oracle_sql() | kernel.oracle_sql() | projection.oracle_sql() | sizes.oracle_sql() | running.oracle_sql() | times.oracle_sql() | models.oracle_sql()))
 def test_query_equals_sql(spark, sql, name):
-    df, want = (own.queries() | domain.queries() | kernel.queries() | projection.queries() | sizes.queries() | running.queries() | times.queries())[name](spark, DATA), sql.sql((own.oracle_sql() | domain.oracle_sql() | kernel.oracle_sql() | projection.oracle_sql() | sizes.oracle_sql() | running.oracle_sql() | times.oracle_sql())[name])
+    df, want = (own.queries() | domain.queries() | kernel.queries() | projection.queries() | sizes.queries() | running.queries() | times.queries() | models.queries())[name](spark, DATA), sql.sql((own.oracle_sql() | domain.oracle_sql() | kernel.oracle_sql() | projection.oracle_sql() | sizes.oracle_sql() | running.oracle_sql() | times.oracle_sql() | models.oracle_sql())[name])
     cols = sorted(df.columns)
     assert cols == sorted(want.columns)
     at = [want.columns.index(c) for c in cols]
@@ -104,6 +104,69 @@ def test_views_of_a_known_grid():
         grids.views("X2", 3.0)
 
 
+def test_cyclic_views_of_the_upper_half():
+    for order in ("C1", "C3"):
+        whole, half = grids.views(order, 7.0), grids.views(order, 7.0, whole=False)
+        assert max(t for _, t in half) <= 90.01 and len(half) < len(whole)
+    assert grids.views("D2", 7.0, whole=False) == grids.views("D2", 7.0)
+
+
+def test_search_grids_equal_brute_force(spark):
+    f = np.float32
+
+    def count(symmetry, step):
+        try:
+            phi_max, theta_max = grids.ranges(symmetry)
+        except ValueError:
+            return None
+        step, n, theta = f(step), 0, f(0)
+        theta_step = theta_max / f(int(theta_max / step + f(0.5)))
+        while theta < theta_max + theta_step / f(2):
+            around = phi_max
+            if theta not in (f(0), f(180)):
+                around = phi_max / f(max(1, int(phi_max / min(abs(step / np.sin(theta * f(math.pi / 180))), phi_max) + f(0.5))))
+            phi = f(0)
+            while phi < phi_max:
+                n, phi = n + 1, phi + around
+            theta = theta + theta_step
+        return n
+
+    known, modes = {}, set()
+    for r in domain.queries()["search_grids"](spark, DATA).collect():
+        if r.one:
+            want = (r.radius, 0, 0, 1, 1)
+        else:
+            radius = r.radius if r.radius >= 1 else 200.0
+            step = r.angular_step if (r.angular_step or 0) > 0 else float(f(180 / math.pi) * f(f(2) * f(r.resolution) / f(radius)))
+            psi = r.psi_step if (r.psi_step or 0) > 0 else float(f(360) / f(max(1, int(f(360) / (f(180 / math.pi) * f(f(r.pixel) / f(radius))) + f(0.5)))))
+            turns, at = 0, f(0)
+            while at <= f(360):
+                turns, at = turns + 1, at + f(psi)
+            key = (r.symmetry, step)
+            known[key] = known[key] if key in known else count(*key)
+            want = (radius, step, psi, known[key], turns)
+        modes.add((r.one, r.radius < 1, r.angular_step is None, r.psi_step is None, want[3] is None))
+        assert (r.radius_used, r.angular_used, r.psi_used, r.n_views, r.n_psi) == want
+        assert r.n_orientations == (None if want[3] is None else want[3] * want[4])
+    assert len(modes) > 8
+
+
+def test_grids_that_cannot_be_made(spark):
+    rows = [("C1", None, 1.0, 5.0, None, None, None), ("C1", 5.0, 0.0, 50.0, None, None, False), (None, 5.0, 1.0, 50.0, None, None, False), ("C1", 5.0, 1.0, None, 500.0, 720.0, None), ("C1", None, None, 0.0, None, None, True)]
+    df = spark.createDataFrame(rows, "symmetry string, resolution double, pixel double, radius double, angular_step double, psi_step double, one boolean")
+    got = [(r.radius_used, r.n_views, r.n_psi, r.n_orientations) for r in grids.planned(df).collect()]
+    assert got[0][1:2] == (None,) and got[1][2] is None and got[1][1] > 0 and got[2][1] is None and got[3] == (200.0, None, 1, None) and got[4] == (200.0, 1, 1, 1)
+
+
+def test_reduced_equals_maxima_and_moments(spark):
+    rows = [(1, 3, 2.0), (1, 1, 2.0), (1, 2, float("nan")), (2, 1, -1.0), (3, 4, float("nan")), (4, 1, 0.0)]
+    df = spark.createDataFrame(rows, "vec_id long, task long, score double")
+    got = {r.vec_id: (r.mip, r.task, r.n) for r in search.reduced(df).collect()}
+    assert got == {1: (2.0, 1, 3), 2: (0.0, None, 1), 3: (0.0, None, 1), 4: (0.0, None, 1)}
+    parts = [search.reduced(df.where(f"task % 2 = {i}")) for i in range(2)]
+    assert {r.vec_id: (r.mip, r.task, r.n) for r in search.merged(*parts).collect()} == got
+
+
 def test_winners_have_their_views(spark):
     views = grids.views("C4", 15.0)
     for r in domain.queries()["winner_orientations"](spark, DATA).collect():
