@@ -60,17 +60,23 @@ def percentiles(df: DataFrame, value: str, group: str) -> DataFrame:
     return one.select(group, *[F.get("p", i).alias(f"p{round(100 * q)}") for i, q in enumerate(SHARES)], "mean", "least", "most", "n")
 
 
+#: The spaces of Unicode (its space separators), which stand around a field; line and other control characters are none.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def fixed_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row for each line of each text that is not null: key, line (from 1), record, chain, element, x, y, z. The element is that of columns 77 and 78, or else the first
-    letter of the name; a coordinate that is no decimal number is null. Lines end with a line feed, alone or after a carriage return."""
+    letter of the name; a coordinate that is no decimal number, but for spaces of any kind around it, is null. Lines end with a line feed, alone or after a carriage return."""
     line = df.select(key, F.posexplode(F.split(text, "\r?\n")).alias("at", "row"))
-    number = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+    # \z, as $ also matches before a line's end
+    number = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\z"
+    bare = lambda c: F.btrim(c, F.lit(SPACES))
 
     def place(at: int):
-        t = F.trim(F.substring("row", at, 8))
+        t = bare(F.substring("row", at, 8))
         return F.when(t.rlike(number), t.try_cast("double"))
 
-    stated = F.trim(F.substring("row", 77, 2))
+    stated = bare(F.substring("row", 77, 2))
     element = F.when(stated != "", stated).otherwise(F.regexp_extract(F.substring("row", 13, 4), "[A-Za-z]", 0))
     fields = [F.substring("row", 1, 6).alias("record"), F.substring("row", 22, 1).alias("chain"), element.alias("element"), place(31).alias("x"), place(39).alias("y"), place(47).alias("z")]
     return line.select(key, (F.col("at") + 1).cast("long").alias("line"), *fields)
