@@ -40,27 +40,29 @@ def read_tsv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return _strings(spark.read.schema(schema).options(**TSV, enforceSchema="false", multiLine="false").csv(path), _restored)
 
 
-def _lines(rows: DataFrame, name: str, by: str, line) -> str:
-    """Text files below folders by=value, lines in order: rows of a name go to one task, as a file is one."""
+def _lines(rows: DataFrame, name: str, by: str, line, *ties: str) -> str:
+    """Text files below folders by=value, lines in order: rows of a name go to one task, as a file is one. Rows of equal order go by the columns of ties."""
     path = shared_folder(rows.sparkSession, name)
-    rows.repartition(by).sortWithinPartitions(by, "__order").select(by, line.alias("value")).write.partitionBy(by).text(path)
+    rows.repartition(by).sortWithinPartitions(by, "__order", *ties).select(by, line.alias("value")).write.partitionBy(by).text(path)
     return path
 
 
 def write_columns(rows: DataFrame, by: str, order: str) -> str:
-    """A file of white-space columns for each value of by: the order's column first, then all others, after a line of comment at the top."""
+    """A file of white-space columns for each value of by: the order's column first, then all others, after a line of comment at the top.
+    Lines of equal order go by the other columns, from the left."""
     other = [c for c in rows.columns if c not in (by, order)]
     body = F.concat_ws("  ", F.col(order).cast("string"), *[F.col(c).cast("string") for c in other])
-    own = rows.select(by, F.col(order).alias("__order"), body.alias("__line"))
-    heads = rows.select(by).distinct().select(by, F.lit(None).cast(rows.schema[order].dataType).alias("__order"), F.lit("# columns").alias("__line"))
-    return _lines(own.union(heads), "columns", by, F.col("__line"))
+    ties = [f"__tie{i}" for i in range(len(other))]
+    own = rows.select(by, F.col(order).alias("__order"), body.alias("__line"), *[F.col(c).alias(t) for c, t in zip(other, ties, strict=True)])
+    heads = rows.select(by).distinct().select(by, F.lit(None).cast(rows.schema[order].dataType).alias("__order"), F.lit("# columns").alias("__line"), *[F.lit(None).cast(rows.schema[c].dataType) for c in other])
+    return _lines(own.union(heads), "columns", by, F.col("__line"), *ties)
 
 
 def summaries(path: str, spark: SparkSession) -> DataFrame:
     """For each file its first data line's first two columns, and how many data lines it has. Lines are numbered by their place in the file."""
-    rows = spark.read.text(path).select("event_type", F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    rows = spark.read.text(path).select("event_type", F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     data = rows.where("trim(line) != '' and not ltrim(line) like '#%'").withColumn("f", F.split(F.trim("line"), r"\s+"))
-    first = F.min_by("f", F.struct("file", "at"))
+    first = F.min_by("f", F.struct("file", "block", "at"))
     return data.groupBy("event_type").agg(F.count("*").alias("lines"), first.alias("f")).select("event_type", "lines", F.get("f", 0).cast("double").alias("first_snr"), F.get("f", 1).cast("long").alias("first_id"))
 
 
