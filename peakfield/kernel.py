@@ -256,7 +256,7 @@ def sampled_batches(spark, d):
 
 @query("SELECT event_id, round((value - lag(value) OVER w) / nullif((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6, 0), 6) + 0.0 AS rate FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
 def recent_rate(spark, d):
-    rows = runs.recent_rate(table(spark, d, "events"), "user_id", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, F.col("value"))
+    rows = runs.recent_rate(table(spark, d, "events"), "user_id", F.unix_micros(F.col("ts").cast("timestamp")), F.col("value"), "event_id")
     return rows.select("event_id", clean("rate").alias("rate"))
 
 
