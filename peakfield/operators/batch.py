@@ -15,6 +15,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Jobs whose rows are handed on together.
+TOGETHER = 64
+
 RESULT = "status string, elapsed_seconds double, error string, traceback string"
 
 
@@ -29,16 +32,20 @@ def attempted(jobs: DataFrame, work: Callable[[dict], dict], made: str, key: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i in range(len(batch)):
-                own = batch.iloc[i : i + 1].reset_index(drop=True)
-                job = {k: None if v is None or v is pd.NA or (isinstance(v, float) and v != v) else v for k, v in own.to_dict("records")[0].items()}
-                began, out, error, trace = time.perf_counter(), {}, None, None
-                try:
-                    out = work(job)
-                except Exception as problem:  # a job's failure is its row, not the batch's end
-                    error, trace = f"{type(problem).__name__}: {problem}", traceback.format_exc()
-                told = {"status": "failed" if error else "ok", "elapsed_seconds": time.perf_counter() - began, "error": error, "traceback": trace}
-                yield own.assign(**{k: [v] for k, v in (told | {n: out.get(n) for n in names}).items()})
+            # what jobs return is handed on some jobs at a time, as a frame for each job costs more than most work
+            for first in range(0, len(batch), TOGETHER):
+                own, told = batch.iloc[first : first + TOGETHER].reset_index(drop=True), []
+                for row in own.to_dict("records"):
+                    job = {k: None if v is None or v is pd.NA or (isinstance(v, float) and v != v) else v for k, v in row.items()}
+                    began, out, error, trace = time.perf_counter(), {}, None, None
+                    try:
+                        out = work(job)
+                        out = {n: out.get(n) for n in names}
+                    except Exception as problem:  # a job's failure is its row, not the batch's end
+                        error, trace, out = f"{type(problem).__name__}: {problem}", traceback.format_exc(), dict.fromkeys(names)
+                    told.append({"status": "failed" if error else "ok", "elapsed_seconds": time.perf_counter() - began, "error": error, "traceback": trace} | out)
+                # objects keep whole numbers whole beside nulls
+                yield pd.concat([own, pd.DataFrame(told, dtype=object)], axis=1)
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in jobs.schema)
     return jobs.repartition(parts, key).mapInPandas(run, f"{columns}, {RESULT}, {made}")
