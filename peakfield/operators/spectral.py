@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from .ranks import written
 
 TINY = 1e-12
-#: Bytes of image spectra that a task holds at a time.
-BLOCK_BYTES = 64 << 20
+#: Bytes of a block of images in a task: their spectra, maxima, moments and a score.
+BLOCK_BYTES = 32 << 20
+#: Images whose maxima are handed on together.
+TOGETHER = 512
 
 
 def signed(f: Column, n: int) -> Column:
@@ -135,7 +137,7 @@ def correlated(images: DataFrame, tasks: DataFrame, side: int, key: str = "vec_i
     spark = images.sparkSession
     tasks, images = written(tasks.select("task", "template"), "templates"), written(images.select(F.col(key).alias("key"), F.col(vector).alias("values")), "images")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, -(-images.count() * side * (side // 2 + 1) * 16 // BLOCK_BYTES))
+    blocks = max(1, -(-images.count() * (side * (side // 2 + 1) * 32 + side * side * 56) // BLOCK_BYTES))
     slices = max(1, -(-parts // blocks))
     kind = images.schema["key"].dataType.simpleString()
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -150,8 +152,9 @@ def correlated(images: DataFrame, tasks: DataFrame, side: int, key: str = "vec_i
 
         def out() -> Iterator[pd.DataFrame]:
             if spectra is not None and best["n"]:
-                flat = lambda k: list(best[k].reshape(len(names), -1))
-                yield pd.DataFrame({"key": names, "mip": flat("mip"), "task": flat("task"), "s1": flat("s1"), "s2": flat("s2"), "n": best["n"]})
+                for i in range(0, len(names), TOGETHER):
+                    own = names[i : i + TOGETHER]
+                    yield pd.DataFrame({"key": own, **{k: list(best[k][i : i + TOGETHER].reshape(len(own), -1)) for k in ("mip", "task", "s1", "s2")}, "n": best["n"]})
 
         for batch in batches:
             for (block, part), rows in batch.groupby(["block", "slice"], sort=False):
