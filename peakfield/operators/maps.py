@@ -40,20 +40,21 @@ def nearest_fill(px: DataFrame, radius: int, key: str = "vec_id") -> DataFrame:
 
 def flooded(px: DataFrame, key: str = "vec_id") -> DataFrame:
     """Places without a value (v null) take that of a neighbour (left, right, above, below, in this order), round by round, from what was known before the
-    round. Only places that were filled last send on their value, and every round is written. A map without any value stays as it is."""
+    round. Only places that were filled last send on their value, and every round is written. A map without any value stays as it is. Joins are merged, not
+    broadcast, as each of many rounds would else send its front through the driver."""
     ways = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for i, (dy, dx) in enumerate([(0, 1), (0, -1), (1, 0), (-1, 0)])])
     place = [key, "y", "x"]
     front, found = px.where("v is not null").select(*place, "v"), []
     missing = px.where("v is null").select(*place)
     while True:
         sent = front.select(key, "y", "x", "v", F.explode(ways).alias("o")).select(key, (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "v", "o.i")
-        front = written(sent.join(missing, place, "left_semi").groupBy(*place).agg(F.min_by("v", "i").alias("v")), "filled")
+        front = written(sent.join(missing.hint("merge"), place, "left_semi").groupBy(*place).agg(F.min_by("v", "i").alias("v")), "filled")
         if not front.limit(1).count():
             break
         found.append(front)
-        missing = written(missing.join(front, place, "left_anti"), "missing")
+        missing = written(missing.join(front.hint("merge"), place, "left_anti"), "missing")
     near = reduce(DataFrame.union, found, front).withColumnRenamed("v", "near")
-    return px.join(near, place, "left").select(*place, F.coalesce("v", "near").alias("v"))
+    return px.join(near.hint("merge"), place, "left").select(*place, F.coalesce("v", "near").alias("v"))
 
 
 def scattered(px: DataFrame, factor: float, centre: int, target: int, size: int, key: str = "vec_id") -> DataFrame:
