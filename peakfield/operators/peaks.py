@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .ranks import indexed, written
 
+#: Rows that a task sorts at a time.
+PART_ROWS = 250_000
+
 
 def greedy(df: DataFrame, threshold: float, radius: float, most: int) -> DataFrame:
     """df: grid, x, y, score. Per grid the best score, then the best outside its disc, and so on; equal scores go by y, then x. Only places that reach the
@@ -29,10 +32,12 @@ def greedy(df: DataFrame, threshold: float, radius: float, most: int) -> DataFra
     spread = lambda rows: rows.withColumn("o", F.explode(around)).select("grid", "x", "y", "score", (tile("x") + F.col("o.i")).alias("tx"), (tile("y") + F.col("o.j")).alias("ty"))
     near = f"a.grid <=> b.grid and a.tx = b.tx and a.ty = b.ty and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {float(radius) ** 2!r}D"
     left = written(left.withColumn("tx", tile("x")).withColumn("ty", tile("y")), "undecided")
-    rounds = []
-    while left.limit(1).count():
+    rounds, parts = [], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while size := left.count():
         best = F.max(F.struct("score", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))).alias("best")
-        hopeful = left.groupBy("grid", cell("x"), cell("y")).agg(best).select("grid", (-F.col("best.x")).alias("x"), (-F.col("best.y")).alias("y"), "best.score")
+        # the best of a cell is found by sorting, so rows are dealt to as many tasks as keep each sort small
+        dealt = left.withColumn("cx", cell("x")).withColumn("cy", cell("y")).repartition(max(parts, -(-size // PART_ROWS)), "grid", "cx", "cy")
+        hopeful = dealt.groupBy("grid", "cx", "cy").agg(best).select("grid", (-F.col("best.x")).alias("x"), (-F.col("best.y")).alias("y"), "best.score")
         better = f"{near} and (b.score > a.score or b.score = a.score and (b.y < a.y or b.y = a.y and b.x < a.x))"
         beaten = spread(hopeful).alias("a").join(left.alias("b"), F.expr(better)).select("a.grid", "a.x", "a.y").distinct()
         same = lambda u, v: F.expr(f"{u}.grid <=> {v}.grid and {u}.x = {v}.x and {u}.y = {v}.y")
