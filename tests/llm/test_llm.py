@@ -250,6 +250,29 @@ def test_segmentations(spark, docs, none):
     assert segment.with_segmentations(none, path).count() == 0
 
 
+def test_segmentations_with_a_small_lattice(monkeypatch):
+    model = segment.pieces(public_tokenizers.path("piece_bpe_32k.model"), 1.5)
+    texts, keys = ["one two", "three 日ü😀 two\n", "one", " two  ▁ one"], np.arange(4, dtype=np.uint64)
+    segment.Lattice.kept.clear()
+    want = segment.sample(texts, keys, model, 3)
+    monkeypatch.setattr(segment, "KEEP", 12)
+    for _ in range(2):
+        for i in (3, 0, 1, 2):
+            got = segment.sample(texts[i : i + 1], keys[i : i + 1], model, 3)[0]
+            assert [(a.tolist(), *x) for a, *x in got] == [(a.tolist(), *x) for a, *x in want[i]]
+    grid = segment.Lattice.of(model)
+    assert len(grid.at) < 6 and len(grid.rest) == len(grid.src)
+
+
+def test_decoding_of_bytes_that_are_no_text(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = segment.pieces(path, 1.5)
+    space, odd, a = (int(model.byte[x]) for x in (32, 0xFF, 97))
+    rows = [(1, [{"ids": [space, odd, a]}, {"ids": [space]}, {"ids": []}]), (2, None), (3, [])]
+    got = spark.createDataFrame(rows, "i long, s array<struct<ids:array<int>>>").select("i", segment.decoded(F.col("s"), path).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == [["\ufffda", "", ""], None, []]
+
+
 def test_segmentations_are_a_sample_without_replacement():
     model = segment.pieces(public_tokenizers.path("piece_bpe_32k.model"), 1.5)
     n = 8000
