@@ -21,7 +21,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -38,7 +38,6 @@ CUT = re.compile(r"(?= \S)")
 BARE = "\x00"
 #: Between a letter or digit and these the pre-tokenizer always ends a piece.
 TAIL = ".,;:!?"
-VISIBLE = re.compile(r" ?\S+")
 KEEP = 1_000_000
 #: Bytes of text in one part, which is one task's work and one file of ids.
 PART_BYTES = 256 << 20
@@ -90,7 +89,17 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.ids, self.start, self.seen = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        """Forgets the pieces met once only, as most are, or all if that leaves more than half of the bound."""
+        keep = np.flatnonzero(self.seen > 1)
+        keys, n = list(self.known), np.diff(self.start)[keep]
+        ids, seen = self.gathered(keep, n), self.seen[keep]
+        self.forget()
+        if len(keep) <= KEEP // 2:
+            self.add([keys[i] for i in keep.tolist()], ids, n)
+            self.seen = seen
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -100,41 +109,44 @@ class Encoder:
 
     def learn(self, keys: list[str]) -> None:
         """Encodes new pieces. What stands before the punctuation at a word's end is encoded once for all words that differ in that alone."""
-        whole, parted = [], []
-        for k in keys:
-            core = k.rstrip(TAIL)
-            if len(core) < len(k) and core and core[-1].isalnum():
-                parted.append((k, core, BARE + k[len(core) :]))
-            else:
-                whole.append(k)
-        more = {x for _, *two in parted for x in two} - self.known.keys() - set(whole)
-        self.add([*whole, *more], *self.apart([*whole, *more]))
-        if parted:
-            two = np.fromiter((self.known[x] for _, *own in parted for x in own), np.int64, 2 * len(parted))
+        cores = [k.rstrip(TAIL) for k in keys]
+        parted = [len(c) < len(k) and c[-1:].isalnum() for k, c in zip(keys, cores, strict=True)]
+        whole = dict.fromkeys(k for k, p in zip(keys, parted, strict=True) if not p)
+        ended, core = list(compress(keys, parted)), list(compress(cores, parted))
+        tail = [BARE + k[len(c) :] for k, c in zip(ended, core, strict=True)]
+        whole |= dict.fromkeys(x for x in chain(core, tail) if x not in self.known)
+        line = whole.keys() & {"\n"}
+        bare = [k for k in whole if k[0] == BARE]
+        words = [k for k in whole if k[0] != BARE and k not in line]
+        own = [self.apart(words, " "), self.apart([k[1:] for k in bare], ""), self.apart(list(line), "")]
+        self.add([*words, *bare, *line], *(np.concatenate(x) for x in zip(*own, strict=True)))
+        if ended:
+            two = np.fromiter(map(self.known.__getitem__, chain(core, tail)), np.int64, 2 * len(ended)).reshape(2, -1).T.ravel()
             n = self.start[two + 1] - self.start[two]
-            self.add([k for k, *_ in parted], self.gathered(two, n), n.reshape(-1, 2).sum(1))
-
-    def apart(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of new pieces, one after another, and how many each has: visible ones as lines of one text, parted again at the line ends."""
-        pieces = [k[1:] if k[0] == BARE else k if k == "\n" else " " + k for k in keys]
-        ids, counts = [], []
-        for a in range(0, len(pieces), 20_000):
-            part = pieces[a : a + 20_000]
-            own = np.array(self.ids_of(["\n".join(part)])[0], np.uint32) if all(map(VISIBLE.fullmatch, part)) else np.zeros(0, np.uint32)
+            self.add(ended, self.gathered(two, n), n.reshape(-1, 2).sum(1))
+
+    def apart(self, names: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of names with that before each, one after another, and how many each has: visible ones as lines of one text, parted again at the line ends."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(names), 20_000):
+            part = names[a : a + 20_000]
+            text = space + f"\n{space}".join(part)
+            own = np.array(self.ids_of([text])[0], np.uint32) if text.split() == part else np.zeros(0, np.uint32)
             ends = np.flatnonzero(own == self.line[0])
             if len(self.line) == 1 and len(ends) == len(part) - 1 and len(own):
                 ids.append(np.delete(own, ends))
                 counts.append(np.diff(np.concatenate([[-1], ends, [len(own)]])) - 1)
             else:
-                each = self.ids_of(part)
+                each = self.ids_of([space + x for x in part])
                 ids += [np.array(x, np.uint32) for x in each]
                 counts.append(np.array([len(x) for x in each], np.int64))
-        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *counts])
+        return np.concatenate(ids), np.concatenate(counts)
 
     def add(self, keys: list[str], ids: np.ndarray, n: np.ndarray) -> None:
         self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
         self.ids = np.concatenate([self.ids, ids])
+        self.seen = np.concatenate([self.seen, np.zeros(len(keys), np.int64)])
 
     def gathered(self, code: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Ids of known pieces, one after another; n: how many each has."""
@@ -146,7 +158,7 @@ class Encoder:
     @staticmethod
     def keys(text: str) -> list[str]:
         """The pieces of a text: words with a space before them, line ends, and marked ones that have no space."""
-        if BARE in text or text.replace("\n", " ").split(" ") != text.split():  # white space other than single spaces and line ends
+        if BARE in text or " ".join(text.split()) != text.replace("\n", " "):  # white space other than single spaces and line ends
             return [p[1:] if p[0] == " " and p[1:] and p[1] != BARE and p != " \n" else BARE + p for p in CUT.split(text) if p]
         out = f"{BARE}{text}".replace("\n", " \n \x00").split(" ")
         return out if out[0] != BARE else out[1:]
@@ -156,10 +168,13 @@ class Encoder:
         pieces = [self.keys(t) for t in texts]
         flat = list(chain.from_iterable(pieces))
         if len(self.known) > KEEP:
-            self.forget()
-        if new := dict.fromkeys(flat).keys() - self.known.keys():
-            self.learn(list(new))
-        code = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+            self.shrink()
+        code = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(new := np.flatnonzero(code < 0)):
+            names = list(map(flat.__getitem__, new.tolist()))
+            self.learn(list(dict.fromkeys(names)))
+            code[new] = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        self.seen += np.bincount(code, minlength=len(self.seen))
         n = self.start[code + 1] - self.start[code]
         total, ids = np.concatenate([[0], np.cumsum(n)]), self.gathered(code, n)
         ends = total[np.cumsum([len(p) for p in pieces])] if texts else np.zeros(0, np.int64)
