@@ -252,6 +252,7 @@ def judge(phrases, shard_chars: int):
             texts = [t or "" for t in part]
             found = [judged(texts[a:b], phrases.value) for a, b in chunks(texts, shard_chars)]
             yield pd.concat(found, ignore_index=True) if found else judged([], phrases.value)
+        released()
 
     # so called, it is computed once, where the plan puts it, however many filters and columns use its result
     return judge.asNondeterministic()
@@ -291,7 +292,9 @@ def without_spans(text, spans):
     """The text without the hit words and what stands between words of one span; null stays null."""
 
     @F.pandas_udf("string")
-    def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or s is None or not len(s) else cut(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+    def clean(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, spans in parts:
+            yield pd.Series([t if t is None or s is None or not len(s) else cut(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+        released()
 
     return clean(text, spans)

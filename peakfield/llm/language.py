@@ -88,6 +88,8 @@ def gram_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
         for name, pairs in held.items():
             g, n = merged(pairs)
             yield pd.DataFrame({"lang": name, "gram": g.view(np.int64), "n": n})
+        held.clear()
+        released()
 
     rows = slim(df, text=text, lang=lang).where("text is not null and lang is not null")
     return rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -195,8 +197,11 @@ class LanguageFilters:
         model = spark.sparkContext.broadcast(self)
 
         @F.pandas_udf(RESULT)
-        def identify(texts: pd.Series) -> pd.DataFrame:
-            return model.value.predict([None if t is None else t for t in texts])
+        def identify(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            released()
+            for texts in parts:
+                yield model.value.predict([None if t is None else t for t in texts])
+            released()
 
         return identify(text)
 

@@ -111,6 +111,7 @@ def signed(df: DataFrame, size: int = WORDS, bands: int = BANDS, rows: int = ROW
                     for i, x in zip(again, banded(plain, bands, rows), strict=True):
                         band[i] = np.union1d(band[i], x)
                     yield pd.DataFrame({"id": pd.array(ids[c : c + len(texts)], "Int64"), "raw": raws[c : c + len(texts)], "key": [hashlib.blake2b(b" ".join(t), digest_size=16).digest() if t else None for t in texts], "bands": [x if t else None for x, t in zip(band, texts, strict=True)]})
+        released()
 
     return df.mapInPandas(sign, "id long, raw long, key binary, bands array<long>")
 
@@ -135,6 +136,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = WORDS, threshold: f
                 side = lambda t: h[cut[names[t]] : cut[names[t] + 1]]  # noqa: B023, E731
                 good += [jaccard(side(t), side(u)) >= threshold for t, u in zip(left[lo : lo + 512], right[lo : lo + 512], strict=True)]
             yield part.loc[np.array(good, bool), ["a", "b"]]
+        released()
 
     ta = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -168,6 +170,7 @@ def prefixes(docs: DataFrame, size: int, threshold: float) -> DataFrame:
                 for c in range(a, b, 4096):
                     of, h, _ = shingles([words(t) for t in texts[c : min(b, c + 4096)]], size)
                     yield pd.DataFrame({"id": ids[c + of], "n": np.bincount(of)[of] if len(of) else of, "h": h.view(np.int64)})
+        released()
 
     each = written(docs.select("id", "text").mapInPandas(spread, "id long, n long, h long"), "shingles")
     often = each.groupBy("h").agg(F.count("*").alias("seen")).where("seen > 1")

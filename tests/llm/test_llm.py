@@ -273,6 +273,15 @@ def test_segmentations_with_a_small_lattice(monkeypatch):
     assert len(grid.at) < 6 and len(grid.rest) == len(grid.src)
 
 
+def test_tasks_leave_no_lattice(spark):
+    """A worker that waits for its next task holds the model alone."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own = spark.createDataFrame([(i, f"one two {i}") for i in range(50)], "doc_id long, text string").repartition(2)
+    segment.with_segmentations(own, path).write.format("noop").mode("overwrite").save()
+    held = spark.range(8, numPartitions=4).mapInPandas(lambda parts: (p.assign(id=len(segment.Lattice.kept)) for p in parts), "id long")
+    assert {r["id"] for r in held.collect()} == {0}
+
+
 def test_decoding_of_bytes_that_are_no_text(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = segment.pieces(path, 1.5)
