@@ -38,6 +38,11 @@ BANDS, ROWS = 20, 4
 DOC = np.uint64(16)
 
 
+def some(df: DataFrame) -> bool:
+    """Whether df has a row. One partition is looked at first, and nothing is shuffled, so that the driver has fewer tasks to keep account of."""
+    return bool(df.take(1))
+
+
 def words(text: str) -> list[bytes]:
     """Words between ASCII white space, A-Z in lower case, in UTF-8."""
     return text.encode("utf-8", "replace").lower().split()
@@ -154,7 +159,7 @@ def components(edges: DataFrame) -> DataFrame:
         jump = at.select(F.col("node").alias("new"), F.col("label").alias("far"))
         step = written(step.join(jump, "new").select("node", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("label")).alias("moved")), "labels")
         at = step.select("node", "label")
-        if not step.where("moved").limit(1).count():
+        if not some(step.where("moved")):
             return at
 
 
@@ -233,12 +238,13 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
             else:
                 rare = prefixes(texts.join(now.select(F.col("rep").alias("id")).distinct(), "id"), size, threshold)
         if rare is not None:
-            found = rare_pairs(rare.join(labels, F.col("id") == F.col("node")).drop("node"), threshold, whole)
+            # written, as each use in the self-join below would read and join all of it again
+            found = rare_pairs(written(rare.join(labels, F.col("id") == F.col("node")).drop("node"), "labelled"), threshold, whole)
         pairs = found.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        links = written(verified(pairs, texts, size, threshold), "links") if not r or pairs.limit(1).count() else None
-        if links is not None and links.limit(1).count():
+        links = written(verified(pairs, texts, size, threshold), "links") if not r or some(pairs) else None
+        if links is not None and some(links):
             on = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_"))  # noqa: B023, E731
             merged = components(links.join(on("a"), "a").join(on("b"), "b").where("a_ != b_").select(F.col("a_").alias("a"), F.col("b_").alias("b")))
             labels = written(labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "classes")
