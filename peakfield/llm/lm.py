@@ -25,14 +25,16 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import chain, groupby
 from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +51,8 @@ BLOCK, PIECE = 1 << 18, 1 << 12
 COPY, LEAST_ROUNDS, TASKS_A_CORE = 1 << 19, 2, 4
 #: Tokens of texts that are scored together.
 TOGETHER = 1 << 21
+#: Tokens whose exponentials over the classes are taken at a time, so that these stay in a core's cache.
+ROWS = 1 << 10
 #: States are within 1, so output weights within this keep all exponents below 80.
 BOUND = 80 / HIDDEN
 
@@ -58,6 +62,17 @@ def words(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "replace").lower().split(), END]
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts one after another, without ends, and the number of each text's."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    flat, lens = lists.flatten().cast(pa.binary()), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    held = pc.greater(pc.binary_length(flat), 0)
+    if not pc.all(held).as_py():  # a text without words has one empty piece
+        lens[pc.equal(pc.binary_length(flat.take(pa.array(np.cumsum(lens) - lens))), 0).to_numpy(zero_copy_only=False)] = 0
+        flat = flat.filter(held)
+    return flat, lens
+
+
 def head_classes(distinct: int) -> int:
     """Classes of words with vectors of their own, for that many distinct words."""
     return max(HEAD_CLASSES, math.isqrt(distinct) // 64)
@@ -73,32 +88,43 @@ def schedule(total: int) -> tuple[int, int]:
 def counts(df: DataFrame) -> DataFrame:
     """word, n over the rows of df (text), with the end token."""
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
-        for part in parts:
-            held.update(chain.from_iterable(map(words, part["text"])))
-            if len(held) > 500_000:
-                yield pd.DataFrame({"word": list(held), "n": list(held.values())})
-                held.clear()
+    def merged(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            own = pc.value_counts(split(batch["text"])[0])
+            held += [pa.table({"word": own.field("values"), "n": own.field("counts")}), pa.table({"word": pa.array([END], pa.binary()), "n": pa.array([len(batch)], pa.int64())})]
+            if sum(map(len, held)) > 1 << 20:
+                held = [merged(held)]
+                if len(held[0]) > 500_000:
+                    yield from held[0].to_batches()
+                    held = []
         if held:
-            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+            yield from merged(held).to_batches()
 
-    return df.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return df.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def spelling(names: list[bytes]) -> np.ndarray:
+@lru_cache(1)
+def endings() -> np.ndarray:
+    """Spelling class of each two last bytes: the last one (256 for none) by the one before."""
+    return np.array([[zlib.crc32(bytes([*([a] if a < 256 else []), b])) % SPELLINGS for b in range(256)] for a in range(257)], np.int64)
+
+
+def spelling(names: list[bytes] | pa.Array) -> np.ndarray:
     """Spelling class of words: a hash of the last two bytes."""
-    return np.fromiter((zlib.crc32(w[-2:]) % SPELLINGS for w in names), np.int64, len(names))
+    names = pa.array(names, pa.binary()) if isinstance(names, list) else names
+    if not len(names):
+        return np.zeros(0, np.int64)
+    data, ends = np.frombuffer(names.buffers()[2], np.uint8), np.frombuffer(names.buffers()[1], np.int32)[names.offset : names.offset + len(names) + 1]
+    return endings()[np.where(np.diff(ends) > 1, data[ends[1:] - 2], np.int16(256)), data[ends[1:] - 1]]
 
 
 def spelled(word: str) -> Column:
     """Spelling class of a column of words."""
-
-    @F.pandas_udf("int")
-    def own(names: pd.Series) -> pd.Series:
-        return pd.Series(spelling(names.tolist()), dtype="int32")
-
-    return own(word)
+    return (F.crc32(F.substring(word, -2, 2)) % SPELLINGS).cast("int")
 
 
 @dataclass
@@ -146,61 +172,79 @@ class Model:
         m.weights["c"][HIDDEN], m.weights["w"][:, HIDDEN] = np.log(mass / mass.sum()), np.log(own)  # the last row is the bias
         return m
 
-    def codes(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the table of frequent words, or -1, and the input of the network: head words have their own, others their spelling class."""
+    def codes(self, tokens: pa.Array) -> np.ndarray:
+        """Place in the table of frequent words, or -1."""
         if not hasattr(self, "at"):
-            self.at = {w: i for i, w in enumerate(self.words)}
-            self.own = np.concatenate([np.arange(self.head), self.base + spelling(self.words[self.head :]), [0]])
-        code = np.fromiter(map(self.at.get, tokens, (-1,) * len(tokens)), np.int64, len(tokens))
-        net, rare = self.own[code], np.flatnonzero(code < 0)
-        net[rare] = self.base + spelling([tokens[i] for i in rare.tolist()])
-        return code, net
+            self.at = pa.array(self.words, pa.binary())
+        return pc.index_in(tokens, value_set=self.at).fill_null(-1).to_numpy()
+
+    def own(self) -> np.ndarray:
+        """The network's inputs of the frequent words: head words have their own, others their spelling class."""
+        return np.concatenate([np.arange(self.head), self.base + spelling(self.words[self.head :])]).astype(np.int32)
 
     def classes_of(self, net: np.ndarray) -> np.ndarray:
         return np.where(net < self.base, net // PER_CLASS, self.heads + net - self.base)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In the place of x."""
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.divide(1, x, out=x)
 
 
 def step(w: dict, a: np.ndarray, h: np.ndarray):
-    """One gated step from the input's part a and the state: update z, reset r, candidate n."""
-    b = h @ w["h"]
-    zr = sigmoid(a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN])
-    z, r, own = zr[:, :HIDDEN], zr[:, HIDDEN:], b[:, 2 * HIDDEN :]
-    n = np.tanh(a[:, 2 * HIDDEN :] + r * own)
-    return n + z * (h - n), z, r, n, own
-
-
-def with_one(h: np.ndarray) -> np.ndarray:
-    """States with the input of the biases."""
-    out = np.ones((len(h), HIDDEN + 1), h.dtype)
-    out[:, :HIDDEN] = h
-    return out
-
-
-def chosen_and_sum(v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Turns each row of v (below 88, which BOUND keeps it to) into its exponentials. The log-probability of the place at, and the row's sum."""
-    own = v[np.arange(len(at)), at]
-    total = np.exp(v, out=v).sum(1)
-    return own - np.log(total), total
+    """One gated step from the input's part a and the state, units by texts: update z, reset r, candidate n."""
+    b = w["h"].T @ h
+    zr = sigmoid(a[: 2 * HIDDEN] + b[: 2 * HIDDEN])
+    z, r, own = zr[:HIDDEN], zr[HIDDEN:], b[2 * HIDDEN :]
+    n = r * own
+    n += a[2 * HIDDEN :]
+    new = h - np.tanh(n, out=n)
+    new *= z
+    new += n
+    return new, z, r, n, own
+
+
+def exponentials(v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Turns each row of v (below 88, which BOUND keeps it to) into its exponentials. Where the places at stand in v, their log-probabilities, and each
+    row's sum."""
+    place = np.arange(0, v.size, v.shape[1])
+    place += at
+    own = v.reshape(-1)[place]
+    total = np.exp(v, out=v) @ np.ones(v.shape[1], v.dtype)
+    return place, own - np.log(total), total
+
+
+def members(m: Model, net: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, list[tuple[int, slice]]]]]:
+    """The places of head words in net, by class, and pieces of them of ROWS / 2 at most: each with its classes and their parts of the piece."""
+    heads = np.flatnonzero(net < m.base)
+    c = net[heads] // PER_CLASS
+    order = np.argsort(c.astype(np.int16), kind="stable")
+    c, pieces = c[order], []
+    for a in range(0, len(c), ROWS // 2):
+        own = c[a : a + ROWS // 2]
+        first = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist()]
+        pieces.append((slice(a, a + len(own)), [(k, slice(*ends)) for k, *ends in zip(own[first].tolist(), first, [*first[1:], len(own)], strict=True)]))
+    return heads[order], pieces
 
 
-def members(m: Model, c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The head classes that occur, each with its places in c."""
-    order = np.argsort(c.astype(np.int16), kind="stable")
-    ends = np.searchsorted(c[order], np.arange(m.heads + 1))
-    for k in np.flatnonzero(np.diff(ends)).tolist():
-        yield k, order[ends[k] : ends[k + 1]]
+def values(h: np.ndarray, w: np.ndarray, classes: list[tuple[int, slice]]) -> np.ndarray:
+    """Of the states h: what the softmax of each one's class is taken of."""
+    v = np.empty((len(h), PER_CLASS), h.dtype)
+    for k, part in classes:
+        np.matmul(h[part], w[k], out=v[part])
+    return v
 
 
 def log_output(m: Model, h: np.ndarray, net: np.ndarray) -> np.ndarray:
-    """Log-probability of each target's class, and of the word in it where that has a softmax (spelling classes: 0)."""
-    w, c, h = m.weights, m.classes_of(net), with_one(h)
-    out = chosen_and_sum(h @ w["c"], c)[0]
-    for k, at in members(m, c):
-        out[at] += chosen_and_sum(h[at] @ w["w"][k], net[at] - k * PER_CLASS)[0]
+    """Log-probability of each target's class, and of the word in it where that has a softmax (spelling classes: 0). h: states, with the input of the biases."""
+    w, c = m.weights, m.classes_of(net)
+    out = np.concatenate([exponentials(h[a : a + ROWS] @ w["c"], c[a : a + ROWS])[1] for a in range(0, len(net), ROWS)])
+    order, pieces = members(m, net)
+    at = net[order] % PER_CLASS
+    for piece, classes in pieces:
+        out[order[piece]] += exponentials(values(h.take(order[piece], 0), w["w"], classes), at[piece])[1]
     return out.astype(np.float64)
 
 
@@ -213,19 +257,19 @@ def likelihood(m: Model, nets: list[np.ndarray], held: int = 8192) -> np.ndarray
     if not len(nets):
         return out
     flat, base = np.concatenate([nets[i] for i in order]), np.cumsum(lens) - lens
-    h, last = np.zeros((len(nets), HIDDEN), np.float32), np.full(len(nets), m.begin)
-    live = np.searchsorted(-lens, -np.arange(lens[0]), "left")
-    states, targets, size, first = [], [], 0, 0
-    for t in range(lens[0]):
-        h = step(m.weights, m.weights["x"][last[: live[t]]], h[: live[t]])[0]
-        last = flat[base[: live[t]] + t]
-        states.append(h)
+    h, last = np.zeros((HIDDEN, len(nets)), np.float32), np.full(len(nets), m.begin)
+    live = np.searchsorted(-lens, -np.arange(lens[0]), "left").tolist()
+    states, targets, size, first = np.ones((held + len(nets), HIDDEN + 1), np.float32), [], 0, 0
+    for t, now in enumerate(live):
+        h = step(m.weights, m.weights["x"].take(last[:now], 0).T, h[:, :now])[0]
+        last = flat[base[:now] + t]
+        states[size : size + now, :HIDDEN] = h.T
         targets.append(last)
-        size += live[t]
-        if size > held or t == lens[0] - 1:
-            lp = log_output(m, np.concatenate(states), np.concatenate(targets))
+        size += now
+        if size > held or t == len(live) - 1:
+            lp = log_output(m, states[:size], np.concatenate(targets))
             out += np.bincount(np.concatenate([np.arange(k) for k in live[first : t + 1]]), lp, len(nets))
-            states, targets, size, first = [], [], 0, t + 1
+            targets, size, first = [], 0, t + 1
     back = np.empty(len(nets))
     back[order] = out
     return back
@@ -233,57 +277,84 @@ def likelihood(m: Model, nets: list[np.ndarray], held: int = 8192) -> np.ndarray
 
 def gradients(m: Model, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
     """One window, time by stream: gradients of the mean loss, the state after it, the loss. Of the inputs only the rows that occur have a gradient:
-    x is (rows, gradient). A state before the begin of a text is zero, and the begin of a text is no target."""
+    x is (rows, gradient). A state before the begin of a text is zero, and the begin of a text is no target. Inside, units go before streams, so that
+    each unit's numbers stand together."""
     w, (steps, size) = m.weights, x.shape
-    parts, kept, hs = w["x"][x], [], []
-    fresh = (x == m.begin)[:, :, None]
+    kind, flat, y = w["h"].dtype, x.reshape(-1), y.reshape(-1)
+    parts = np.ascontiguousarray(w["x"].take(flat, 0).reshape(steps, size, 3 * HIDDEN).transpose(0, 2, 1))
+    kept, fresh, hs = [], x == m.begin, np.ones((steps, size, HIDDEN + 1), kind)
+    any_fresh, h = fresh.any(1).tolist(), h.T
     for t in range(steps):
-        h = np.where(fresh[t], np.float32(0), h)
-        new, z, r, n, own = step(w, parts[t], h)
-        kept.append((h, z, r, n, own))
+        if any_fresh[t]:
+            h = np.where(fresh[t], kind.type(0), h)
+        new, *gates = step(w, parts[t], h)
+        kept.append((h, *gates))
         h = new
-        hs.append(h)
-    told = np.flatnonzero(y.reshape(-1) != m.begin)
-    state, target = with_one(np.concatenate(hs)[told]), y.reshape(-1)[told]
-    scale, c = np.float32(1 / max(1, len(target))), m.classes_of(target)
-
-    def share(v: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Gradient of the loss by the values v, which are overwritten; adds to the loss."""
+        hs[t, :, :HIDDEN] = h.T
+    hs, told = hs.reshape(-1, HIDDEN + 1), y != m.begin
+    mean = kind.type(1 / max(1, told.sum()))
+    scale, c = told * mean, np.where(told, m.classes_of(y), 0)
+    loss, every = 0.0, np.empty((steps * size, HIDDEN), kind)
+    g = {"c": np.zeros_like(w["c"]), "w": np.zeros_like(w["w"])}
+
+    def share(v: np.ndarray, at: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """Turns v into the gradient of the loss by it, times what is returned for each row; adds to the loss."""
         nonlocal loss
-        lp, total = chosen_and_sum(v, at)
-        loss -= float(lp.sum())
-        v *= (scale / total)[:, None]
-        v[np.arange(len(at)), at] -= scale
-        return v
-
-    loss = 0.0
-    p = share(state @ w["c"], c)
-    g = {"c": state.T @ p, "w": np.zeros_like(w["w"])}
-    back = p @ w["c"][:HIDDEN].T
-    for k, at in members(m, c):
-        own, own_w = state[at], w["w"][k]
-        q = share(own @ own_w, target[at] - k * PER_CLASS)
-        g["w"][k] = own.T @ q
-        back[at] += q @ own_w[:HIDDEN].T
-    every = np.zeros((steps * size, HIDDEN), back.dtype)
-    every[told] = back
+        place, lp, total = exponentials(v, at)
+        loss -= float(lp @ scale)
+        v.reshape(-1)[place] -= total
+        return (scale / total)[:, None]
+
+    for a in range(0, steps * size, ROWS):
+        part = slice(a, a + ROWS)
+        own, v = hs[part], hs[part] @ w["c"]
+        by = share(v, c[part], scale[part])
+        g["c"] += (own * by).T @ v
+        np.multiply(v @ w["c"][:HIDDEN].T, by, out=every[part])
+    order, pieces = members(m, y)
+    for piece, classes in pieces:
+        at = order[piece]
+        own = hs.take(at, 0)
+        v, back = values(own, w["w"], classes), np.empty((len(at), HIDDEN), kind)
+        by = share(v, y[at] % PER_CLASS, scale[at])
+        own *= by
+        for k, part in classes:
+            g["w"][k] += own[part].T @ v[part]
+            np.matmul(v[part], w["w"][k, :HIDDEN].T, out=back[part])
+        back *= by
+        every[at] += back
     every = every.reshape(steps, size, HIDDEN)
-    dh, inner, outer = np.zeros_like(h), np.empty((steps, size, 3 * HIDDEN), h.dtype), np.empty((steps, size, 3 * HIDDEN), h.dtype)
+    dh, inner, outer = np.zeros((HIDDEN, size), kind), np.empty((3 * HIDDEN, steps, size), kind), np.empty((3 * HIDDEN, steps, size), kind)
     for t in reversed(range(steps)):
         before, z, r, n, own = kept[t]
-        dh = dh + every[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        outer[t, :, :HIDDEN] = dh * (before - n) * z * (1 - z)
-        outer[t, :, HIDDEN : 2 * HIDDEN] = dn * own * r * (1 - r)
-        outer[t, :, 2 * HIDDEN :] = dn
-        inner[t] = outer[t]
-        inner[t, :, 2 * HIDDEN :] *= r
-        dh = np.where(fresh[t], np.float32(0), dh * z + inner[t] @ w["h"].T)
-    g["h"] = np.concatenate([k[0] for k in kept]).T @ inner.reshape(-1, 3 * HIDDEN)
-    rows, at = np.unique(x.reshape(-1), return_inverse=True)
-    sums = [np.bincount(at, v, len(rows)) for v in np.ascontiguousarray(outer.reshape(-1, 3 * HIDDEN).T)]
-    g["x"] = rows, np.stack(sums, 1).astype(h.dtype)
-    return g, h, loss * float(scale)
+        dh += every[t].T
+        left, dz, dn = 1 - z, before - n, n * n
+        dz *= z
+        dz *= left
+        dz *= dh
+        dn = np.subtract(1, dn, out=dn)
+        dn *= left
+        dn *= dh
+        left = np.subtract(1, r, out=left)
+        left *= r
+        left *= own
+        left *= dn
+        inner[:HIDDEN, t] = outer[:HIDDEN, t] = dz
+        inner[HIDDEN : 2 * HIDDEN, t] = outer[HIDDEN : 2 * HIDDEN, t] = left
+        outer[2 * HIDDEN :, t] = dn
+        np.multiply(dn, r, out=inner[2 * HIDDEN :, t])
+        dh *= z
+        dh += w["h"] @ inner[:, t]
+        if any_fresh[t]:
+            dh[:, fresh[t]] = 0
+    g["h"] = sum(k[0] @ inner[:, t].T for t, k in enumerate(kept))
+    seen = np.zeros(len(w["x"]), np.int64)
+    seen[flat] = 1
+    rows = np.flatnonzero(seen)
+    seen[rows] = np.arange(len(rows))
+    at = seen[flat]
+    g["x"] = rows, np.stack([np.bincount(at, v, len(rows)) for v in outer.reshape(3 * HIDDEN, -1)], 1).astype(kind)
+    return g, h.T, loss
 
 
 def train(m: Model, stream: np.ndarray, moments: dict, rate: float = RATE) -> Model:
@@ -300,12 +371,23 @@ def train(m: Model, stream: np.ndarray, moments: dict, rate: float = RATE) -> Mo
         g, h, _ = gradients(m, x[a : a + WINDOW], y[a : a + WINDOW], h)
         moments["i"] += 1
         i = moments["i"]
+        pace, last = np.float32(rate / (1 - 0.9**i)), np.float32(1 - 0.99**i)
         for k, d in g.items():
             at, d = d if k == "x" else (slice(None), d)
-            first = moments["first"][k][at] * np.float32(0.9) + np.float32(0.1) * d
-            second = moments["second"][k][at] * np.float32(0.99) + np.float32(0.01) * d * d
-            moments["first"][k][at], moments["second"][k][at] = first, second
-            m.weights[k][at] -= np.float32(rate / (1 - 0.9**i)) * first / (np.sqrt(second / np.float32(1 - 0.99**i)) + np.float32(1e-6))
+            first, second, more = moments["first"][k][at], moments["second"][k][at], np.float32(0.1) * d
+            first *= np.float32(0.9)
+            first += more
+            np.multiply(d, d, out=d)
+            d *= np.float32(0.01)
+            second *= np.float32(0.99)
+            second += d
+            np.sqrt(np.divide(second, last, out=d), out=d)
+            d += np.float32(1e-6)
+            np.multiply(first, pace, out=more)
+            more /= d
+            if k == "x":
+                moments["first"][k][at], moments["second"][k][at] = first, second
+            m.weights[k][at] -= more
         for k in ("c", "w"):
             own = m.weights[k][..., :HIDDEN, :]
             np.clip(own, -BOUND, BOUND, out=own)
@@ -338,28 +420,33 @@ def encoded(docs: DataFrame, m: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(m)
     norm = m.total + 0.5 * (m.distinct + 1)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        inputs, end = np.append(own.own(), np.int32(0)), pa.array([END], pa.binary())
         logs = np.log10((own.n + 0.5) / norm)
         # a frequent word outside the head: its share of its spelling class
         inside = np.zeros(len(own.words))
         if len(own.words) > own.head:
-            inside[own.head :] = np.log10((own.n[own.head :] + 0.5) / (own.class_n + 0.5 * (own.class_v + 1))[spelling(own.words[own.head :])])
+            inside[own.head :] = np.log10((own.n[own.head :] + 0.5) / (own.class_n + 0.5 * (own.class_v + 1))[inputs[own.head : -1] - own.base])
         logs, inside = np.append(logs, 0.0), np.append(inside, 0.0)  # the last for words outside the table
-        for part in parts:
-            texts = [words(t) for t in part["text"]]
-            flat = list(chain.from_iterable(texts))
-            lens = np.array([len(t) for t in texts])
-            code, net = own.codes(flat)
-            begin = np.cumsum(lens) - lens
+        for batch in batches:
+            if not len(batch):
+                continue
+            flat, lens = split(batch["text"])
+            ends = np.cumsum(lens + 1)
+            begin, tokens = ends - lens - 1, pa.concat_arrays([flat, end])
+            where = np.insert(np.arange(len(flat)), np.cumsum(lens), len(flat))  # of each token, with the ends, in tokens
+            code = own.codes(tokens)[where]
+            net, at = inputs[code], np.flatnonzero(code < 0)
+            rare = tokens.take(pa.array(where[at]))
+            net[at] = own.base + spelling(rare)
             total = lambda v: np.add.reduceat(v, begin)  # noqa: B023, E731
-            at = np.flatnonzero(code < 0)
-            cuts = np.searchsorted(at, begin)
-            names = [flat[i] for i in at.tolist()]
-            rare = [names[a:b] for a, b in zip(cuts, [*cuts[1:], len(names)], strict=True)]
-            yield pd.DataFrame({"row": part["row"], "id": part["id"], "n_tokens": lens, "known": total((code >= 0).astype(np.int64)), "fixed": total(logs[code]), "inside": total(inside[code]), "net": np.split(net.astype(np.int32), begin[1:]), "rare": rare})
+            columns = [batch["row"], batch["id"], lens + 1, total((code >= 0).astype(np.int64)), total(logs[code]), total(inside[code])]
+            columns += [pa.ListArray.from_arrays(np.append(begin, len(net)).astype(np.int32), net), pa.ListArray.from_arrays(np.searchsorted(at, np.append(begin, len(net))).astype(np.int32), rare)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
-    own = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInPandas(run, "row long, id long, n_tokens long, known long, fixed double, inside double, net array<int>, rare array<binary>")
+    names = ["row", "id", "n_tokens", "known", "fixed", "inside", "net", "rare"]
+    own = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(run, "row long, id long, n_tokens long, known long, fixed double, inside double, net array<int>, rare array<binary>")
     own = own.withColumn("round", F.pmod(F.xxhash64("id"), F.lit(schedule(m.total)[0])).cast("int"))
     return written(own, "encoded", by="round")
 
