@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import one_thread, slim, small_batches, written
+from ._common import one_thread, released, slim, small_batches, written
 
 END = b"\n"  # no word holds white space, so this stands for the end of a text
 HEAD_CLASSES, PER_CLASS, SPELLINGS = 32, 128, 32
@@ -92,6 +92,7 @@ def counts(df: DataFrame) -> DataFrame:
         return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         held: list[pa.Table] = []
         for batch in batches:
             own = pc.value_counts(split(batch["text"])[0])
@@ -103,6 +104,8 @@ def counts(df: DataFrame) -> DataFrame:
                     held = []
         if held:
             yield from merged(held).to_batches()
+        held.clear()
+        released()
 
     return df.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -421,6 +424,7 @@ def encoded(docs: DataFrame, m: Model) -> DataFrame:
     norm = m.total + 0.5 * (m.distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         own = shared.value
         inputs, end = np.append(own.own(), np.int32(0)), pa.array([END], pa.binary())
         logs = np.log10((own.n + 0.5) / norm)
@@ -444,6 +448,8 @@ def encoded(docs: DataFrame, m: Model) -> DataFrame:
             columns = [batch["row"], batch["id"], lens + 1, total((code >= 0).astype(np.int64)), total(logs[code]), total(inside[code])]
             columns += [pa.ListArray.from_arrays(np.append(begin, len(net)).astype(np.int32), net), pa.ListArray.from_arrays(np.searchsorted(at, np.append(begin, len(net))).astype(np.int32), rare)]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+            del flat, tokens, where, code, net, at, rare, columns
+        released()
 
     names = ["row", "id", "n_tokens", "known", "fixed", "inside", "net", "rare"]
     own = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(run, "row long, id long, n_tokens long, known long, fixed double, inside double, net array<int>, rare array<binary>")
@@ -459,6 +465,7 @@ def averaged(m: Model, inputs: DataFrame, copies: int) -> Model:
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one_thread()
+        released()
         own, total, tokens = shared.value, 0.0, 0
         texts = chain.from_iterable(zip(b["copy"], b["net"], strict=True) for b in batches)
         for _, group in groupby(texts, itemgetter(0)):
@@ -477,7 +484,8 @@ def averaged(m: Model, inputs: DataFrame, copies: int) -> Model:
             total = total + size * np.concatenate([copy.weights[k].ravel() for k in sorted(copy.weights)]).astype(np.float64)
             tokens += size
         if tokens:
-            flat = (total / tokens).astype(np.float32)
+            flat, copy, moments, net = (total / tokens).astype(np.float32), None, None, None
+            released()
             for slot in range(-(-len(flat) // PIECE)):
                 yield pd.DataFrame({"slot": [slot], "salt": TaskContext.get().partitionId() % 64, "size": float(tokens), "data": [flat[slot * PIECE : (slot + 1) * PIECE].tobytes()]})
 
@@ -546,6 +554,7 @@ def score(rows: DataFrame, m: Model, all_counts: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         one_thread()
+        released()
 
         def out() -> pd.DataFrame:
             """The rows of some batches, whose texts go through the network together."""
@@ -560,6 +569,8 @@ def score(rows: DataFrame, m: Model, all_counts: DataFrame) -> DataFrame:
                 held, size = [], 0
         if held:
             yield out()
+        held.clear()
+        released()
 
     c = F.coalesce("n", F.lit(0))
     sizes = F.array(*[F.lit(float(x)) for x in m.class_n + 0.5 * (m.class_v + 1)])
